@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with a NAME, a query(spark, sf_dir) and an ORACLE_SQL (None where SQL cannot express it).
-MODULES = ("q_mix", "q_quality", "q_pack", "q_rules", "q_substring", "q_forest", "q_setsketch", "q_suffix")
+MODULES = ("q_mix", "q_quality", "q_pack", "q_rules", "q_substring", "q_pii", "q_forest", "q_lines", "q_setsketch", "q_suffix")
 
 
 def _modules():

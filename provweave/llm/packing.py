@@ -34,8 +34,8 @@ from . import scratch
 
 #: Rows of a random range of the pieces of one length.
 RANGE = 250_000
-#: Words whose ids a worker remembers.
-REMEMBERED = 250_000
+#: Words, and pieces of words, whose ids a worker remembers.
+REMEMBERED = 500_000
 
 _TOKENIZERS: dict[str, "WordIds"] = {}
 
@@ -48,16 +48,34 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in visible else next(rest)) for b in range(256)}
 
 
+class _Lately(dict):
+    """Values of a function for the keys met lately: the last REMEMBERED of them to twice as many."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of, self.before = of, {}
+
+    def __missing__(self, key):
+        found = self.before.get(key)
+        self[key] = found = self.of(key) if found is None else found
+        return found
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+
+
 class WordIds:
     """Token ids of a text, word by word.
 
     White space is never part of a token of the vocabulary and no rule of the tokenizer looks
-    across it, so the ids of a text are those of its words in order, and a worker encodes
-    a word only when it has not met it lately.  The whole tokenizer takes tens of
-    microseconds to encode one word, its model alone a tenth of that.  Where the tokenizer only
-    lower-cases, splits by a pattern and maps bytes, plain Latin words (for
-    which lower case and composition are certain) are split here and given to the model
-    piece by piece; every other word goes through the whole tokenizer.
+    across it, so the ids of a text are those of its words, and most words were met before.
+    The whole tokenizer takes tens of microseconds for a new word, its model alone a tenth of
+    that.  Where the tokenizer only lower-cases, splits by a pattern and maps bytes, the new
+    words of plain Latin texts (for which lower case and composition are certain) are split
+    here, and the model encodes pieces that were not met lately.  The words of other
+    texts go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -65,47 +83,37 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.others, self.pieces = _Lately(self._plain), _Lately(self._whole), _Lately(self._piece)
         spec = json.loads(self.tokenizer.to_str())
         steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         split, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         simple = steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and [(r["type"], r["add_prefix_space"], r["use_regex"]) for r in rest] == [("ByteLevel", False, False)]
         self.split = regex.compile(split["pattern"]["Regex"]).findall if simple else None
-        marks = "|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)"
-        self.plain = regex.compile(rf"(?!.*(?:{marks}))[\x21-\x7e\u00a1-\u024f]+").fullmatch
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = regex.compile("[\\x09-\\x0d\\x20-\\x7e\\u00a1-\\u024f]*").fullmatch
         self.letters = _byte_letters()
 
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) > REMEMBERED:
-                self.parts.clear()
-            letters = part.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(letters)]
-            found = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+    def _whole(self, word: bytes) -> bytes:
+        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def word(self, word: bytes) -> bytes:
-        """Ids of one word."""
-        text = word.decode()
-        if self.split and self.plain(text):
-            return b"".join(map(self._part, self.split(text.lower())))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _plain(self, word: bytes) -> bytes:
+        return b"".join([self.pieces[p] for p in self.split(word.decode().lower())])
 
     def of(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian 32-bit integers."""
-        last = np.array([end], "<u4").tobytes()
-        split = [(x or "").encode().split() for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known, self.before = {}, self.known
-        new = {w for words in split for w in words if w not in self.known}
-        again = new & self.before.keys()
-        self.known.update((w, self.before[w]) for w in again)
-        self.known.update((w, self.word(w)) for w in new - again)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + last for words in split]
+        last, out = struct.pack("<I", end), []
+        for text in texts:
+            text = text or ""
+            plain = self.split and self.plain(text) and not any(m in text for m in self.marks)
+            out.append(b"".join(map((self.words if plain else self.others).__getitem__, text.encode().split())) + last)
+            for lately in (self.words, self.others, self.pieces):
+                lately.age()
+        return out
 
 
 def _word_ids(path: str) -> WordIds:
