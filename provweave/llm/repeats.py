@@ -46,8 +46,8 @@ class Layout:
 
     def __init__(self, df: DataFrame):
         self.tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.parts = 4 * self.tasks + 1
-        self.buckets = 8 * self.tasks
+        self.parts = 2 * self.tasks + 1
+        self.buckets = 2 * self.tasks
 
     def texts(self, docs: DataFrame) -> DataFrame:
         """part, doc (id; last of all if null), doc_id, text."""
