@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import DEFAULT, ProvConfig
 from ..functions.jsontext import canonical, pretty
@@ -41,14 +42,15 @@ class Compressed:
             writer = table.write.mode(mode)
             (writer.partitionBy("section") if name in ("node", "edge", "edge_field") else writer).parquet(f"{path}/{name}")
         spark = self.tables["dict"].sparkSession
-        meta = Row(depth=self.depth, id_order=self.config.id_order, rel_schema=json.dumps(self.config.rel_schema), volatile=json.dumps(sorted(self.config.volatile_keys)))
+        meta = Row(depth=self.depth, id_order=self.config.id_order, rel_schema=json.dumps(self.config.rel_schema), volatile=json.dumps(sorted(self.config.volatile_keys)), schemas=json.dumps({t: d.schema.jsonValue() for t, d in self.tables.items()}))
         spark.createDataFrame([meta]).write.mode(mode).parquet(f"{path}/meta")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Compressed:
         meta = spark.read.parquet(f"{path}/meta").first()
         config = ProvConfig(rel_schema={k: tuple(v) for k, v in json.loads(meta["rel_schema"]).items()}, volatile_keys=frozenset(json.loads(meta["volatile"])), id_order=meta["id_order"])
-        return cls({t: spark.read.parquet(f"{path}/{t}") for t in TABLES}, config, meta["depth"])
+        schemas = {t: StructType.fromJson(s) for t, s in json.loads(meta["schemas"]).items()}  # an empty table has no file to infer from
+        return cls({t: spark.read.schema(schemas[t]).parquet(f"{path}/{t}") for t in TABLES}, config, meta["depth"])
 
     def decompress(self) -> DataFrame:
         """(graph, text): canonical text of every document, from these tables alone."""
