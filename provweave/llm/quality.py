@@ -79,7 +79,9 @@ class Model:
     """Latent vectors of the sample with their labels, and the projection to the space."""
 
     def __init__(self, shares: np.ndarray, labels: np.ndarray, rank: int = 48, neighbours: int = 15, power: int = 4):
-        self.neighbours, self.power, self.labels = neighbours, power, labels.astype(np.float32)
+        rarer = int(min(labels.sum(), len(labels) - labels.sum())) if len(labels) else 0
+        self.neighbours = max(1, min(neighbours, rarer // 2))  # the rarer label must be able to win a vote
+        self.power, self.labels = power, labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
         rank = min(rank, *shares.shape) if len(labels) else 0
         self.axes = self._axes(shares, rank) if rank else np.zeros((TERMS, 0), np.float32)
