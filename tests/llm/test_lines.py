@@ -2,7 +2,7 @@
 
 from collections import Counter, defaultdict
 
-from conftest import frame
+from samples import frame
 
 from provweave.llm import lines
 

@@ -4,7 +4,7 @@ import hashlib
 import math
 from collections import Counter, defaultdict
 
-from conftest import WORD, frame
+from samples import WORD, frame
 
 from provweave.llm import mixing
 

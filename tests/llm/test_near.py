@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import WORD, frame, sentence
+from samples import WORD, frame, sentence
 
 from provweave.llm import components, forest, setsketch
 

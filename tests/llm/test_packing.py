@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import frame
+from samples import frame
 from tokenizers import Tokenizer
 
 from provweave.llm import packing

@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import WORD, frame
+from samples import WORD, frame
 from pyspark.sql import functions as F
 
 from provweave.llm import pii

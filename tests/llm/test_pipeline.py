@@ -6,7 +6,7 @@ import os
 import duckdb
 import public_tokenizers
 import pytest
-from conftest import WORD
+from samples import WORD
 from test_near import plain
 from test_packing import check
 

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import frame
+from samples import frame
 from pyspark.sql import functions as F
 
 from provweave.llm import q_quality, quality

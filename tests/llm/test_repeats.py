@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import pytest
-from conftest import WORD, frame, sentence
+from samples import WORD, frame, sentence
 
 from provweave.llm import substring, suffixes
 

@@ -3,7 +3,7 @@
 import re
 from collections import Counter
 
-from conftest import WORD, frame
+from samples import WORD, frame
 
 from provweave.llm import rules
 
