@@ -10,7 +10,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of texts that a block holds, beyond its first text.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)

@@ -103,27 +103,42 @@ class Part:
         return (self.mark[row] << np.uint64(40)) | position.astype(np.uint64)
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """64-bit columns as planes of bytes, so that leading zeros compress."""
-    return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+#: Bytes of a candidate's hash that travel; its bucket holds further bits.
+SHORT = 5
 
 
-def unpack(packed: list[bytes], columns: int) -> list[np.ndarray]:
-    out: list[list[np.ndarray]] = [[] for _ in range(columns)]
+def pack(columns: list[np.ndarray], widths: list[int]) -> bytes:
+    """The low bytes of 64-bit columns as planes, so that leading zeros compress."""
+    return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T[:w].tobytes() for c, w in zip(columns, widths))
+
+
+def unpack(packed: list[bytes], widths: list[int]) -> list[np.ndarray]:
+    out: list[list[np.ndarray]] = [[] for _ in widths]
     for x in packed:
-        planes = np.frombuffer(x, np.uint8).reshape(columns, 8, -1)
-        for c in range(columns):
-            out[c].append(np.ascontiguousarray(planes[c].T).view(np.uint64).ravel())
+        planes = np.frombuffer(x, np.uint8).reshape(sum(widths), -1)
+        at = 0
+        for c, w in enumerate(widths):
+            whole = np.zeros((planes.shape[1], 8), np.uint8)
+            whole[:, :w] = planes[at : at + w].T
+            out[c].append(whole.view(np.uint64).ravel())
+            at += w
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
-def dealt(kind: int, dest: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Rows to travel: the columns packed by destination."""
+def runs(dest: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order, [(value, first, end)]) of equal values."""
     order = np.argsort(dest, kind="stable")
-    dest, columns = dest[order], [c[order] for c in columns]
-    cuts = np.flatnonzero(np.concatenate([[True], dest[1:] != dest[:-1]])) if len(dest) else []
-    for a, b in zip(cuts, [*cuts[1:], len(dest)]):
-        yield int(dest[a]), kind, pack(*(c[a:b] for c in columns))
+    ordered = dest[order]
+    cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])).tolist() if len(dest) else []
+    return order, [(int(ordered[a]), a, b) for a, b in zip(cuts, [*cuts[1:], len(dest)])]
+
+
+def dealt(kind: int, dest: np.ndarray, columns: list[np.ndarray], widths: list[int]) -> Iterator[tuple[int, int, bytes]]:
+    """Rows to travel: the columns packed by destination."""
+    order, found = runs(dest)
+    columns = [c[order] for c in columns]
+    for value, a, b in found:
+        yield value, kind, pack([c[a:b] for c in columns], widths)
 
 
 def travel_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -140,6 +155,11 @@ def groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+def _widths(hashes: int) -> list[int]:
+    """Bytes of a request's columns: one hash is a candidate's, two must be whole."""
+    return [*([SHORT] if hashes == 1 else [8] * hashes), 8, 8]
+
+
 def requests(layout: Layout, hashes: list[np.ndarray], doc: np.ndarray, place: np.ndarray, later: bool) -> Iterator[tuple[int, int, bytes]]:
     """Requests of a part, answered here as far as possible.
 
@@ -160,11 +180,11 @@ def requests(layout: Layout, hashes: list[np.ndarray], doc: np.ndarray, place: n
         # one request for all occurrences here: it wakes the other parts; without a second document here all must be answered
         sent = np.where(known, np.isin(np.arange(len(doc)), first), True)
     if known.any():
-        yield from dealt(1, parts_of(doc[known], layout.parts) + layout.buckets, doc[known].view(np.uint64), place[known])
+        yield from dealt(1, parts_of(doc[known], layout.parts) + layout.buckets, [doc[known].view(np.uint64), place[known]], [8, 8])
     # bit 39 of a place marks a request whose answer is known already
     place = np.where(known & sent, place | np.uint64(1 << 39), place)
     dest = ((hashes[0] >> np.uint64(48)) % np.uint64(layout.buckets)).astype(np.int32)
-    yield from dealt(0, dest[sent], *(h[sent] for h in hashes), doc[sent].view(np.uint64), place[sent])
+    yield from dealt(0, dest[sent], [*(h[sent] for h in hashes), doc[sent].view(np.uint64), place[sent]], _widths(len(hashes)))
 
 
 def answers(layout: Layout, sent: DataFrame, hashes: int, later: bool) -> DataFrame:
@@ -172,7 +192,7 @@ def answers(layout: Layout, sent: DataFrame, hashes: int, later: bool) -> DataFr
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(packed: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-            *own, doc, place = unpack(packed, hashes + 2)
+            *own, doc, place = unpack(packed, _widths(hashes))
             doc = doc.view(np.int64)
             order, first = groups(own)
             doc, place = doc[order], place[order]
@@ -180,7 +200,7 @@ def answers(layout: Layout, sent: DataFrame, hashes: int, later: bool) -> DataFr
             least = np.repeat(np.minimum.reduceat(doc, first), sizes)
             hit = doc > least if later else np.repeat(np.maximum.reduceat(doc, first), sizes) > least
             hit &= (place >> np.uint64(39)) & np.uint64(1) == 0
-            yield from dealt(1, parts_of(doc[hit], layout.parts), doc[hit].view(np.uint64), place[hit])
+            yield from dealt(1, parts_of(doc[hit], layout.parts), [doc[hit].view(np.uint64), place[hit]], [8, 8])
 
         def out(rows):
             table = travel_table(list(rows)).select(["dest", "packed"])
@@ -215,7 +235,7 @@ def visit(texts: DataFrame, found: DataFrame | None, run: Callable, schema: Stru
 
     def answered(table: pa.Table, hits: pa.Table) -> pa.Table:
         part = Part(table)
-        doc, place, *more = unpack(hits.column("packed").to_pylist(), 2)
+        doc, place = unpack(hits.column("packed").to_pylist(), [8, 8])
         return run(part, *part.find(doc.view(np.int64), place))
 
     if found is None:

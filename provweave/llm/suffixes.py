@@ -27,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import blocks, repeats
 
-#: Rows of surroundings that are sorted at a time, unless one stretch has more.
-SORTED = 40_000
+#: Surroundings that are sorted at a time, unless one stretch has more.
+SORTED = 20_000
 
 
 class Suffixes:
@@ -110,21 +111,88 @@ class Suffixes:
         return out
 
 
-def _around(n: int) -> StructType:
-    names = (("anchor", LongType()), ("lead", IntegerType()), ("doc", LongType()), ("place", LongType()), ("around", BinaryType()), ("part", IntegerType()), ("packed", BinaryType()))
-    return StructType([StructField(a, b) for a, b in names])
+#: Columns of travelling surroundings: stretch, its distance, document, place, size; then the bytes.
+COLUMNS = [repeats.SHORT, 2, 8, 8, 4]
+
+
+def _wrap(columns: list[np.ndarray], flat: np.ndarray) -> bytes:
+    """Surroundings for one bucket: packed columns and compressed bytes."""
+    head = repeats.pack(columns, COLUMNS)
+    return len(columns[0]).to_bytes(4, "little") + head + zstandard.ZstdCompressor(3).compress(flat.tobytes())
+
+
+def _unwrap(packed: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    heads, texts, wide = [], [], sum(COLUMNS)
+    for x in packed:
+        end = 4 + wide * int.from_bytes(x[:4], "little")
+        heads.append(x[4:end]), texts.append(zstandard.ZstdDecompressor().decompress(x[end:]))
+    return repeats.unpack(heads, COLUMNS), np.frombuffer(b"".join(texts), np.uint8)
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of many stretches, end to end, and their offsets."""
     offsets = np.concatenate([[0], np.cumsum(size)])
-    at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
+    at = np.arange(offsets[-1], dtype=np.int32) + np.repeat((start - offsets[:-1]).astype(np.int32), size)
     return data[at], offsets
 
 
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the stretches at a and b hold the same bytes."""
+    out = np.ones(len(a), bool)
+    for some in np.array_split(np.arange(len(a)), 1 + len(a) // 8192) if len(a) else ():
+        x, cuts = _gather(data, a[some], size[some])
+        wrong = np.concatenate([[0], np.cumsum(x != _gather(data, b[some], size[some])[0], dtype=np.int32)])
+        out[some] = wrong[cuts[1:]] == wrong[cuts[:-1]]
+    return out
+
+
+def _copies(data: np.ndarray, key: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of bytes that equal, byte by byte, the one with the smallest document of their key, and whose
+    document is larger: all their windows stand in a smaller document."""
+    if not len(doc):
+        return np.zeros(0, np.int64)
+    order, begin = repeats.groups([key])
+    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+    smallest = np.flatnonzero(doc[order] == np.minimum.reduceat(doc[order], begin)[group])
+    holder = np.zeros(len(begin), np.int64)
+    holder[group[smallest][::-1]] = order[smallest][::-1]
+    chief = np.empty(len(order), np.int64)
+    chief[order] = holder[group]
+    later = np.flatnonzero((doc > doc[chief]) & (size == size[chief]))
+    return later[_same_bytes(data, start[later], start[chief[later]], size[later])]
+
+
+def _windows(part: repeats.Part, first: int, last: int, rows: np.ndarray, at: np.ndarray, n: int, k: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows around the shared stretches of a run of texts: hash of the stretch, its
+    distance, row, first byte in the part, number of windows, and hash of the whole run."""
+    base = part.offsets[first]
+    offsets, data = part.offsets[first : last + 1] - base, part.data[base : part.offsets[last]]
+    own = (rows >= first) & (rows < last)
+    none = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64, np.uint64))
+    if not own.any():
+        return none
+    sums = blocks.prefix(data)
+    found = repeats.Sampler(sums, offsets, n, k)
+    shared = np.zeros(len(data) + 1, bool)
+    shared[np.minimum(at[own] + offsets[rows[own] - first], len(data))] = True
+    keep = shared[found.owner] if len(found.owner) else np.zeros(0, bool)
+    starts, owner = found.starts[keep], found.owner[keep]
+    if not len(starts):
+        return none
+    # the windows of one stretch are consecutive
+    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+    low, anchor, windows = starts[new], owner[new], np.diff(np.append(new, len(starts)))
+    row = np.searchsorted(offsets, low, "right") - 1 + first
+    return found.hashes[anchor], anchor - low, row, low + base, windows, blocks.mix(blocks.span(sums, low, low + windows + n - 1))
+
+
+#: Columns of answers: document, place, windows.
+SPAN = [8, 8, 4]
+
+
 def _spans(doc: np.ndarray, place: np.ndarray, count: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
     """Answers: documents, places and how many windows in a row start there."""
-    return repeats.dealt(1, repeats.parts_of(doc, parts), doc.view(np.uint64), place, count.astype(np.uint64))
+    return repeats.dealt(1, repeats.parts_of(doc, parts), [doc.view(np.uint64), place, count.astype(np.uint64)], SPAN)
 
 
 def surroundings(layout: repeats.Layout, texts: DataFrame, n: int, k: int) -> DataFrame:
@@ -143,70 +211,23 @@ def surroundings(layout: repeats.Layout, texts: DataFrame, n: int, k: int) -> Da
             return repeats.travel_table([])
         return repeats.travel_table(list(repeats.requests(layout, [np.concatenate(hashes)], np.concatenate(doc), np.concatenate(place), False)))
 
-    schema = _around(n)
-
     def follow(part: repeats.Part, rows: np.ndarray, at: np.ndarray) -> pa.Table:
-        tables = []
-        for first, last in part.pieces() if len(rows) else ():
-            base = part.offsets[first]
-            offsets, data = part.offsets[first : last + 1] - base, part.data[base : part.offsets[last]]
-            own = (rows >= first) & (rows < last)
-            if not own.any():
-                continue
-            found = repeats.Sampler(blocks.prefix(data), offsets, n, k)
-            shared = np.zeros(len(data) + 1, bool)
-            shared[np.minimum(at[own] + offsets[rows[own] - first], len(data))] = True
-            keep = shared[found.owner]
-            starts, owner = found.starts[keep], found.owner[keep]
-            if not len(starts):
-                continue
-            # the windows of one stretch are consecutive
-            new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-            low, anchor, windows = starts[new], owner[new], np.diff(np.append(new, len(starts)))
-            row = np.searchsorted(offsets, low, "right") - 1 + first
-            flat, cuts = _gather(data, low, windows + n - 1)
-            tables.append((found.hashes[anchor], anchor - low, part.doc[row], part.place(row, low - offsets[row - first]), windows, flat, cuts))
-        if not tables:
-            return schema_table(schema, [])
-        anchor, lead, doc, place, windows = (np.concatenate([t[c] for t in tables]) for c in range(5))
-        flat, cuts = np.concatenate([t[5] for t in tables]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(t[6]) for t in tables]))])
-        # of equal surroundings only those of the smallest document leave the part
-        sums = blocks.prefix(flat)
-        whole = blocks.mix(blocks.span(sums, cuts[:-1], cuts[1:])) ^ blocks.mix(anchor + lead.astype(np.uint64))
-        order, begin = repeats.groups([whole])
-        sizes = np.diff(np.append(begin, len(order)))
-        best = begin + 0
-        least = np.minimum.reduceat(doc[order], begin)
-        holder = np.full(len(begin), -1)
-        group = np.repeat(np.arange(len(begin)), sizes)
-        smallest = np.flatnonzero(doc[order] == least[group])
-        holder[group[smallest][::-1]] = order[smallest][::-1]
-        chief = np.empty(len(order), np.int64)
-        chief[order] = holder[group]
-        later = np.flatnonzero(doc > doc[chief])
-        later = later[np.diff(cuts)[later] == np.diff(cuts)[chief[later]]]
-        a, _ = _gather(flat, cuts[later], np.diff(cuts)[later])
-        b, own = _gather(flat, cuts[chief[later]], np.diff(cuts)[later])
-        wrong = np.concatenate([[0], np.cumsum(a != b)])
-        later = later[wrong[own[1:]] == wrong[own[:-1]]]
-        answered = list(_spans(doc[later], place[later], windows[later], layout.parts))
-        sent = np.ones(len(doc), bool)
-        sent[later] = False
-        sent = np.flatnonzero(sent)
-        flat, cuts = _gather(flat, cuts[sent], np.diff(cuts)[sent])
-        around = pa.Array.from_buffers(pa.binary(), len(sent), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-        rows_out = pa.table({"anchor": pa.array(anchor[sent].view(np.int64)), "lead": pa.array(lead[sent], pa.int32()), "doc": pa.array(doc[sent]), "place": pa.array(place[sent].view(np.int64)), "around": around, "part": pa.nulls(len(sent), pa.int32()), "packed": pa.nulls(len(sent), pa.binary())})
-        return pa.concat_tables([rows_out, schema_table(schema, answered)])
+        found = [_windows(part, first, last, rows, at, n, k) for first, last in part.pieces()] if len(rows) else []
+        if not sum(len(f[0]) for f in found):
+            return repeats.travel_table([])
+        anchor, lead, row, low, windows, whole = (np.concatenate(c) for c in zip(*found))
+        doc, place, size = part.doc[row], part.place(row, low - part.offsets[row]), windows + n - 1
+        later = _copies(part.data, whole ^ blocks.mix(anchor + lead.astype(np.uint64)), doc, low, size)
+        out = [(to + layout.buckets, 1, packed) for to, _, packed in _spans(doc[later], place[later], windows[later], layout.parts)]
+        sent = np.delete(np.arange(len(doc)), later)
+        order, dests = repeats.runs(((anchor[sent] >> np.uint64(48)) % np.uint64(layout.buckets)).astype(np.int32))
+        sent = sent[order]
+        columns = [anchor[sent], lead[sent].astype(np.uint64), doc[sent].view(np.uint64), place[sent], size[sent].astype(np.uint64)]
+        out += [(to, 0, _wrap([c[a:b] for c in columns], _gather(part.data, low[sent[a:b]], size[sent[a:b]])[0])) for to, a, b in dests]
+        return repeats.travel_table(out)
 
     found = repeats.answers(layout, repeats.visit(texts, None, stretches, repeats.TRAVEL), 1, False)
-    return repeats.visit(texts, found, follow, schema)
-
-
-def schema_table(schema: StructType, answered: list[tuple[int, int, bytes]]) -> pa.Table:
-    part, packed = [x[0] for x in answered], [x[2] for x in answered]
-    nulls = {"anchor": pa.int64(), "lead": pa.int32(), "doc": pa.int64(), "place": pa.int64(), "around": pa.binary()}
-    # answers have an anchor of their own, so that they spread over the tasks
-    return pa.table({"anchor": pa.array(part, pa.int64()), **{c: pa.nulls(len(part), t) for c, t in nulls.items() if c != "anchor"}, "part": pa.array(part, pa.int32()), "packed": pa.array(packed, pa.binary())})
+    return repeats.visit(texts, found, follow, repeats.TRAVEL)
 
 
 def sort_suffixes(layout: repeats.Layout, around: DataFrame, n: int) -> DataFrame:
@@ -239,39 +260,52 @@ def sort_suffixes(layout: repeats.Layout, around: DataFrame, n: int) -> DataFram
             r, count = suffix_row[gone[new]], np.diff(np.append(new, len(gone)))
             yield from _spans(doc[r], place[r] + (gone[new] - cuts[r]).astype(np.uint64), count, layout.parts)
 
+    def bucket(packed: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+        (anchor, lead, doc, place, size), flat = _unwrap(packed)
+        doc, size, lead = doc.view(np.int64), size.astype(np.int64), lead.astype(np.int64)
+        start = np.cumsum(size) - size
+        sums = blocks.prefix(flat)
+        later = _copies(flat, blocks.mix(blocks.span(sums, start, start + size)) ^ blocks.mix(anchor + lead.astype(np.uint64)), doc, start, size)
+        del sums
+        yield from _spans(doc[later], place[later], size[later] - n + 1, layout.parts)
+        rest = np.delete(np.arange(len(doc)), later)
+        rest = rest[np.argsort(anchor[rest], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], anchor[rest][1:] != anchor[rest][:-1]])) if len(rest) else np.zeros(0, np.int64)
+        alone = np.diff(np.append(first, len(rest))) == 1  # no second occurrence is left to compare with
+        rest = rest[~np.repeat(alone, np.diff(np.append(first, len(rest))))]
+        at = 0
+        while at < len(rest):
+            to = min(at + SORTED, len(rest))
+            while to < len(rest) and anchor[rest[to]] == anchor[rest[to - 1]]:
+                to += 1
+            some = rest[at:to]
+            text, cuts = _gather(flat, start[some], size[some])
+            yield from solve(anchor[some], lead[some], doc[some], place[some], text, cuts)
+            at = to
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple[int, int, bytes]]) -> list[pa.RecordBatch]:
+        def out(rows) -> list[pa.RecordBatch]:
+            rows = list(rows)
             return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[2] for r in rows], pa.binary())}).to_batches()
 
-        def solved(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            table = table.combine_chunks()
-            around = table.column("around").cast(pa.large_binary()).combine_chunks()
-            around = around.chunk(0) if isinstance(around, pa.ChunkedArray) else around
-            cuts = np.frombuffer(around.buffers()[1], np.int64)[around.offset : around.offset + len(around) + 1]
-            flat = np.frombuffer(around.buffers()[2], np.uint8)[cuts[0] : cuts[-1]]
-            anchor, lead, doc, place = (table.column(c).to_numpy() for c in ("anchor", "lead", "doc", "place"))
-            yield from out(list(solve(anchor, lead.astype(np.int64), doc, place.view(np.uint64), flat, cuts - cuts[0])))
-
-        held: list[pa.Table] = []
+        held: list[bytes] = []
+        now = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            passed = table.filter(pa.compute.is_valid(table.column("packed")))
-            if passed.num_rows:
-                yield from passed.select(["part", "packed"]).combine_chunks().to_batches()
-            table = table.filter(pa.compute.is_valid(table.column("around"))).select(["anchor", "lead", "doc", "place", "around"])
-            if table.num_rows:
-                held.append(table)
-            if sum(t.num_rows for t in held) >= SORTED:
-                whole = pa.concat_tables(held)
-                anchors = whole.column("anchor").to_numpy()
-                last = int(np.searchsorted(anchors, anchors[-1], "left"))  # the last stretch may go on
-                if last:
-                    yield from solved(whole.slice(0, last))
-                held = [whole.slice(last)]
+            passed = []
+            for dest, kind, packed in zip(*(batch.column(c).to_pylist() for c in ("dest", "kind", "packed"))):
+                if dest != now and held:
+                    yield from out(bucket(held))
+                    held = []
+                now = dest
+                if kind:
+                    passed.append((dest - layout.buckets, 1, packed))
+                else:
+                    held.append(packed)
+            yield from out(passed)
         if held:
-            yield from solved(pa.concat_tables(held))
+            yield from out(bucket(held))
 
-    return around.repartition(layout.tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(run, StructType([StructField("part", IntegerType()), StructField("packed", BinaryType())]))
+    return around.repartition(layout.tasks, "dest").sortWithinPartitions("dest").mapInArrow(run, StructType([StructField("part", IntegerType()), StructField("packed", BinaryType())]))
 
 
 def dedup(docs: DataFrame, n: int = 50, k: int = 24, keep_bytes: bool = True) -> DataFrame:
@@ -284,7 +318,7 @@ def dedup(docs: DataFrame, n: int = 50, k: int = 24, keep_bytes: bool = True) ->
 
     def kept(table: pa.Table, hits: pa.Table) -> pa.Table:
         part = repeats.Part(table)
-        doc, place, count = repeats.unpack(hits.column("packed").to_pylist(), 3)
+        doc, place, count = repeats.unpack(hits.column("packed").to_pylist(), SPAN)
         # the number of windows rides along as a third position
         rows, at, times = _find_with(part, doc.view(np.int64), place, count.astype(np.int64))
         order = np.argsort(rows, kind="stable")
