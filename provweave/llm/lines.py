@@ -5,7 +5,8 @@ The pages of a host are its total; a line that stands in more than ``ratio`` of
 once for a line.  Counts are per host and line hash and are combined before their shuffle, so
 a hot host or line costs one row per task.  The frequencies of a host's lines add up to
 the mean number of lines of its pages, so a host has at most that / ``ratio`` boilerplate
-lines, and they fit one row.
+lines, and they fit one row.  The table of them is stored, so that its true size decides
+whether it is broadcast; otherwise the join is by host, split where a host is hot.
 
 Defined results: null and empty texts have no lines; rows with a null host are left as
 they are; repeated rows count as pages of their own; an empty table gives an empty
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from . import text as t
 
 #: Tags that end a line.
@@ -61,7 +63,7 @@ def drop_boilerplate(docs: DataFrame, site: str, ratio: float, least: int) -> Da
     """``docs`` with boilerplate lines taken out of ``text``; ``site`` names the column of the host."""
     own = docs.select(F.struct("*").alias("row"), F.col(site).cast("string").alias("host"), F.split(F.col("text"), "\n").alias("all"))
     lines = F.filter(F.coalesce("all", F.array().cast("array<string>")), lambda x: F.btrim(x, F.lit(t.BLANKS)) != "")
-    found = boilerplate(own.select("host", lines.alias("lines")), ratio, least)
+    found = scratch.table(boilerplate(own.select("host", lines.alias("lines")), ratio, least), "boilerplate")
     rows = own.join(found, "host", "left")
     text = F.when(F.col("hashes").isNull(), F.col("row").getField("text")).otherwise(F.array_join(without(F.col("all"), F.col("hashes")), "\n"))
     return rows.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
@@ -70,6 +72,6 @@ def drop_boilerplate(docs: DataFrame, site: str, ratio: float, least: int) -> Da
 def clean_pages(pages: DataFrame, ratio: float = 0.25, least: int = 3) -> DataFrame:
     """page_id, host, n_lines, n_dropped, text of every page (page_id, url, html)."""
     own = pages.select("page_id", host(F.col("url")).alias("host"), html_lines(F.col("html")).alias("lines"))
-    rows = own.join(boilerplate(own.select("host", "lines"), ratio, least), "host", "left")
+    rows = own.join(scratch.table(boilerplate(own.select("host", "lines"), ratio, least), "boilerplate"), "host", "left")
     rows = rows.withColumn("left", without(F.col("lines"), F.col("hashes")))
     return rows.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_dropped"), F.array_join("left", "\n").alias("text"))

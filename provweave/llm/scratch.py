@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -47,8 +49,11 @@ def release(spark: SparkSession) -> None:
 
 def _at_exit() -> None:
     for spark in {id(s): s for s, _ in _WRITTEN}.values():
-        if spark.sparkContext._jsc is not None:
-            release(spark)
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            if spark.sparkContext._jsc is not None:
+                release(spark)
+    for folder in _LOCAL.values():
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 atexit.register(_at_exit)
