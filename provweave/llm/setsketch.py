@@ -6,14 +6,17 @@ shingles, truncated to 16 bits: exponentially spaced, so registers of a union ar
 registers, and equal with a probability near the Jaccard similarity for ``b`` near 1.
 
 1. Documents with equal sets form classes; one of each is sketched further.
-2. Bands of registers are hashed; documents that share a band are candidates.  Each asks
-   for the smallest document of its bands, best joint estimate first.
+2. Bands of registers are hashed; documents that share a band are candidates.  A document that
+   shares bands with many is central.  Each document is compared with the most central
+   one of each of its bands, best joint estimate first: a star, not all pairs.
 3. The joint estimate is the maximum of the likelihood of (registers greater, less, equal)
    given both set sizes; pairs that fall clearly below the threshold are dropped.
 4. The others are verified on the full sets of shingles: the text of one travels once to
    each part that holds partners of it.
-5. Links make components.  Then documents of different components that share a
-   band are compared as well, so no link is lost to the choice of the smallest.
+5. Links make components.  Documents of different components that share a band are then
+   estimated too, in blocks of sketches (a band with many documents is cut into blocks, each
+   pair of blocks a task), and what may reach the threshold is verified, so no link is lost
+   to the choice of the centre, and no pair leaves a block that is not likely a link.
 
 With bands of 4 registers, 32 of them, two documents of similarity 0.8 share no band with
 probability 4e-8.
@@ -26,10 +29,12 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
@@ -40,9 +45,11 @@ BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 #: Base and rate of the registers.
 B, A = 1.001, 20.0
-#: A pair is verified if its estimate is at most this much below the threshold: over five
-#: standard deviations of an estimate from 128 registers.
-SLACK = 0.2
+#: A pair is verified if its estimate is at most this much below the threshold: four standard
+#: deviations of an estimate from 128 registers at 0.8.
+SLACK = 0.14
+#: Documents of a band that are compared at a time.
+BLOCK = 1500
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +137,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _banded(reps: DataFrame) -> DataFrame:
-    """(band, doc) of each sketch."""
+    """(band, i, doc) of each sketch: hash and number of its bands."""
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +148,7 @@ def _banded(reps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), lists], ["doc", "bands"])
 
     schema = StructType([StructField("doc", LongType()), StructField("bands", ArrayType(LongType()))])
-    return reps.select("doc", "sketch").mapInArrow(banded, schema).select("doc", F.explode("bands").alias("band"))
+    return reps.select("doc", "sketch").mapInArrow(banded, schema).select("doc", F.posexplode("bands").alias("i", "band"))
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -161,25 +168,54 @@ def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("guess", IntegerType())]))
 
 
+#: Columns of a packed pair: its ends a and b, and the component that a stands for.
+PAIR = [8, 8, 8]
+
+
+def _dealt(layout: repeats.Layout, pairs: DataFrame) -> DataFrame:
+    """Pairs, as columns (a, b, to) or packed, dealt to the parts of a: one row for each part and task."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if "packed" in batch.schema.names:
+                held += [repeats.unpack([x], PAIR) for x in batch.column("packed").to_pylist()]
+            else:
+                held.append([batch.column(c).to_numpy().view(np.uint64) for c in ("a", "b", "to")])
+            if sum(len(h[0]) for h in held) > 1_000_000:
+                yield from flush(held)
+                held = []
+        yield from flush(held)
+
+    def flush(held: list[list[np.ndarray]]) -> list[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in zip(*held)] if held else [np.zeros(0, np.uint64)] * 3
+        rows = list(repeats.dealt(0, repeats.parts_of(columns[0].view(np.int64), layout.parts), columns, PAIR))
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[2] for r in rows], pa.binary())}).to_batches()
+
+    return pairs.mapInArrow(deal, StructType([StructField("part", IntegerType()), StructField("packed", BinaryType())]))
+
+
 def verified(layout: repeats.Layout, texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
-    asked = pairs.select(F.col("a"), F.col("b"), repeats.part_of(F.col("a"), layout.parts).alias("part"))
-    sent = StructType([StructField("part", IntegerType()), StructField("a", LongType()), StructField("text", BinaryType()), StructField("bs", BinaryType())])
+    """Of the pairs (a, b, to), links (a, b) with 100 * intersection >= percent * union on full sets.
+
+    The texts that one part has for another travel as one row.  ``to`` names what a stands
+    for: a document that is linked to it once is not compared with it again.
+    """
+    sent = StructType([StructField("part", IntegerType()), StructField("packed", BinaryType())])
 
     def send(table: pa.Table, wanted: pa.Table) -> pa.Table:
         out = []
         if wanted.num_rows:
             part = repeats.Part(table)
-            a, b = wanted.column("a").to_numpy(), wanted.column("b").to_numpy()
-            to = repeats.parts_of(b, layout.parts)
-            order = np.lexsort((to, a))
-            a, b, to = a[order], b[order], to[order]
-            cuts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (to[1:] != to[:-1])]))
-            for x, y in zip(cuts, [*cuts[1:], len(a)]):
-                for row in range(*np.searchsorted(part.doc, [a[x], a[x] + 1])):
-                    out.append((int(to[x]), int(a[x]), part.data[part.offsets[row] : part.offsets[row + 1]].tobytes(), b[x:y].tobytes()))
-        p, a, t, b = zip(*out) if out else ((), (), (), ())
-        return pa.table({"part": pa.array(p, pa.int32()), "a": pa.array(a, pa.int64()), "text": pa.array(t, pa.binary()), "bs": pa.array(b, pa.binary())})
+            a, b, to = repeats.unpack(wanted.column("packed").to_pylist(), PAIR)
+            order, dests = repeats.runs(repeats.parts_of(b.view(np.int64), layout.parts))
+            for dest, x, y in dests:
+                own = order[x:y]
+                names, which = np.unique(a[own].view(np.int64), return_inverse=True)
+                first, last = np.searchsorted(part.doc, names, "left"), np.searchsorted(part.doc, names, "right")
+                texts_ = [[part.data[part.offsets[r] : part.offsets[r + 1]].tobytes() for r in range(f, e)] for f, e in zip(first, last)]
+                out.append((dest, pickle.dumps((names, which, b[own].view(np.int64), to[own].view(np.int64), zstandard.ZstdCompressor(3).compress(pickle.dumps(texts_))))))
+        return pa.table({"part": pa.array([r[0] for r in out], pa.int32()), "packed": pa.array([r[1] for r in out], pa.binary())})
 
     def whole_set(raw: np.ndarray) -> np.ndarray:
         return shingles(raw, np.array([0, len(raw)]), size)[0]
@@ -187,24 +223,73 @@ def verified(layout: repeats.Layout, texts: DataFrame, pairs: DataFrame, size: i
     def check(table: pa.Table, came: pa.Table) -> pa.Table:
         out = []
         if came.num_rows:
-            part, own = repeats.Part(table), {}
-            for a, text, bs in zip(*(came.column(c).to_pylist() for c in ("a", "text", "bs"))):
-                x = whole_set(np.frombuffer(text, np.uint8))
-                for b in np.frombuffer(bs, np.int64).tolist():
-                    for row in range(*np.searchsorted(part.doc, [b, b + 1])):
-                        if row not in own:
-                            own[row] = whole_set(part.data[part.offsets[row] : part.offsets[row + 1]])
-                        y = own[row]
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        if both and 100 * both >= percent * (len(x) + len(y) - both):
-                            out.append((a, b))
+            part, own, done = repeats.Part(table), {}, set()
+            for packed in came.column("packed").to_pylist():
+                names, which, bs, tos, raw = pickle.loads(packed)
+                others = [[whole_set(np.frombuffer(t, np.uint8)) for t in texts_] for texts_ in pickle.loads(zstandard.ZstdDecompressor().decompress(raw))]
+                for w, b, to in zip(which.tolist(), bs.tolist(), tos.tolist()):
+                    if (b, to) in done:
+                        continue
+                    if b not in own:
+                        own[b] = [whole_set(part.data[part.offsets[r] : part.offsets[r + 1]]) for r in range(*np.searchsorted(part.doc, [b, b + 1]))]
+                    if any(_alike(x, y, percent) for x in others[w] for y in own[b]):
+                        done.add((b, to))
+                        out.append((int(names[w]), b))
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    moved = texts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(send, sent)
+    moved = texts.groupBy("part").cogroup(_dealt(layout, pairs).groupBy("part")).applyInArrow(send, sent)
     return texts.groupBy("part").cogroup(moved.groupBy("part")).applyInArrow(check, StructType([StructField("a", LongType()), StructField("b", LongType())]))
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets, neither empty."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _across(left: DataFrame, least: float) -> DataFrame:
+    """Pairs of different components in a band that may reach ``least``, each in its first band, packed.
+
+    ``left``: band, i, doc, component, n, sketch.  A pair (a, b) has b outside the largest component
+    of the band, and comes with the component of a.
+    """
+    found = StructType([StructField("packed", BinaryType())])
+    sizes = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = left.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "i", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "component", "n", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        doc, component, n, block = (table.column(c).to_numpy() for c in ("doc", "component", "n", "block"))
+        low, high, here = (table.column(c)[0].as_py() for c in ("low", "high", "i"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        names, inverse, times = np.unique(component, return_inverse=True, return_counts=True)
+        outside = inverse != np.argmax(times)  # pairs within the largest component need no look
+        out = []
+        for x in np.flatnonzero(outside):
+            own = (component != component[x]) & (~outside | (np.arange(len(doc)) > x)) & (100 * np.minimum(n, n[x]) >= 100 * least * np.maximum(n, n[x]))
+            own &= block != block[x] if low != high else True
+            y = np.flatnonzero(own)
+            if not len(y):
+                continue
+            same = sketch[y] == sketch[x]
+            y, same = y[same.mean(1) >= least - 2 * SLACK], same[same.mean(1) >= least - 2 * SLACK]
+            if len(y):
+                first = same.reshape(len(y), BANDS, ROWS).all(2).argmax(1) == here
+                y = y[first]
+                guess = estimate(sketch[y], np.broadcast_to(sketch[x], sketch[y].shape), n[y].astype(float), np.full(len(y), float(n[x])))
+                y = y[guess >= least - SLACK]
+                out.append(np.stack([doc[y], np.full(len(y), doc[x]), component[y]]))
+        pairs = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+        return pa.table({"packed": pa.array([repeats.pack([c.view(np.uint64) for c in pairs], PAIR)] if pairs.size else [], pa.binary())})
+
+    return dealt.groupBy("band", "low", "high").applyInArrow(compare, found)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable over links, its own included), kept."""
     layout = repeats.Layout(docs)
@@ -216,28 +301,44 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reps = scratch.table(linked.join(heads.withColumnRenamed("rep", "doc"), ["n", "k1", "k2", "doc"]).select("doc", "n", "sketch").distinct(), "reps")
 
     rows = _banded(reps)
-    shared = rows.groupBy("band").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    shared = scratch.table(rows.join(shared.select("band", "least"), "band"), "shared")
-    pairs = shared.where("doc != least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
-    near = scratch.table(_estimated(pairs, reps, percent / 100), "near")
+    many = rows.groupBy("band").agg(F.count("*").alias("times")).where("times > 1")
+    shared = scratch.table(rows.join(many, "band"), "shared")
+    central = scratch.table(shared.groupBy("doc").agg(F.sum("times").alias("central")), "central")
+    ranked = shared.join(central, "doc").select("band", "doc", F.struct("central", (-F.col("doc")).alias("last"), "doc").alias("rank"))
+    centres = ranked.groupBy("band").agg(F.max("rank").alias("centre"))
+    pairs = ranked.join(centres, "band").where(F.col("rank") != F.col("centre"))
+    pairs = pairs.select(F.col("centre.doc").alias("a"), F.col("doc").alias("b")).distinct()
+    near = _estimated(pairs, reps, percent / 100)
     best = scratch.table(near.groupBy("b").agg(F.max_by("a", F.struct("guess", -F.col("a"))).alias("a")).select("a", "b"), "best")
-    # rows with one id and different sets: their classes belong together
-    twice = classes.join(classes.groupBy("doc").agg(F.min("rep").alias("a")), "doc").where("rep != a").select("a", F.col("rep").alias("b"))
-    links = scratch.table(verified(layout, texts, best, size, percent).unionByName(twice), "links")
-    found = scratch.table(components.components(links), "components")
-
-    named = shared.join(found.withColumnRenamed("id", "doc"), "doc", "left").select("band", "doc", F.coalesce("component", "doc").alias("component"))
+    up = scratch.table(verified(layout, texts, best.select("a", "b", F.col("a").alias("to")), size, percent), "up")
+
+    # a document has one link up, to a more central one: two jumps name most components
+    label = up.select(F.col("b").alias("doc"), F.col("a").alias("component"))
+    for _ in range(2):
+        higher = label.select(F.col("doc").alias("component"), F.col("component").alias("next"))
+        label = label.join(higher, "component", "left").select("doc", F.coalesce("next", "component").alias("component"))
+    label = scratch.table(label, "label")
+    named = shared.select("band", "i", "doc").join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    left = named.join(mixed, "band").join(reps.select("doc", "n"), "doc").distinct()
-    a, b = left.alias("a"), left.alias("b")
-    across = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.component") < F.col("b.component")) & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent))
-    across = across.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
-    across = scratch.table(_estimated(across, reps, percent / 100).select("a", "b"), "across")
+    across = _across(named.join(mixed, "band").join(reps, "doc"), percent / 100)
     more = verified(layout, texts, across, size, percent)
-    final = components.components(scratch.table(links.unionByName(more), "all_links"))
+    # rows with one id and different sets: their classes belong together
+    twice = classes.join(classes.groupBy("doc").agg(F.min("rep").alias("a")), "doc").where("rep != a").select("a", F.col("rep").alias("b"))
+    chains = label.select("component").distinct().join(up.select(F.col("b").alias("component"), "a"), "component").select("a", F.col("component").alias("b"))
+    ends = more.unionByName(twice)
+    for end in ("a", "b"):
+        to = label.select(F.col("doc").alias(end), F.col("component").alias(f"{end}_to"))
+        ends = ends.join(to, end, "left").withColumn(end, F.coalesce(f"{end}_to", end)).drop(f"{end}_to")
+    merged = components.components(ends.select("a", "b").unionByName(chains).where("a != b").distinct())
+    # the least id of each component, over the labels that belong together
+    tops = reps.select("doc").join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    tops = tops.join(merged.select(F.col("id").alias("component"), F.col("component").alias("merged")), "component", "left").select("doc", F.coalesce("merged", "component").alias("component"))
+    tops = scratch.table(tops, "tops")
+    least = tops.groupBy("component").agg(F.min("doc").alias("least"))
+    final = tops.join(least, "component").select(F.col("doc").alias("rep"), F.col("least").alias("component"))
 
     answer = classes.groupBy("doc").agg(F.min("rep").alias("rep"))
-    answer = answer.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component_id"))
+    answer = answer.join(final, "rep", "left").select("doc", F.coalesce("component", "rep").alias("component_id"))
     out = all_.select("doc_id", "doc", F.col("n").alias("n_shingles")).join(answer, "doc", "left")
     component = F.coalesce("component_id", "doc")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
