@@ -35,7 +35,7 @@ from . import scratch
 #: Rows of a random range of the pieces of one length.
 RANGE = 250_000
 #: Words, and pieces of words, whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 _TOKENIZERS: dict[str, "WordIds"] = {}
 
