@@ -34,7 +34,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_NEEDS = {"email": "contains(text, '@')", "ip": "text RLIKE '[0-9]\\\\.[0-9]'", "card": "text RLIKE '[0-9]{3}'", "phone": "contains(text, '+')"}
+_NEEDS = {"email": "contains(text, '@')", "ip": "text RLIKE '[0-9]\\\\.[0-9]'", "card": "text RLIKE '[0-9](?:[ -]?[0-9]){12}'", "phone": "contains(text, '+')"}
 _DIGITS = "regexp_replace({m}, '[^0-9]', '')"
 _LUHN = """aggregate(sequence(1, length(d)), 0, (a, i) -> a + CASE WHEN (length(d) - i) % 2 = 0 THEN int(substr(d, i, 1))
   WHEN int(substr(d, i, 1)) > 4 THEN 2 * int(substr(d, i, 1)) - 9 ELSE 2 * int(substr(d, i, 1)) END) % 10 = 0"""

@@ -50,6 +50,15 @@ def test_base_spans(spark, docs, rows, size):
     assert {r["doc_id"]: spans(r["found"]) for r in pii.find(docs).collect()} == {i: plain(t) for i, t, *_ in rows}
 
 
+def test_cards_in_groups_of_one_and_two_digits(spark):
+    cards = ["41 11 11 11 11 11 11 11", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1-7 1", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "41-11 11-11 11-11 11-11", "0-0-0-0-0-0-0-0-0-0-0-0-0", "4-2-2-2-2-2-2-2-2-2-2-2-2"]
+    wrong = ["41 11 11 11 11 11 11 12", "0 0 0 0 0 0 0 0 0 0 0 0", "41  11 11 11 11 11 11 11", "4\t1-1-1-1-1-1-1-1-1-1-1-1-1-1-1"]
+    own = [(i, f"paid by {c}, thanks", None, None) for i, c in enumerate(cards + wrong)]
+    got = {r["doc_id"]: spans(r["found"]) for r in pii.find(frame(spark, own)).collect()}
+    assert got == {i: plain(t) for i, t, *_ in own}
+    assert sum(bool(got[i]) for i in range(len(cards))) >= 4 and not any(got[len(cards) + i] for i in range(3))
+
+
 def test_terms_that_disclose(spark):
     rows = [(i, f"Zorba wrote to z@x.org\nplain line {i}", None, None) for i in range(4)]
     rows += [(10 + i, f"wrote to o{i}@x.org about plain things", None, None) for i in range(30)]
