@@ -22,8 +22,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source."""
-    return lines.drop_boilerplate(docs, "source", LINE_RATIO, LINE_LEAST)
+    """Documents without the boilerplate lines of their source; near-duplicates count once for a line and are left to near-dedup."""
+    copies = setsketch.near_duplicates(docs).select("doc_id", F.col("component_id").alias("copy_of")).distinct()
+    return lines.drop_boilerplate(docs, "source", LINE_RATIO, LINE_LEAST, copies)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

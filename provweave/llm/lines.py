@@ -6,7 +6,9 @@ once for a line.  Counts are per host and line hash and are combined before thei
 a hot host or line costs one row per task.  The frequencies of a host's lines add up to
 the mean number of lines of its pages, so a host has at most that / ``ratio`` boilerplate
 lines, and they fit one row.  The table of them is stored, so that its true size decides
-whether it is broadcast; otherwise the join is by host, split where a host is hot.
+whether it is broadcast; otherwise the join is by host, split where a host is hot.  Where groups
+of copies are given, a group counts once for a line, so that what is copied whole is not
+taken for boilerplate; pages, their total, are counted as they are.
 
 Defined results: null and empty texts have no lines; rows with a null host are left as
 they are; repeated rows count as pages of their own; an empty table gives an empty
@@ -41,14 +43,22 @@ def host(url: Column) -> Column:
     return F.when(found != "", found)
 
 
-def boilerplate(pages: DataFrame, ratio: float, least: int) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float, least: int, copies: DataFrame | None = None) -> DataFrame:
     """(host, hashes): hashes of boilerplate lines of each host that has any.
 
-    ``pages``: host, lines (array of strings).
+    ``pages``: host, lines (array of strings), and doc_id if ``copies`` are given.
+    ``copies``: doc_id, each once, and copy_of; pages of one host and copy_of count once for a line,
+    and so do pages of equal lines whose doc_id has none.
     """
     own = pages.where(F.col("host").isNotNull())
     totals = own.groupBy("host").agg(F.count("*").alias("pages"))
-    each = own.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
+    hashes = F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))
+    if copies is None:
+        each = own.select("host", F.explode(hashes).alias("line"))
+    else:
+        each = own.select("host", "doc_id", hashes.alias("hashes")).join(copies, "doc_id", "left")
+        alone = F.concat(F.lit("="), F.xxhash64("hashes").cast("string"))
+        each = each.select("host", F.coalesce(F.col("copy_of").cast("string"), alone).alias("copy_of"), F.explode("hashes").alias("line")).distinct()
     found = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     found = found.join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("pages"))
     return found.groupBy("host").agg(F.collect_list("line").alias("hashes"))
@@ -59,11 +69,12 @@ def without(lines: Column, hashes: Column) -> Column:
     return F.when(hashes.isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(hashes, F.xxhash64(x))))
 
 
-def drop_boilerplate(docs: DataFrame, site: str, ratio: float, least: int) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``; ``site`` names the column of the host."""
+def drop_boilerplate(docs: DataFrame, site: str, ratio: float, least: int, copies: DataFrame | None = None) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of ``text``; ``site`` names the column of the host, ``copies`` as in ``boilerplate``."""
     own = docs.select(F.struct("*").alias("row"), F.col(site).cast("string").alias("host"), F.split(F.col("text"), "\n").alias("all"))
     lines = F.filter(F.coalesce("all", F.array().cast("array<string>")), lambda x: F.btrim(x, F.lit(t.BLANKS)) != "")
-    found = scratch.table(boilerplate(own.select("host", lines.alias("lines")), ratio, least), "boilerplate")
+    ids = [] if copies is None else [F.col("row").getField("doc_id").alias("doc_id")]
+    found = scratch.table(boilerplate(own.select("host", lines.alias("lines"), *ids), ratio, least, copies), "boilerplate")
     rows = own.join(found, "host", "left")
     text = F.when(F.col("hashes").isNull(), F.col("row").getField("text")).otherwise(F.array_join(without(F.col("all"), F.col("hashes")), "\n"))
     return rows.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -2,11 +2,12 @@
 
 import math
 import os
+import random
 
 import duckdb
 import public_tokenizers
 import pytest
-from samples import WORD
+from samples import WORD, frame, sentence
 from test_near import plain
 from test_packing import check
 
@@ -50,6 +51,23 @@ def test_lines_and_near_duplicates(kept):
     assert {r[0] for r in as_rows(kept[2][1])} == want
 
 
+def test_copies_are_left_to_near_dedup(spark):
+    rng = random.Random(3)
+    text = lambda: [sentence(rng, 30) for _ in range(4)]
+    common, exact, near = sentence(rng, 8), text(), text()
+    rows = [(i, "\n".join(text() + [common] * (i % 5 == 0)), "en", "s") for i in range(200)]
+    rows += [(1000 + i, "\n".join(exact), "en", "s") for i in range(16)] + [(None, "\n".join(exact[::-1]), "en", "s") for _ in range(16)]
+    for i in range(16):
+        changed = [x.split() for x in near]
+        changed[i % 4][5 + i] = f"changed{i}"
+        rows.append((2000 + i, "\n".join(" ".join(x) for x in changed), "en", "s"))
+    clean = corpus_pipeline.dedup_lines(spark, frame(spark, rows), SF).cache()
+    assert sorted(map(repr, as_rows(clean))) == sorted(repr((i, t.removesuffix("\n" + common), *more)) for i, t, *more in rows)
+    left = {r[0]: r[1] for r in as_rows(corpus_pipeline.dedup_documents(spark, clean, SF))}
+    assert set(left) == {*range(200), 1000, 2000, None}
+    assert left[1000] == "\n".join(exact) and left[2000] == rows[-16][1]
+
+
 def test_mixture_and_packing(kept):
     size = lambda rows: sum(len(WORD.findall(t or "")) for _, t, *_ in rows)
     before, mixed = as_rows(kept[2][1]), as_rows(kept[3][1])
