@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,26 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that waits for its next task holds little."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a partition, giving back at its end what it held."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (the splitmix64 finaliser)."""
     h = h ^ (h >> np.uint64(30))
@@ -89,6 +111,15 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(span(prefix(data), start, end))
 
 
+#: A second, independent code of each byte.
+_OTHER = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each word: 128 bits in all."""
+    return word_hashes(data, start, end), mix(span(prefix(_OTHER[data]), start, end))
+
+
 def counts(owner: np.ndarray, n: int) -> np.ndarray:
     """How many entries each of n texts owns."""
     return np.bincount(owner, minlength=n).astype(np.int64)

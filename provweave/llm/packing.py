@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,14 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from . import scratch
+from . import blocks, scratch
 
 #: Rows of a random range of the pieces of one length.
 RANGE = 250_000
-#: Words, and pieces of words, whose ids a worker remembers.
-REMEMBERED = 300_000
-
-_TOKENIZERS: dict[str, "WordIds"] = {}
+#: Words whose ids a worker remembers, in flat arrays of some 40 bytes a word.
+REMEMBERED = 600_000
+#: Longest word that is remembered, in bytes, and pieces of words that are.
+LONGEST, PIECES = 64, 50_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,34 +47,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in visible else next(rest)) for b in range(256)}
 
 
-class _Lately(dict):
-    """Values of a function for the keys met lately: the last REMEMBERED of them to twice as many."""
-
-    def __init__(self, of):
-        super().__init__()
-        self.of, self.before = of, {}
-
-    def __missing__(self, key):
-        found = self.before.get(key)
-        self[key] = found = self.of(key) if found is None else found
-        return found
-
-    def age(self) -> None:
-        if len(self) > REMEMBERED:
-            self.before = dict(self)
-            self.clear()
-
-
 class WordIds:
-    """Token ids of a text, word by word.
+    """Token ids of texts, word by word.
 
     White space is never part of a token of the vocabulary and no rule of the tokenizer looks
     across it, so the ids of a text are those of its words, and most words were met before.
-    The whole tokenizer takes tens of microseconds for a new word, its model alone a tenth of
-    that.  Where the tokenizer only lower-cases, splits by a pattern and maps bytes, the new
-    words of plain Latin texts (for which lower case and composition are certain) are split
-    here, and the model encodes pieces that were not met lately.  The words of other
-    texts go through the whole tokenizer.
+    The ids of words met lately lie in flat arrays in order of a 64-bit hash, with a second hash
+    to tell words apart, so a block of texts is looked up at once and the memory has a
+    fixed bound.  The whole tokenizer takes tens of microseconds for a new word, its model alone a
+    tenth of that.  Where the tokenizer only lower-cases, splits by a pattern and maps bytes, new
+    words of plain Latin letters (for which lower case and composition are certain) are split
+    here, and the model encodes the pieces.  Other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -83,43 +65,94 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words, self.others, self.pieces = _Lately(self._plain), _Lately(self._whole), _Lately(self._piece)
         spec = json.loads(self.tokenizer.to_str())
         steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         split, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         simple = steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and [(r["type"], r["add_prefix_space"], r["use_regex"]) for r in rest] == [("ByteLevel", False, False)]
         self.split = regex.compile(split["pattern"]["Regex"]).findall if simple else None
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.plain = regex.compile("[\\x09-\\x0d\\x20-\\x7e\\u00a1-\\u024f]*").fullmatch
+        self.plain = regex.compile("[\\x21-\\x7e\\u00a1-\\u024f]*").fullmatch
         self.letters = _byte_letters()
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all words."""
+        none = np.zeros(0, np.int64)
+        self.keys, self.others = none.view(np.uint64), none.view(np.uint64)
+        self.first, self.count, self.met, self.flat = none, none.astype(np.int32), none.astype(np.int32), np.zeros(0, np.uint32)
+        self.pieces: dict[str, list[int]] = {}
+        self.now = 0
+
+    def _piece(self, piece: str) -> list[int]:
+        found = self.pieces.get(piece)
+        if found is None:
+            found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+            if len(self.pieces) >= PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = found
+        return found
 
-    def _whole(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _plain(self, word: bytes) -> bytes:
-        return b"".join([self.pieces[p] for p in self.split(word.decode().lower())])
-
-    def of(self, texts: list[str | None], end: int) -> list[bytes]:
-        """Ids of each text and the end id, as little-endian 32-bit integers."""
-        last, out = struct.pack("<I", end), []
-        for text in texts:
-            text = text or ""
-            plain = self.split and self.plain(text) and not any(m in text for m in self.marks)
-            out.append(b"".join(map((self.words if plain else self.others).__getitem__, text.encode().split())) + last)
-            for lately in (self.words, self.others, self.pieces):
-                lately.age()
-        return out
-
-
-def _word_ids(path: str) -> WordIds:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
-    return _TOKENIZERS[path]
+    def word(self, word: bytes, marked: bool) -> list[int]:
+        """Ids of one word; ``marked``: it may hold the text of a special token."""
+        text = word.decode()
+        if self.split and self.plain(text) and not (marked and any(m in text for m in self.marks)):
+            return [i for p in self.split(text.lower()) for i in self._piece(p)]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _remember(self, keys: np.ndarray, others: np.ndarray, count: np.ndarray, flat: np.ndarray) -> None:
+        """Add words (keys ascending and unknown); beyond the bound those not met for longest go."""
+        first = len(self.flat) + np.cumsum(count) - count
+        at = np.searchsorted(self.keys, keys)
+        values = {"keys": keys, "others": others, "first": first, "count": count.astype(np.int32), "met": np.full(len(keys), self.now, np.int32)}
+        for name, value in values.items():
+            setattr(self, name, np.insert(getattr(self, name), at, value))
+        self.flat = np.concatenate([self.flat, flat])
+        if len(self.keys) > REMEMBERED:
+            late = np.partition(self.met, len(self.met) // 2)[len(self.met) // 2]
+            keep = np.flatnonzero(self.met >= late if (self.met >= late).mean() < 0.75 else self.met > late)
+            count = self.count[keep].astype(np.int64)
+            self.flat = self.flat[_spread(self.first[keep], count)]
+            self.keys, self.others, self.count, self.met = self.keys[keep], self.others[keep], self.count[keep], self.met[keep]
+            self.first = np.cumsum(count) - count
+
+    def of(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a block, each with the end id after it; where each text begins and ends)."""
+        start, stop, text = blocks.words(data, offsets)
+        key, other = blocks.word_keys(data, start, stop)
+        keys, sample, which = np.unique(key, return_index=True, return_inverse=True)
+        alone = bool((other != other[sample][which]).any())
+        if alone:  # two words of one hash: each for itself
+            keys, sample, which = key, np.arange(len(key)), np.arange(len(key))
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        taken = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        known = taken & (self.others[at] == other[sample]) if len(self.keys) else taken
+        raw = data.tobytes()
+        marked = any(m.encode() in raw for m in self.marks)
+        self.now += 1
+        self.met[at[known]] = self.now
+        fresh = np.flatnonzero(~known)
+        new = [self.word(raw[a:b], marked) for a, b in zip(start[sample[fresh]].tolist(), stop[sample[fresh]].tolist())]
+        n_new = np.fromiter(map(len, new), np.int64, len(new))
+        flat_new = np.fromiter((i for ids in new for i in ids), np.uint32, int(n_new.sum()))
+        count, first = np.zeros(len(keys) + 1, np.int64), np.zeros(len(keys) + 1, np.int64)
+        count[:-1][known], first[:-1][known] = self.count[at[known]], self.first[at[known]]
+        count[fresh], first[fresh] = n_new, len(self.flat) + np.cumsum(n_new) - n_new
+        count[-1], first[-1] = 1, len(self.flat) + len(flat_new)  # the end id is a word of its own
+        last = np.searchsorted(text, np.arange(len(offsets) - 1), "right")
+        order = np.insert(which, last, len(keys))
+        each = count[order]
+        ids = np.concatenate([self.flat, flat_new, np.array([end], np.uint32)])[_spread(first[order], each)]
+        cuts = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], last + np.arange(1, len(offsets))])]
+        kept = ((stop - start)[sample[fresh]] <= LONGEST) & ~taken[fresh]
+        if kept.any() and not alone:
+            self._remember(keys[fresh][kept], other[sample[fresh]][kept], n_new[kept], flat_new[np.repeat(kept, n_new)])
+        return ids, cuts
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at ``first``, end to end."""
+    done = np.cumsum(count)
+    return np.arange(int(done[-1]) if len(done) else 0) + np.repeat(first - (done - count), count)
 
 
 def pieces(docs: DataFrame, tokenizer: str, end: int = 2, size: int = 4096, keep_ids: bool = False) -> DataFrame:
@@ -128,18 +161,22 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 2, size: int = 4096, keep
     schema = StructType([own.schema["doc_id"], *(StructField(c, LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")), *([StructField("ids", BinaryType())] if keep_ids else [])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                row, start, length, crc, total, ids = [], [], [], [], [], []
-                for i, found in enumerate(_word_ids(tokenizer).of(batch.column("text").to_pylist(), end)):
-                    for a in range(0, len(found), 4 * size):
-                        piece = found[a : a + 4 * size]
-                        row.append(i), start.append(a // 4), length.append(len(piece) // 4), crc.append(zlib.crc32(piece)), total.append(len(found) // 4), ids.append(piece)
-                columns = [batch.column("doc_id").take(pa.array(row, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), *([pa.array(ids, pa.binary())] if keep_ids else [])]
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    return own.mapInArrow(cut, schema)
+        words = WordIds(tokenizer)
+        for batch, data, offsets in blocks.blocks(batches):
+            found, cuts = words.of(data, offsets, end)
+            total = np.diff(cuts)
+            n = -(-total // size)
+            row = np.repeat(np.arange(len(n)), n)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * size
+            length = np.minimum(size, total[row] - start)
+            low = cuts[row] + start
+            raw = memoryview(found.astype("<u4", copy=False)).cast("B")
+            ids = [raw[4 * a : 4 * b] for a, b in zip(low.tolist(), (low + length).tolist())]
+            crc = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids))
+            columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total[row])), *([pa.array([bytes(x) for x in ids], pa.binary())] if keep_ids else [])]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return own.mapInArrow(blocks.frugal(cut), schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> dict[str, np.ndarray]:
@@ -215,7 +252,7 @@ def pack(cut: DataFrame, size: int = 4096) -> DataFrame:
             offset = p["offset"][at] + turn % p["each"][at] * length
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], schema.names)
 
-    return ranked.mapInArrow(look_up, schema)
+    return ranked.mapInArrow(blocks.frugal(look_up), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, size: int = 4096, keep_ids: bool = True) -> DataFrame:

@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, **options) -> Mo
 
     schema = StructType([StructField("label", LongType()), StructField("at", LongType()), StructField("shares", BinaryType())])
     # repeated ids could bring more rows than were sampled: the bound holds again
-    rows = sorted(joined.mapInArrow(shares, schema).limit(2 * sample).collect(), key=lambda r: (r["at"], r["label"]))
+    rows = sorted(joined.mapInArrow(blocks.frugal(shares), schema).limit(2 * sample).collect(), key=lambda r: (r["at"], r["label"]))
     matrix = np.stack([np.frombuffer(r["shares"], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, TERMS), np.float32)
     return Model(matrix, np.array([r["label"] for r in rows], np.float64), **options)
 
@@ -144,7 +144,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch, data, offsets in blocks.blocks(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(term_shares(data, offsets)))], ["doc_id", "score"])
 
-    return own.mapInArrow(scored, StructType([own.schema["doc_id"], StructField("score", DoubleType())]))
+    return own.mapInArrow(blocks.frugal(scored), StructType([own.schema["doc_id"], StructField("score", DoubleType())]))
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
@@ -156,4 +156,4 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
             good = shared.value.score(term_shares(data, offsets)) >= least
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(kept, schema)
+    return docs.mapInArrow(blocks.frugal(kept), schema)

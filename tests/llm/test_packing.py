@@ -66,15 +66,32 @@ def test_repeated_rows_null_ids_and_nothing(spark, no_docs):
 @pytest.mark.parametrize("text", ["Straße ΑΣ ΣΑΣ İstanbul", "été café", "it's we'll <|endoftext|> a<|startoftext|>b", "a b c\x1cd\x85e", "1234 x1y2 ½²", "日本語 текст 😀!?", "don't DON'T L'été «quoted»", "\x00\x01 soft­hyphen"])
 def test_words_give_the_ids_of_the_text(text):
     tokenizer = Tokenizer.from_file(PATH)
-    assert np.frombuffer(packing.WordIds(PATH).of([text], 2)[0], "<u4").tolist() == ids_of(tokenizer, text)
+    assert ids_by(packing.WordIds(PATH), [text]) == [ids_of(tokenizer, text)]
 
 
-def test_remembered_words_do_not_change_ids(monkeypatch, rows):
-    monkeypatch.setattr(packing, "REMEMBERED", 5)
+def ids_by(words, texts):
+    raw = [(t or "").encode() for t in texts]
+    found, cuts = words.of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 2)
+    return [found[a:b].tolist() for a, b in zip(cuts, cuts[1:])]
+
+
+@pytest.mark.parametrize("most", [1, 5, 200])
+def test_remembered_words_do_not_change_ids(monkeypatch, rows, most):
+    monkeypatch.setattr(packing, "REMEMBERED", most)
+    monkeypatch.setattr(packing, "PIECES", 3)
+    words, tokenizer = packing.WordIds(PATH), Tokenizer.from_file(PATH)
+    texts = [r[1] for r in rows]
+    for some in (texts, texts[:9], texts[9:], texts):
+        assert ids_by(words, some) == [ids_of(tokenizer, t) for t in some]
+    assert len(words.keys) == len(words.first) <= 2 * most
+
+
+def test_words_of_one_hash_keep_their_own_ids(monkeypatch, rows):
+    keys = packing.blocks.word_keys
+    monkeypatch.setattr(packing.blocks, "word_keys", lambda *a: (keys(*a)[0] & np.uint64(7), keys(*a)[1]))
     words, tokenizer = packing.WordIds(PATH), Tokenizer.from_file(PATH)
-    for _ in range(2):
-        for found, (_, t, *_) in zip(words.of([r[1] for r in rows], 2), rows):
-            assert np.frombuffer(found, "<u4").tolist() == ids_of(tokenizer, t)
+    for t in (rows[0][1], rows[1][1], "a b", "c", rows[0][1]):
+        assert ids_by(words, [t]) == [ids_of(tokenizer, t)]
 
 
 def test_histogram_packing_places_every_piece():
