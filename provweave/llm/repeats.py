@@ -1,9 +1,10 @@
 """What repeats across documents: the parts shared by the substring operators.
 
-Texts are dealt once into parts by document id, and all passes over them read that one
-exchange.  A pass emits requests (hash, document, position) and the answers come back
+Texts are dealt once into parts of a few megabytes by document id, and all passes over them
+read that one exchange.  A pass emits requests (hash, document, position) and the answers come back
 to the part of the document.  Requests and answers travel as packed columns, one row
-per part and bucket, so a shuffle moves a few bytes a request and hardly any rows.
+per part and bucket, so a shuffle moves a few bytes a request and hardly any rows.  Parts and buckets
+are as many as the bytes of the texts ask for, whatever the number of shuffle partitions.
 
 A part answers by itself what it can: of the requests of one hash only one of the
 smallest document leaves the part, so a string that a third of all documents hold costs
@@ -21,38 +22,56 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, IntegralType, NullType, StructField, StructType
 
 from . import blocks
 
 LAST = (1 << 63) - 1
+#: Ids from here on are reserved: they stand for a null id in part LAST - id, and count as equal.
+NULLS = LAST - (1 << 31)
 #: Rows that travel: bucket or part, what it is (0 a request, 1 an answer), packed columns.
 TRAVEL = StructType([StructField("dest", IntegerType()), StructField("kind", IntegerType()), StructField("packed", BinaryType())])
 
 
-def part_of(doc: Column, parts: int) -> Column:
-    mixed = doc.bitwiseXOR(F.shiftrightunsigned(doc, 15)).bitwiseXOR(F.shiftrightunsigned(doc, 31))
-    return F.pmod(mixed, F.lit(parts)).cast("int")
+#: Bytes of texts that a part holds, but for one longer text.
+PART = 4 << 20
 
 
 def parts_of(doc: np.ndarray, parts: int) -> np.ndarray:
-    """``part_of`` for arrays."""
+    """Parts of documents; ``Layout.texts`` names the same."""
     own = doc.view(np.uint64)
-    return np.mod((own ^ (own >> np.uint64(15)) ^ (own >> np.uint64(31))).view(np.int64), parts).astype(np.int32)
+    mixed = np.mod((own ^ (own >> np.uint64(15)) ^ (own >> np.uint64(31))).view(np.int64), parts)
+    return np.where(doc >= NULLS, LAST - doc, mixed).astype(np.int32)
 
 
-class Layout:
-    """Parts of texts and buckets of hashes for a session: in step with its shuffle partitions."""
+def rank(doc: np.ndarray) -> np.ndarray:
+    """Ids as they compare: null ids are equal and last."""
+    return np.minimum(doc, NULLS)
+
 
-    def __init__(self, df: DataFrame):
-        self.tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.parts = 2 * self.tasks + 1
-        self.buckets = 2 * self.tasks
+class Layout:
+    """Parts of texts and buckets of hashes: their number follows the bytes of the texts, so that each
+    fits a worker at any size of the input and rows that travel never outnumber what they carry."""
+
+    def __init__(self, docs: DataFrame):
+        kind = docs.schema["doc_id"].dataType
+        if not isinstance(kind, IntegralType | NullType):
+            raise TypeError(f"doc_id must be an integer column, not {kind.simpleString()}")
+        session = docs.sparkSession
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        self.tasks = int(session.conf.get("spark.sql.shuffle.partitions"))
+        self.parts = max(2 * session.sparkContext.defaultParallelism + 1, -(-size // PART))
+        self.buckets = self.parts
+
+    def bucket(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int32)
 
     def texts(self, docs: DataFrame) -> DataFrame:
-        """part, doc (id; last of all if null), doc_id, text."""
-        doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-        return docs.select(part_of(doc, self.parts).alias("part"), doc.alias("doc"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        """part, doc (its id, or a reserved one), doc_id, text; rows without an id are dealt by their text."""
+        text, doc = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+        mixed = doc.bitwiseXOR(F.shiftrightunsigned(doc, 15)).bitwiseXOR(F.shiftrightunsigned(doc, 31))
+        part = F.pmod(F.coalesce(mixed, F.xxhash64(text)), F.lit(self.parts)).cast("int")
+        return docs.select(part.alias("part"), F.coalesce(doc, F.lit(LAST) - part).alias("doc"), "doc_id", text.alias("text"))
 
 
 class Part:
@@ -170,21 +189,20 @@ def requests(layout: Layout, hashes: list[np.ndarray], doc: np.ndarray, place: n
         return
     order, first = groups(hashes)
     doc, place, hashes = doc[order], place[order], [h[order] for h in hashes]
-    sizes = np.diff(np.append(first, len(doc)))
-    least = np.repeat(np.minimum.reduceat(doc, first), sizes)
+    sizes, own = np.diff(np.append(first, len(doc))), rank(doc)
+    least = np.repeat(np.minimum.reduceat(own, first), sizes)
     if later:
-        known = doc > least
+        known = own > least
         sent = ~known
     else:
-        known = np.repeat(np.maximum.reduceat(doc, first), sizes) > least
+        known = np.repeat(np.maximum.reduceat(own, first), sizes) > least
         # one request for all occurrences here: it wakes the other parts; without a second document here all must be answered
         sent = np.where(known, np.isin(np.arange(len(doc)), first), True)
     if known.any():
         yield from dealt(1, parts_of(doc[known], layout.parts) + layout.buckets, [doc[known].view(np.uint64), place[known]], [8, 8])
     # bit 39 of a place marks a request whose answer is known already
     place = np.where(known & sent, place | np.uint64(1 << 39), place)
-    dest = ((hashes[0] >> np.uint64(48)) % np.uint64(layout.buckets)).astype(np.int32)
-    yield from dealt(0, dest[sent], [*(h[sent] for h in hashes), doc[sent].view(np.uint64), place[sent]], _widths(len(hashes)))
+    yield from dealt(0, layout.bucket(hashes[0][sent]), [*(h[sent] for h in hashes), doc[sent].view(np.uint64), place[sent]], _widths(len(hashes)))
 
 
 def answers(layout: Layout, sent: DataFrame, hashes: int, later: bool) -> DataFrame:
@@ -196,9 +214,9 @@ def answers(layout: Layout, sent: DataFrame, hashes: int, later: bool) -> DataFr
             doc = doc.view(np.int64)
             order, first = groups(own)
             doc, place = doc[order], place[order]
-            sizes = np.diff(np.append(first, len(doc)))
-            least = np.repeat(np.minimum.reduceat(doc, first), sizes)
-            hit = doc > least if later else np.repeat(np.maximum.reduceat(doc, first), sizes) > least
+            sizes, ids = np.diff(np.append(first, len(doc))), rank(doc)
+            least = np.repeat(np.minimum.reduceat(ids, first), sizes)
+            hit = ids > least if later else np.repeat(np.maximum.reduceat(ids, first), sizes) > least
             hit &= (place >> np.uint64(39)) & np.uint64(1) == 0
             yield from dealt(1, parts_of(doc[hit], layout.parts), [doc[hit].view(np.uint64), place[hit]], [8, 8])
 
@@ -224,19 +242,25 @@ def answers(layout: Layout, sent: DataFrame, hashes: int, later: bool) -> DataFr
             yield from out(solved(held))
 
     dealt_out = sent.repartition(layout.tasks, "dest").sortWithinPartitions("dest")
-    return dealt_out.mapInArrow(resolve, StructType([StructField("part", IntegerType()), StructField("packed", BinaryType())]))
+    return dealt_out.mapInArrow(blocks.frugal(resolve), StructType([StructField("part", IntegerType()), StructField("packed", BinaryType())]))
 
 
 def visit(texts: DataFrame, found: DataFrame | None, run: Callable, schema: StructType) -> DataFrame:
     """``run(part, rows, positions)`` for each part; the last two are what ``found`` answers."""
 
     def alone(table: pa.Table) -> pa.Table:
-        return run(Part(table))
+        try:
+            return run(Part(table))
+        finally:
+            blocks.give_back()
 
     def answered(table: pa.Table, hits: pa.Table) -> pa.Table:
-        part = Part(table)
-        doc, place = unpack(hits.column("packed").to_pylist(), [8, 8])
-        return run(part, *part.find(doc.view(np.int64), place))
+        try:
+            part = Part(table)
+            doc, place = unpack(hits.column("packed").to_pylist(), [8, 8])
+            return run(part, *part.find(doc.view(np.int64), place))
+        finally:
+            blocks.give_back()
 
     if found is None:
         return texts.groupBy("part").applyInArrow(alone, schema)

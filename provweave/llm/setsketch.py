@@ -133,7 +133,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 rows[full] = [x.tobytes() for x in registers(found, first)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc"), pa.array(n.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(rows, pa.binary())], schema.names)
 
-    return own.mapInArrow(sketched, schema)
+    return own.mapInArrow(blocks.frugal(sketched), schema)
 
 
 def _banded(reps: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def _banded(reps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), lists], ["doc", "bands"])
 
     schema = StructType([StructField("doc", LongType()), StructField("bands", ArrayType(LongType()))])
-    return reps.select("doc", "sketch").mapInArrow(banded, schema).select("doc", F.posexplode("bands").alias("i", "band"))
+    return reps.select("doc", "sketch").mapInArrow(blocks.frugal(banded), schema).select("doc", F.posexplode("bands").alias("i", "band"))
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -165,38 +165,41 @@ def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
                 keep = pa.array(guess >= least - SLACK)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((guess * 1000).astype(np.int32))], ["a", "b", "guess"]).filter(keep)
 
-    return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("guess", IntegerType())]))
+    return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(blocks.frugal(run), StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("guess", IntegerType())]))
 
 
 #: Columns of a packed pair: its ends a and b, and the component that a stands for.
 PAIR = [8, 8, 8]
 
 
+def _by_part(layout: repeats.Layout, columns: list[np.ndarray]) -> pa.Table:
+    """Pairs (a, b, to) packed for the parts of a."""
+    rows = list(repeats.dealt(0, repeats.parts_of(columns[0].view(np.int64), layout.parts), columns, PAIR))
+    return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[2] for r in rows], pa.binary())})
+
+
+#: Packed pairs that go to a part.
+DEALT = StructType([StructField("part", IntegerType()), StructField("packed", BinaryType())])
+
+
 def _dealt(layout: repeats.Layout, pairs: DataFrame) -> DataFrame:
-    """Pairs, as columns (a, b, to) or packed, dealt to the parts of a: one row for each part and task."""
+    """Pairs (a, b, to) dealt to the parts of a: one row for each part and task."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
-            if "packed" in batch.schema.names:
-                held += [repeats.unpack([x], PAIR) for x in batch.column("packed").to_pylist()]
-            else:
-                held.append([batch.column(c).to_numpy().view(np.uint64) for c in ("a", "b", "to")])
+            held.append([batch.column(c).to_numpy().view(np.uint64) for c in ("a", "b", "to")])
             if sum(len(h[0]) for h in held) > 1_000_000:
-                yield from flush(held)
+                yield from _by_part(layout, [np.concatenate(c) for c in zip(*held)]).to_batches()
                 held = []
-        yield from flush(held)
-
-    def flush(held: list[list[np.ndarray]]) -> list[pa.RecordBatch]:
-        columns = [np.concatenate(c) for c in zip(*held)] if held else [np.zeros(0, np.uint64)] * 3
-        rows = list(repeats.dealt(0, repeats.parts_of(columns[0].view(np.int64), layout.parts), columns, PAIR))
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[2] for r in rows], pa.binary())}).to_batches()
+        if held:
+            yield from _by_part(layout, [np.concatenate(c) for c in zip(*held)]).to_batches()
 
-    return pairs.mapInArrow(deal, StructType([StructField("part", IntegerType()), StructField("packed", BinaryType())]))
+    return pairs.mapInArrow(blocks.frugal(deal), DEALT)
 
 
 def verified(layout: repeats.Layout, texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b, to), links (a, b) with 100 * intersection >= percent * union on full sets.
+    """Of the pairs (a, b, to), dealt to parts, links (a, b) with 100 * intersection >= percent * union on full sets.
 
     The texts that one part has for another travel as one row.  ``to`` names what a stands
     for: a document that is linked to it once is not compared with it again.
@@ -205,6 +208,7 @@ def verified(layout: repeats.Layout, texts: DataFrame, pairs: DataFrame, size: i
 
     def send(table: pa.Table, wanted: pa.Table) -> pa.Table:
         out = []
+        blocks.give_back()
         if wanted.num_rows:
             part = repeats.Part(table)
             a, b, to = repeats.unpack(wanted.column("packed").to_pylist(), PAIR)
@@ -222,6 +226,7 @@ def verified(layout: repeats.Layout, texts: DataFrame, pairs: DataFrame, size: i
 
     def check(table: pa.Table, came: pa.Table) -> pa.Table:
         out = []
+        blocks.give_back()
         if came.num_rows:
             part, own, done = repeats.Part(table), {}, set()
             for packed in came.column("packed").to_pylist():
@@ -238,7 +243,7 @@ def verified(layout: repeats.Layout, texts: DataFrame, pairs: DataFrame, size: i
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    moved = texts.groupBy("part").cogroup(_dealt(layout, pairs).groupBy("part")).applyInArrow(send, sent)
+    moved = texts.groupBy("part").cogroup(pairs.groupBy("part")).applyInArrow(send, sent)
     return texts.groupBy("part").cogroup(moved.groupBy("part")).applyInArrow(check, StructType([StructField("a", LongType()), StructField("b", LongType())]))
 
 
@@ -250,13 +255,12 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _across(left: DataFrame, least: float) -> DataFrame:
+def _across(layout: repeats.Layout, left: DataFrame, least: float) -> DataFrame:
     """Pairs of different components in a band that may reach ``least``, each in its first band, packed.
 
     ``left``: band, i, doc, component, n, sketch.  A pair (a, b) has b outside the largest component
     of the band, and comes with the component of a.
     """
-    found = StructType([StructField("packed", BinaryType())])
     sizes = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = left.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -285,9 +289,10 @@ def _across(left: DataFrame, least: float) -> DataFrame:
                 y = y[guess >= least - SLACK]
                 out.append(np.stack([doc[y], np.full(len(y), doc[x]), component[y]]))
         pairs = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-        return pa.table({"packed": pa.array([repeats.pack([c.view(np.uint64) for c in pairs], PAIR)] if pairs.size else [], pa.binary())})
+        return _by_part(layout, [c.view(np.uint64) for c in pairs])
 
-    return dealt.groupBy("band", "low", "high").applyInArrow(compare, found)
+    # small in bytes but not in work: as many tasks as there are parts
+    return dealt.repartition(layout.parts, "band", "low", "high").groupBy("band", "low", "high").applyInArrow(compare, DEALT)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -310,7 +315,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     pairs = pairs.select(F.col("centre.doc").alias("a"), F.col("doc").alias("b")).distinct()
     near = _estimated(pairs, reps, percent / 100)
     best = scratch.table(near.groupBy("b").agg(F.max_by("a", F.struct("guess", -F.col("a"))).alias("a")).select("a", "b"), "best")
-    up = scratch.table(verified(layout, texts, best.select("a", "b", F.col("a").alias("to")), size, percent), "up")
+    up = scratch.table(verified(layout, texts, _dealt(layout, best.select("a", "b", F.col("a").alias("to"))), size, percent), "up")
 
     # a document has one link up, to a more central one: two jumps name most components
     label = up.select(F.col("b").alias("doc"), F.col("a").alias("component"))
@@ -320,7 +325,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     label = scratch.table(label, "label")
     named = shared.select("band", "i", "doc").join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    across = _across(named.join(mixed, "band").join(reps, "doc"), percent / 100)
+    across = _across(layout, named.join(mixed, "band").join(reps, "doc"), percent / 100)
     more = verified(layout, texts, across, size, percent)
     # rows with one id and different sets: their classes belong together
     twice = classes.join(classes.groupBy("doc").agg(F.min("rep").alias("a")), "doc").where("rep != a").select("a", F.col("rep").alias("b"))

@@ -17,7 +17,8 @@ Hashes are 64 bits for candidates and two independent ones, 128 bits, at the las
 
 Defined results: null, empty and short texts have nothing removed; a null id counts as
 the largest; rows with equal ids are not compared with each other; an empty table gives
-an empty result; further columns are ignored.
+an empty result; further columns are ignored.  Ids are integers (others are refused); the last
+2 ** 31 longs are reserved.
 """
 
 from __future__ import annotations

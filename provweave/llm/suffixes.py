@@ -153,6 +153,7 @@ def _copies(data: np.ndarray, key: np.ndarray, doc: np.ndarray, start: np.ndarra
         return np.zeros(0, np.int64)
     order, begin = repeats.groups([key])
     group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+    doc = repeats.rank(doc)
     smallest = np.flatnonzero(doc[order] == np.minimum.reduceat(doc[order], begin)[group])
     holder = np.zeros(len(begin), np.int64)
     holder[group[smallest][::-1]] = order[smallest][::-1]
@@ -220,7 +221,7 @@ def surroundings(layout: repeats.Layout, texts: DataFrame, n: int, k: int) -> Da
         later = _copies(part.data, whole ^ blocks.mix(anchor + lead.astype(np.uint64)), doc, low, size)
         out = [(to + layout.buckets, 1, packed) for to, _, packed in _spans(doc[later], place[later], windows[later], layout.parts)]
         sent = np.delete(np.arange(len(doc)), later)
-        order, dests = repeats.runs(((anchor[sent] >> np.uint64(48)) % np.uint64(layout.buckets)).astype(np.int32))
+        order, dests = repeats.runs(layout.bucket(anchor[sent]))
         sent = sent[order]
         columns = [anchor[sent], lead[sent].astype(np.uint64), doc[sent].view(np.uint64), place[sent], size[sent].astype(np.uint64)]
         out += [(to, 0, _wrap([c[a:b] for c in columns], _gather(part.data, low[sent[a:b]], size[sent[a:b]])[0])) for to, a, b in dests]
@@ -252,7 +253,7 @@ def sort_suffixes(layout: repeats.Layout, around: DataFrame, n: int) -> DataFram
             check = np.flatnonzero(same)
             same[check] = suffixes.equal_bytes(ordered[check - 1], ordered[check])
         begin = np.flatnonzero(~same)
-        own = doc[suffix_row[ordered]]
+        own = repeats.rank(doc)[suffix_row[ordered]]
         least = np.repeat(np.minimum.reduceat(own, begin), np.diff(np.append(begin, len(own)))) if len(own) else own
         gone = np.sort(ordered[own > least])
         if len(gone):
@@ -305,7 +306,7 @@ def sort_suffixes(layout: repeats.Layout, around: DataFrame, n: int) -> DataFram
         if held:
             yield from out(bucket(held))
 
-    return around.repartition(layout.tasks, "dest").sortWithinPartitions("dest").mapInArrow(run, StructType([StructField("part", IntegerType()), StructField("packed", BinaryType())]))
+    return around.repartition(layout.tasks, "dest").sortWithinPartitions("dest").mapInArrow(blocks.frugal(run), StructType([StructField("part", IntegerType()), StructField("packed", BinaryType())]))
 
 
 def dedup(docs: DataFrame, n: int = 50, k: int = 24, keep_bytes: bool = True) -> DataFrame:
@@ -317,7 +318,12 @@ def dedup(docs: DataFrame, n: int = 50, k: int = 24, keep_bytes: bool = True) ->
     schema = StructType([*fields, *([StructField("kept", BinaryType())] if keep_bytes else [])])
 
     def kept(table: pa.Table, hits: pa.Table) -> pa.Table:
-        part = repeats.Part(table)
+        try:
+            return cleaned(repeats.Part(table), hits)
+        finally:
+            blocks.give_back()
+
+    def cleaned(part: repeats.Part, hits: pa.Table) -> pa.Table:
         doc, place, count = repeats.unpack(hits.column("packed").to_pylist(), SPAN)
         # the number of windows rides along as a third position
         rows, at, times = _find_with(part, doc.view(np.int64), place, count.astype(np.int64))
