@@ -13,13 +13,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BOUNDS = """
-  SELECT {keys} rule, any_value(total) AS total,
-         min(CASE WHEN upto * 100 >= total * 50 THEN low END) AS q50,
-         min(CASE WHEN upto * 100 >= total * 75 THEN low END) AS q75
-  FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} rule) AS total,
-               sum(n) OVER (PARTITION BY {keys} rule ORDER BY low) AS upto FROM {sketch})
-  GROUP BY {keys} rule"""
-_STEP = "CASE rule WHEN 'symbols' THEN 5 WHEN 'dup_lines' THEN 100 WHEN 'repeats' THEN 80 WHEN 'capitals' THEN 40 ELSE 100 END"
+  SELECT {keys} rule, CAST(any_value(total) AS DOUBLE) AS n,
+         q50 + 8 * greatest(CAST(q75 - q50 AS DOUBLE), (q90 - q50) / 2.0, CASE rule WHEN 'dup_lines' THEN 50 WHEN 'repeats' THEN 20 WHEN 'word_length' THEN 5 ELSE 1 END) AS bound
+  FROM (SELECT {keys} rule, any_value(total) AS total, min(CASE WHEN upto * 100 >= total * 50 THEN low END) AS q50,
+               min(CASE WHEN upto * 100 >= total * 75 THEN low END) AS q75, min(CASE WHEN upto * 100 >= total * 90 THEN low END) AS q90
+        FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} rule) AS total,
+                     sum(n) OVER (PARTITION BY {keys} rule ORDER BY low) AS upto FROM {sketch}) GROUP BY {keys} rule)
+  GROUP BY {keys} rule, q50, q75, q90"""
 
 ORACLE_SQL = rf"""
 WITH parsed AS (
@@ -59,13 +59,9 @@ a AS ({_BOUNDS.format(keys='lang, source,', sketch='own')}),
 b AS ({_BOUNDS.format(keys='lang,', sketch='by_lang')}),
 c AS ({_BOUNDS.format(keys='', sketch='overall')}),
 bounds AS (
-  SELECT g.lang, g.source, c.rule,
-         coalesce(CASE WHEN a.total >= 200 THEN a.q50 + 6 * greatest(a.q75 - a.q50, {_STEP.replace('CASE rule', 'CASE c.rule')}) END,
-                  CASE WHEN b.total >= 200 THEN b.q50 + 6 * greatest(b.q75 - b.q50, {_STEP.replace('CASE rule', 'CASE c.rule')}) END,
-                  c.q50 + 6 * greatest(c.q75 - c.q50, {_STEP.replace('CASE rule', 'CASE c.rule')})) AS most
-  FROM (SELECT DISTINCT lang, source FROM own) g CROSS JOIN c
-  LEFT JOIN a ON a.lang IS NOT DISTINCT FROM g.lang AND a.source IS NOT DISTINCT FROM g.source AND a.rule = c.rule
-  LEFT JOIN b ON b.lang IS NOT DISTINCT FROM g.lang AND b.rule = c.rule),
+  SELECT lang, source, rule, least((n * bound + 100 * b) / (n + 100), 2.0 * b) AS most
+  FROM (SELECT a.lang, a.source, a.rule, a.n, a.bound, least((b.n * b.bound + 100 * c.bound) / (b.n + 100), 2.0 * c.bound) AS b
+        FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.rule = b.rule JOIN c ON c.rule = a.rule)),
 wide AS (
   SELECT lang, source, max(most) FILTER (rule = 'symbols') AS s, max(most) FILTER (rule = 'dup_lines') AS d,
          max(most) FILTER (rule = 'repeats') AS p, max(most) FILTER (rule = 'capitals') AS k, max(most) FILTER (rule = 'word_length') AS l
