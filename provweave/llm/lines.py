@@ -28,12 +28,16 @@ BLOCKS = "p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|nav|footer|header|article|sect
 
 
 def html_lines(html: Column) -> Column:
-    """Visible lines of a page: tags, scripts, styles and comments gone, blanks collapsed."""
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), "(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    bare = F.regexp_replace(bare, "(?s)<!--.*?-->", " ")
+    """Visible lines of a page: tags, scripts, styles and comments gone, blanks collapsed.
+
+    What is opened and never closed, a script, a style or a comment, runs to the end of the page; a
+    tag ends before the next ``<`` at the latest.  So no pattern looks at a byte more than a few times.
+    """
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), "(?is)<(?:script|style)[^>]*+(?:>.*?(?:</(?:script|style)>|\\z)|\\z)", " ")
+    bare = F.regexp_replace(bare, "(?s)<!--.*?(?:-->|\\z)", " ")
     bare = F.regexp_replace(bare, f"{t.BLANK}+", " ")
-    bare = F.regexp_replace(bare, f"(?i)</?({BLOCKS})(>|[ /][^>]*>)", "\n")
-    bare = F.regexp_replace(bare, "<[^>]*>", "")
+    bare = F.regexp_replace(bare, f"(?i)</?({BLOCKS})(>|[ /][^<>]*+>)", "\n")
+    bare = F.regexp_replace(bare, "<[^<>]*+>", "")
     return F.filter(F.transform(F.split(bare, "\n"), lambda x: F.btrim(F.regexp_replace(x, " +", " "))), lambda x: x != "")
 
 
@@ -81,8 +85,12 @@ def drop_boilerplate(docs: DataFrame, site: str, ratio: float, least: int, copie
 
 
 def clean_pages(pages: DataFrame, ratio: float = 0.25, least: int = 3) -> DataFrame:
-    """page_id, host, n_lines, n_dropped, text of every page (page_id, url, html)."""
-    own = pages.select("page_id", host(F.col("url")).alias("host"), html_lines(F.col("html")).alias("lines"))
+    """page_id, host, n_lines, n_dropped, text of every page (page_id, url, html).
+
+    Pages are parsed once; their lines are stored and read for the counts and for the result.
+    """
+    own = pages.select("page_id", host(F.col("url").cast("string")).alias("host"), html_lines(F.col("html").cast("string")).alias("lines"))
+    own = scratch.table(own, "lines")
     rows = own.join(scratch.table(boilerplate(own.select("host", "lines"), ratio, least), "boilerplate"), "host", "left")
     rows = rows.withColumn("left", without(F.col("lines"), F.col("hashes")))
     return rows.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_dropped"), F.array_join("left", "\n").alias("text"))

@@ -15,8 +15,8 @@ ORACLE_SQL = rf"""
 WITH bare AS (
   SELECT page_id, row_number() OVER () AS r, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:]+)', 2)) AS h,
          regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
-           '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'),
-           '[\x20\x09-\x0D]+', ' ', 'g'), '(?i)</?({lines.BLOCKS})(>|[ /][^>]*>)', chr(10), 'g'), '<[^>]*>', '', 'g') AS text
+           '(?is)<(?:script|style)[^>]*(?:>.*?(?:</(?:script|style)>|\z)|\z)', ' ', 'g'), '(?s)<!--.*?(?:-->|\z)', ' ', 'g'),
+           '[\x20\x09-\x0D]+', ' ', 'g'), '(?i)</?({lines.BLOCKS})(>|[ /][^<>]*>)', chr(10), 'g'), '<[^<>]*>', '', 'g') AS text
   FROM pages),
 parsed AS (
   SELECT page_id, r, CASE WHEN h != '' THEN h END AS host,

@@ -1,5 +1,6 @@
 """Line dedup against plain counting."""
 
+import time
 from collections import Counter, defaultdict
 
 from samples import frame
@@ -20,6 +21,20 @@ def test_pages(spark):
     assert texts[20] == (20, "b.org", 5, 0, "T20\nHome\nown text 20\nPart 2\n© b.org") and texts[40] == (40, None, 1, 0, "Home") and texts[41] == (41, None, 0, 0, "") and texts[None] == (None, "a.org", 0, 0, "")
 
 
+def test_malformed_pages(spark):
+    odd = {"<p>a<script>b<p>c": "a", "a<!-- b <p>c": "a", "a<p <p>b</p": "a<p\nb</p", "1 < 2 > 0 <b": "1 0 <b", "<style x": "", "<SCRIPT a='>'>x</Script>y": "y", "a<!--b-->c<!-->d": "a c"}
+    rows = [(i, "http://a.org", h, "h", 1, "l") for i, h in enumerate(odd)]
+    got = {r["page_id"]: r["text"] for r in lines.clean_pages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(len(odd))] == list(odd.values())
+
+
+def test_long_malformed_pages_take_linear_time(spark):
+    rows = [(i, "http://a.org", h, "h", 1, "l") for i, h in enumerate(["<script" * 100_000, "<script>" * 100_000, "<!--" * 100_000, "<" * 400_000, "<p " * 200_000, "</" * 200_000, "<p>x" * 100_000, " " * 400_000])]
+    began = time.time()
+    got = {r["page_id"]: r["n_lines"] for r in lines.clean_pages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[6] == 100_000 and got[7] == 0 and time.time() - began < 60
+
+
 def test_documents_by_source(spark, no_docs):
     rows = [(i, f"first {i}\n\n All rights reserved.\nrare {i % 9}\nlast {i}", "en", ["a", "b", None][i % 3]) for i in range(60)] + [(90, None, "en", "a"), (91, "", "en", "a"), (92, "All rights reserved.", "en", "a")]
     got = lines.drop_boilerplate(frame(spark, rows), "source", 0.5, 3)
