@@ -1,31 +1,40 @@
 """Personal data: spans by pattern, and terms that disclose them, with DataFrame functions only.
 
 Spans of e-mail and IP addresses, card and phone numbers come from patterns (possessive and
-anchored at run starts, which matches the same and keeps long runs linear).  What was found are the
-protected entities.  Lines are the unit of co-occurrence: with ``N`` lines in the corpus,
-n(e) lines hold entity e, n(t) hold term t and n(t, e) both, all counted over all documents.
-A term discloses an entity if its pointwise mutual information is at least half of the
-entity's information content, ``log(n(t,e) N / (n(t) n(e))) >= log(N / n(e)) / 2``, on at least
-``support`` lines.  Such a term is a span too, in the lines where it stands
-beside the entity; ``redact`` generalises spans to the name of their kind.
-
-Co-occurring terms are looked for in lines with an entity alone, and only terms that reach the
-support are counted over the corpus, so hardly any word is shuffled.
-
-Defined results: a null text is an empty one; documents of equal or null id are kept apart,
-rows equal in id and text are treated alike; an empty table gives an empty result; further
-columns are ignored.
+anchored at run starts, which matches the same and keeps long runs linear).  Tokens whose own
+information content is high, long mixes of digits and letters, are secrets.  All of these are the
+protected entities.
+
+A term is a word of letters.  The corpus says how strongly terms reveal entities: of N documents, n(t)
+hold term t, n(e) entity e, and in n(t, e) of them t stands within ``window`` characters of e, counted
+over all documents.  A term discloses e if its pointwise mutual information is at least half of the
+entity's information content, ``log(n(t,e) N / (n(t) n(e))) >= log(N / n(e)) / 2``, on
+``support`` documents or more.  Personal data is mostly unique, so each entity is judged as its value and,
+backing off, as its class (the domain of an address, the first digits of a number) and its kind.
+Such a term is a span in every document that holds the value, class or kind that it discloses; one that
+discloses a value in at least half of its documents is a span wherever it stands.
+``redact`` generalises spans to the name of their kind.
+
+Matches, contexts and places of words are rows, and places are running sums over a document, so
+the work on a text grows with its length; only distinct terms beside entities are counted over
+the corpus.
+
+Defined results: a null text is an empty one; rows equal in id and text count as often as they
+occur and are treated alike, also those without an id; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
 from . import text as t
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that the method adds.
+ADDED = ("secret", "term")
 #: Kind: pattern, what a text must hold to be searched, and what a match m must satisfy.
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 PATTERNS = {
@@ -33,8 +42,9 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+",
 }
-_NEEDS = {"email": "contains(text, '@')", "ip": "text RLIKE '[0-9]\\\\.[0-9]'", "card": "text RLIKE '[0-9](?:[ -]?[0-9]){12}'", "phone": "contains(text, '+')"}
+_NEEDS = {"email": "contains(text, '@')", "ip": "text RLIKE '[0-9]\\\\.[0-9]'", "card": "text RLIKE '[0-9](?:[ -]?[0-9]){12}'", "phone": "contains(text, '+')", "secret": "text RLIKE '[A-Za-z0-9]{20}'"}
 _DIGITS = "regexp_replace({m}, '[^0-9]', '')"
 _LUHN = """aggregate(sequence(1, length(d)), 0, (a, i) -> a + CASE WHEN (length(d) - i) % 2 = 0 THEN int(substr(d, i, 1))
   WHEN int(substr(d, i, 1)) > 4 THEN 2 * int(substr(d, i, 1)) - 9 ELSE 2 * int(substr(d, i, 1)) END) % 10 = 0"""
@@ -43,89 +53,131 @@ _HOLDS = {
     "ip": "forall(split({m}, '[.]'), p -> length(ltrim('0', p)) = 0 OR length(ltrim('0', p)) <= 3 AND int(ltrim('0', p)) <= 255)",
     "card": f"length({_DIGITS}) BETWEEN 13 AND 19 AND exists(array({_DIGITS}), d -> {_LUHN})",
     "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
+    "secret": f"length({_DIGITS}) >= 4 AND length({{m}}) - length({_DIGITS}) >= 4",
 }
-_SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
+#: A term: the letters of a word, without marks around them.
+_TERM = "^[^\\\\p{L}]*+(\\\\p{L}[\\\\p{L}''-]*)[^\\\\p{L}]*$"
+_KEY = ["id", "hash"]
 
 
-def _spans(kind: str) -> Column:
-    """Spans of a kind in ``text``: gaps and matches alternate, so places are running lengths."""
-    pattern = PATTERNS[kind].replace("\\", "\\\\")
-    held = _HOLDS[kind].format(m="x.m")
-    return F.expr(f"""CASE WHEN {_NEEDS[kind]} THEN aggregate(
-        zip_with(split(text, '{pattern}', -1), regexp_extract_all(text, '{pattern}', 0), (g, m) -> named_struct('g', g, 'm', m)),
-        named_struct('at', 0, 'out', CAST(array() AS {_SPANS})),
-        (a, x) -> named_struct(
-          'at', a.at + length(x.g) + coalesce(length(x.m), 0),
-          'out', CASE WHEN x.m IS NOT NULL AND {held} THEN concat(a.out, array(named_struct(
-            'kind', '{kind}', 'start', a.at + length(x.g), 'end', a.at + length(x.g) + length(x.m), 'value', x.m))) ELSE a.out END),
-        a -> a.out) ELSE CAST(array() AS {_SPANS}) END""")
-
-
-def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``found``: spans by pattern, by kind as listed and then by start."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and what names a document: its id as text and a hash of the text."""
     own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return own.withColumn("found", F.concat(*[_spans(k) for k in KINDS]))
-
-
-def _lines(found: DataFrame) -> DataFrame:
-    """Lines with an entity, of (row, text, found): row, at (start of the line), line, entities."""
-    starts = F.expr("""aggregate(split(text, '\\n', -1), named_struct('at', 0, 'out', CAST(array() AS array<struct<at:int,line:string>>)),
-        (a, x) -> named_struct('at', a.at + length(x) + 1, 'out', CASE WHEN exists(found, f -> f.start >= a.at AND f.start <= a.at + length(x))
-          THEN concat(a.out, array(named_struct('at', a.at, 'line', x))) ELSE a.out END), a -> a.out)""")
-    rows = found.select("row", "found", F.explode(starts).alias("l"))
-    entities = F.expr("array_distinct(transform(filter(found, f -> f.start >= l.at AND f.start <= l.at + length(l.line)), f -> f.kind || ':' || f.value))")
-    spans = F.expr("filter(found, f -> f.start >= l.at AND f.start <= l.at + length(l.line))")
-    return rows.select("row", F.col("l.at").alias("at"), F.col("l.line").alias("line"), entities.alias("entities"), spans.alias("spans"))
-
-
-def _terms(line: DataFrame) -> DataFrame:
-    """Words of lines that lie outside spans: adds ``term`` structs of word and place."""
-    words = F.expr(f"""aggregate(split(line, '[\\\\x20\\\\x09-\\\\x0D]', -1), named_struct('at', at, 'out', CAST(array() AS array<struct<word:string,start:int>>)),
-        (a, x) -> named_struct('at', a.at + length(x) + 1, 'out', CASE WHEN x != '' AND NOT exists(spans, f -> f.start < a.at + length(x) AND f.end > a.at)
-          THEN concat(a.out, array(named_struct('word', x, 'start', a.at))) ELSE a.out END), a -> a.out)""")
-    return line.withColumn("terms", words)
-
-
-def disclosing(docs: DataFrame, lines: DataFrame, support: int, small: int = 20_000) -> DataFrame:
-    """(word, entity) pairs where the word discloses the entity."""
-    pairs = lines.select("entities", F.array_distinct(F.transform("terms", lambda x: x["word"])).alias("words"))
-    pairs = pairs.select("words", F.explode("entities").alias("entity"))
-    n_e = pairs.groupBy("entity").agg(F.count("*").alias("n_e"))
-    n_te = pairs.select("entity", F.explode("words").alias("word")).groupBy("word", "entity").agg(F.count("*").alias("n_te"))
-    likely = scratch.table(n_te.where(F.col("n_te") >= support), "likely")
-    words = scratch.table(likely.select("word").distinct(), "words")
-    corpus = docs.select(F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("line"))
-    every = corpus.select(F.explode(F.array_distinct(t.words(F.col("line")))).alias("word"))
-    if words.count() <= small:  # a bound on what is broadcast; beyond it counts are combined before the join
-        n_t = every.join(F.broadcast(words), "word").groupBy("word").agg(F.count("*").alias("n_t"))
-    else:
-        n_t = every.groupBy("word").agg(F.count("*").alias("n_t")).join(words, "word")
-    total = corpus.where(F.btrim("line", F.lit(t.BLANKS)) != "").count()
-    known = likely.join(n_e, "entity").join(n_t, "word")
-    return known.where(F.col("n_te").cast("double") * F.col("n_te") * F.lit(total).cast("double") >= F.col("n_t").cast("double") * F.col("n_t") * F.col("n_e")).select("word", "entity")
-
-
-def find(docs: DataFrame, support: int = 3) -> DataFrame:
-    """doc_id, text, found (spans by pattern) and terms (spans of disclosing terms), for every document."""
-    own = base_spans(docs).withColumn("row", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("hash")))
-    lines = scratch.table(_terms(_lines(own.where(F.size("found") > 0).select("row", "text", "found"))), "lines")
-    told = disclosing(docs, lines, support)
-    spans = lines.select("row", F.explode("entities").alias("entity"), "terms").select("row", "entity", F.explode("terms").alias("term"))
-    spans = spans.select("row", "entity", F.col("term.word").alias("word"), F.col("term.start").alias("start")).join(told, ["word", "entity"])
-    spans = spans.select("row", F.struct(F.lit("term").alias("kind"), "start", (F.col("start") + F.length("word")).alias("end"), F.col("word").alias("value")).alias("span")).distinct()
-    terms = spans.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("terms"))
-    return own.join(terms, "row", "left").select("doc_id", "text", "found", F.coalesce("terms", F.array().cast(_SPANS)).alias("terms"))
+    return own.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("hash"))
+
+
+def _matches(kind: str, window: int) -> Column:
+    """Matches of a kind in ``text``, each with the length of the gap before it and the text beside it."""
+    pattern = PATTERNS[kind].replace("\\", "\\\\")
+    place = (*KINDS, *ADDED).index(kind)
+    return F.expr(f"""CASE WHEN {_NEEDS[kind]} THEN transform(
+        array(named_struct('g', split(text, '{pattern}', -1), 'm', regexp_extract_all(text, '{pattern}', 0))),
+        z -> transform(z.m, (m, i) -> named_struct('k', {place}, 'i', i, 'gap', length(z.g[i]), 'm', m, 'before', right(z.g[i], {window}), 'after', left(z.g[i + 1], {window}))))[0]
+        ELSE CAST(array() AS array<struct<k:int,i:int,gap:int,m:string,before:string,after:string>>) END""")
+
+
+def _entities(keyed: DataFrame, window: int) -> DataFrame:
+    """id, hash, copies (rows of that document), k, start, end, value, and the text before and after."""
+    kinds = (*KINDS, "secret")
+    rows = keyed.select(*_KEY, F.inline(F.concat(*[_matches(k, window) for k in kinds])))
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    end = F.sum(F.col("gap") + F.length("m")).over(Window.partitionBy(*_KEY, "k").orderBy("i")).cast("int")
+    rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("m"))
+    holds = "CASE k " + " ".join(f"WHEN {i} THEN {_HOLDS[k].format(m='m')}" for i, k in enumerate(kinds)) + " END"
+    return rows.where(holds).select(*_KEY, "copies", "k", "start", "end", F.col("m").alias("value"), "before", "after")
+
+
+def _classes(entities: DataFrame) -> DataFrame:
+    """Entities once for each level at which they are judged: ``level`` 1 value, 2 class, 3 kind, and ``entity``."""
+    digits = "regexp_replace(value, '[^0-9]', '')"
+    kind = "element_at(array({}), k + 1)".format(", ".join(f"'{k}'" for k in (*KINDS, "secret")))
+    wider = f"""CASE k WHEN 0 THEN 'email@' || lower(substring_index(value, '@', -1)) WHEN 1 THEN 'ip:' || substring_index(value, '.', 2)
+      WHEN 2 THEN 'card:' || left({digits}, 6) WHEN 3 THEN 'phone:' || left({digits}, 4) END"""
+    levels = F.expr(f"""filter(array(named_struct('level', 1, 'entity', {kind} || '=' || lower(value)), named_struct('level', 2, 'entity', {wider}),
+        named_struct('level', 3, 'entity', {kind})), x -> x.entity IS NOT NULL)""")
+    return entities.select("*", F.inline(levels))
+
+
+def _terms(words: str) -> Column:
+    """Distinct terms of an array of words."""
+    return F.expr(f"array_distinct(filter(transform({words}, w -> regexp_extract(w, '{_TERM}', 1)), t -> length(t) >= 3))")
+
+
+_SPLIT = "split({}, '[\\\\x20\\\\x09-\\\\x0D]')"
+
+
+def disclosing(keyed: DataFrame, classes: DataFrame, support: int, window: int) -> DataFrame:
+    """(term, entity, everywhere): terms and what they disclose."""
+    # a word that the window cuts is none
+    before, after = _SPLIT.format("before"), _SPLIT.format("after")
+    beside = f"concat(CASE WHEN length(before) = {window} THEN slice({before}, 2, {window}) ELSE {before} END, CASE WHEN length(after) = {window} THEN slice({after}, 1, size({after}) - 1) ELSE {after} END)"
+    met = classes.select(*_KEY, "copies", "level", "entity", F.explode(_terms(beside)).alias("term")).distinct()
+    likely = scratch.table(met.groupBy("term", "level", "entity").agg(F.sum("copies").alias("n_te")).where(F.col("n_te") >= support), "likely")
+    n_e = classes.select(*_KEY, "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    words = scratch.table(likely.select("term").distinct(), "words")
+    n_t = keyed.select(F.explode(_terms(_SPLIT.format("text"))).alias("term")).join(words, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    known = likely.join(n_e, "entity").join(n_t, "term")
+    square = lambda c: F.col(c).cast("double") * F.col(c)
+    told = known.where(square("n_te") * F.lit(keyed.count()).cast("double") >= square("n_t") * F.col("n_e"))
+    return told.select("term", "entity", ((F.col("level") == 1) & (2 * F.col("n_te") >= F.col("n_t"))).alias("everywhere"))
+
+
+def _term_spans(keyed: DataFrame, classes: DataFrame, told: DataFrame) -> DataFrame:
+    """id, hash, start, end of each place of a disclosing term."""
+    words = scratch.table(told.select("term").distinct(), "told_words")
+    held = keyed.select(*_KEY, F.explode(_terms(_SPLIT.format("text"))).alias("term")).join(words, "term").distinct()
+    held = scratch.table(held, "held")
+    here = classes.select(*_KEY, "entity").distinct().join(told.select("term", "entity"), "entity").select(*_KEY, "term")
+    wanted = held.join(here.distinct(), [*_KEY, "term"], "left_semi").unionByName(held.join(told.where("everywhere").select("term").distinct(), "term", "left_semi").select(*_KEY, "term"))
+    wanted = scratch.table(wanted.distinct(), "wanted")
+    texts = keyed.select(*_KEY, "text").join(wanted.select(*_KEY).distinct(), _KEY).groupBy(*_KEY).agg(F.first("text").alias("text"))
+    rows = texts.select(*_KEY, F.posexplode(F.expr(_SPLIT.format("text"))).alias("at", "word"))
+    end = F.sum(F.length("word") + 1).over(Window.partitionBy(*_KEY).orderBy("at")).cast("int")
+    rows = rows.select(*_KEY, "word", (end - F.length("word") - 1).alias("start"), F.expr(f"regexp_extract(word, '{_TERM}', 1)").alias("term"))
+    start = F.col("start") + F.length(F.regexp_extract("word", "^[^\\p{L}]*+", 0))
+    return rows.join(wanted, [*_KEY, "term"]).select(*_KEY, start.alias("start"), (start + F.length("term")).alias("end"))
+
+
+def find(docs: DataFrame, support: int = 2, window: int = 80) -> DataFrame:
+    """doc_id, text, id, hash, found (spans by pattern) and added (secrets, then terms) of every document.
+
+    Spans are structs of k (place in KINDS and ADDED), start and end, in order.
+    """
+    keyed = _keyed(docs)
+    entities = scratch.table(_entities(keyed, window), "entities")
+    classes = _classes(entities)
+    told = scratch.table(disclosing(keyed, classes, support, window), "told")
+    last = len(KINDS) + ADDED.index("term")
+    spans = entities.select(*_KEY, "k", "start", "end").unionByName(_term_spans(keyed, classes, told).select(*_KEY, F.lit(last).alias("k"), "start", "end"))
+    spans = spans.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("k", "start", "end"))).alias("spans"))
+    spans = spans.select(*_KEY, F.expr(f"filter(spans, x -> x.k < {len(KINDS)})").alias("found"), F.expr(f"filter(spans, x -> x.k >= {len(KINDS)})").alias("added"))
+    none = F.array().cast("array<struct<k:int,start:int,end:int>>")
+    stored = scratch.table(spans, "spans")
+    return keyed.join(stored, _KEY, "left").select("doc_id", "text", *_KEY, F.coalesce("found", none).alias("found"), F.coalesce("added", none).alias("added"))
+
+
+def name(k: Column) -> Column:
+    """The name of a kind."""
+    return F.element_at(F.array(*map(F.lit, (*KINDS, *ADDED))), k + 1)
 
 
 def as_text(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x["k"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """``text`` with every span replaced by its kind in brackets; of overlapping spans the first stays."""
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["k"].alias("k"))))
+    # what lies before a span begins where the spans before it end
+    step = F.aggregate(
+        ordered, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda a, x: F.when(x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.concat(F.lit("["), F.upper(name(x["k"])), F.lit("]")))).alias("out")))
+        .otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out"))),
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, step).otherwise(text)
 
 
 def redact(found: DataFrame) -> DataFrame:
-    """doc_id and text of the result of ``find`` with every span replaced by its kind in brackets."""
-    ordered = F.expr("array_sort(transform(concat(found, terms), x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))")
-    clean = F.expr("""aggregate(spans, named_struct('at', 0, 'out', ''), (a, x) -> CASE
-        WHEN x.start >= a.at THEN named_struct('at', x.end, 'out', a.out || substr(text, a.at + 1, x.start - a.at) || '[' || upper(x.kind) || ']')
-        ELSE named_struct('at', greatest(a.at, x.end), 'out', a.out) END, a -> a.out || substr(text, a.at + 1))""")
-    return found.withColumn("spans", ordered).select("doc_id", clean.alias("text"))
+    """doc_id and text of the result of ``find`` with every span generalised."""
+    return found.select("doc_id", redacted(F.col("text"), F.concat("found", "added")).alias("text"))
