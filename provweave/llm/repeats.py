@@ -122,6 +122,11 @@ class Part:
         return (self.mark[row] << np.uint64(40)) | position.astype(np.uint64)
 
 
+#: Bit of a request's place that says that its answer is known already.
+KNOWN = np.uint64(1 << 39)
+#: Requests of one hash from which it is called frequent, and the bit of an answer's place that says so.
+FREQUENT, OFTEN = 1000, np.uint64(1 << 38)
+
 #: Bytes of a candidate's hash that travel; its bucket holds further bits.
 SHORT = 5
 
@@ -200,12 +205,11 @@ def requests(layout: Layout, hashes: list[np.ndarray], doc: np.ndarray, place: n
         sent = np.where(known, np.isin(np.arange(len(doc)), first), True)
     if known.any():
         yield from dealt(1, parts_of(doc[known], layout.parts) + layout.buckets, [doc[known].view(np.uint64), place[known]], [8, 8])
-    # bit 39 of a place marks a request whose answer is known already
-    place = np.where(known & sent, place | np.uint64(1 << 39), place)
+    place = np.where(known & sent, place | KNOWN, place)
     yield from dealt(0, layout.bucket(hashes[0][sent]), [*(h[sent] for h in hashes), doc[sent].view(np.uint64), place[sent]], _widths(len(hashes)))
 
 
-def answers(layout: Layout, sent: DataFrame, hashes: int, later: bool) -> DataFrame:
+def answers(layout: Layout, sent: DataFrame, hashes: int, later: bool, mark_frequent: bool = False) -> DataFrame:
     """Resolve travelling requests; gives (part, packed) with the document and place of each hit."""
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +221,11 @@ def answers(layout: Layout, sent: DataFrame, hashes: int, later: bool) -> DataFr
             sizes, ids = np.diff(np.append(first, len(doc))), rank(doc)
             least = np.repeat(np.minimum.reduceat(ids, first), sizes)
             hit = ids > least if later else np.repeat(np.maximum.reduceat(ids, first), sizes) > least
-            hit &= (place >> np.uint64(39)) & np.uint64(1) == 0
+            asked = (place & KNOWN) == 0
+            if mark_frequent:  # also said to parts that knew their answer
+                often = np.repeat(sizes > FREQUENT, sizes)
+                asked, place = asked | often, np.where(often, place | OFTEN, place)
+            hit &= asked
             yield from dealt(1, parts_of(doc[hit], layout.parts), [doc[hit].view(np.uint64), place[hit]], [8, 8])
 
         def out(rows):

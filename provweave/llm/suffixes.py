@@ -5,15 +5,20 @@ Sorting the suffixes of all texts is out of reach, and only suffixes that share
 
 1. of each ``n``-byte string a stretch of ``k`` bytes is picked by content (see
    ``repeats.Sampler``), and only stretches that two documents share are followed up;
-2. the texts around a shared stretch travel to its bucket, equal surroundings once per part;
-3. there the suffixes are sorted in a bottom-up mergesort, run by run of one stretch and
+2. the texts around a shared stretch are its surroundings.  Equal ones are one representative, of
+   the smallest document, and its members, first within a part, then in the bucket of the
+   stretch, to which representatives travel.  Around a frequent stretch each window travels to a
+   bucket of its own instead, so that no bucket gathers what a large share of all documents hold;
+3. the suffixes of representatives are sorted in a bottom-up mergesort, run by run of one stretch and
    distance to it (equal ``n``-byte strings have both in common).  Two
    suffixes are compared by the longest extension that they have in common, found by binary
    search over prefix polynomial hashes, and the byte after it: a logarithmic number of steps.
    All merges of one width run together as array operations;
 4. neighbours in the sorted order that share ``n`` bytes are compared byte by byte, so a
-   hash collision cannot remove anything; of each class of equal strings those
-   in larger documents are removed.
+   hash collision cannot remove anything.  Each class of equal strings has a least document; a
+   representative loses its windows whose class has a smaller one, and a member, whose document is
+   larger than its representative's, loses those too.  Parts and buckets sort alike; a part
+   settles what it can by itself.
 
 Defined results: null, empty and short texts have nothing removed; a null id counts as
 the largest; rows with equal ids are not compared with each other; an empty table gives an
@@ -146,11 +151,12 @@ def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray
     return out
 
 
-def _copies(data: np.ndarray, key: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Stretches of bytes that equal, byte by byte, the one with the smallest document of their key, and whose
-    document is larger: all their windows stand in a smaller document."""
+def _members(data: np.ndarray, key: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The representative of each stretch of bytes: the one with the smallest document of its key if
+    it holds the same bytes, byte by byte, and its document is smaller; else the stretch itself."""
+    out = np.arange(len(doc))
     if not len(doc):
-        return np.zeros(0, np.int64)
+        return out
     order, begin = repeats.groups([key])
     group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
     doc = repeats.rank(doc)
@@ -160,12 +166,17 @@ def _copies(data: np.ndarray, key: np.ndarray, doc: np.ndarray, start: np.ndarra
     chief = np.empty(len(order), np.int64)
     chief[order] = holder[group]
     later = np.flatnonzero((doc > doc[chief]) & (size == size[chief]))
-    return later[_same_bytes(data, start[later], start[chief[later]], size[later])]
+    later = later[_same_bytes(data, start[later], start[chief[later]], size[later])]
+    out[later] = chief[later]
+    return out
 
 
-def _windows(part: repeats.Part, first: int, last: int, rows: np.ndarray, at: np.ndarray, n: int, k: int) -> tuple[np.ndarray, ...]:
+def _windows(part: repeats.Part, first: int, last: int, rows: np.ndarray, at: np.ndarray, often: np.ndarray, n: int, k: int) -> tuple[np.ndarray, ...]:
     """Runs of windows around the shared stretches of a run of texts: hash of the stretch, its
-    distance, row, first byte in the part, number of windows, and hash of the whole run."""
+    distance, row, first byte in the part, number of windows, and hash of the whole run.
+
+    Around stretches whose hashes are among ``often`` each window is a run of its own, with a hash of its own.
+    """
     base = part.offsets[first]
     offsets, data = part.offsets[first : last + 1] - base, part.data[base : part.offsets[last]]
     own = (rows >= first) & (rows < last)
@@ -181,10 +192,24 @@ def _windows(part: repeats.Part, first: int, last: int, rows: np.ndarray, at: np
     if not len(starts):
         return none
     # the windows of one stretch are consecutive
-    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+    frequent = np.isin(found.hashes[owner], often)
+    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1) | frequent[1:]]))
     low, anchor, windows = starts[new], owner[new], np.diff(np.append(new, len(starts)))
     row = np.searchsorted(offsets, low, "right") - 1 + first
-    return found.hashes[anchor], anchor - low, row, low + base, windows, blocks.mix(blocks.span(sums, low, low + windows + n - 1))
+    whole = blocks.mix(blocks.span(sums, low, low + windows + n - 1))
+    return np.where(frequent[new], blocks.mix(found.hashes[anchor] ^ whole), found.hashes[anchor]), anchor - low, row, low + base, windows, whole
+
+
+def _stretch_hashes(part: repeats.Part, rows: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Distinct hashes of the stretches of ``k`` bytes at some places."""
+    out = []
+    for first, last in part.pieces() if len(rows) else ():
+        own = (rows >= first) & (rows < last)
+        if own.any():
+            base = part.offsets[first]
+            place = part.offsets[rows[own]] - base + at[own]
+            out.append(blocks.mix(blocks.span(blocks.prefix(part.data[base : part.offsets[last]]), place, place + k)))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 #: Columns of answers: document, place, windows.
@@ -213,76 +238,109 @@ def surroundings(layout: repeats.Layout, texts: DataFrame, n: int, k: int) -> Da
         return repeats.travel_table(list(repeats.requests(layout, [np.concatenate(hashes)], np.concatenate(doc), np.concatenate(place), False)))
 
     def follow(part: repeats.Part, rows: np.ndarray, at: np.ndarray) -> pa.Table:
-        found = [_windows(part, first, last, rows, at, n, k) for first, last in part.pieces()] if len(rows) else []
+        often = (at & int(repeats.OFTEN)) != 0
+        at = at & ~int(repeats.OFTEN | repeats.KNOWN)
+        often = _stretch_hashes(part, rows[often], at[often], k)
+        found = [_windows(part, first, last, rows, at, often, n, k) for first, last in part.pieces()] if len(rows) else []
         if not sum(len(f[0]) for f in found):
             return repeats.travel_table([])
         anchor, lead, row, low, windows, whole = (np.concatenate(c) for c in zip(*found))
         doc, place, size = part.doc[row], part.place(row, low - part.offsets[row]), windows + n - 1
-        later = _copies(part.data, whole ^ blocks.mix(anchor + lead.astype(np.uint64)), doc, low, size)
-        out = [(to + layout.buckets, 1, packed) for to, _, packed in _spans(doc[later], place[later], windows[later], layout.parts)]
-        sent = np.delete(np.arange(len(doc)), later)
+        sent, spans = settle(part.data, anchor, lead, whole, doc, place, low, size, n)
+        out = [(to + layout.buckets, 1, packed) for to, _, packed in _spans(*spans, layout.parts)]
         order, dests = repeats.runs(layout.bucket(anchor[sent]))
         sent = sent[order]
         columns = [anchor[sent], lead[sent].astype(np.uint64), doc[sent].view(np.uint64), place[sent], size[sent].astype(np.uint64)]
         out += [(to, 0, _wrap([c[a:b] for c in columns], _gather(part.data, low[sent[a:b]], size[sent[a:b]])[0])) for to, a, b in dests]
         return repeats.travel_table(out)
 
-    found = repeats.answers(layout, repeats.visit(texts, None, stretches, repeats.TRAVEL), 1, False)
+    found = repeats.answers(layout, repeats.visit(texts, None, stretches, repeats.TRAVEL), 1, False, mark_frequent=True)
     return repeats.visit(texts, found, follow, repeats.TRAVEL)
 
 
-def sort_suffixes(layout: repeats.Layout, around: DataFrame, n: int) -> DataFrame:
-    """(part, packed): documents, places and numbers of windows that start in a smaller document too."""
+def _sorted_out(flat: np.ndarray, cuts: np.ndarray, anchor: np.ndarray, lead: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Least document of the class of each window of some surroundings, which lie end to end in ``flat``.
+
+    The windows are sorted as suffixes; classes are runs of neighbours with the same ``n`` bytes.
+    """
+    windows = np.diff(cuts) - n + 1
+    row = np.repeat(np.arange(len(doc)), windows)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = cuts[row] + step
+    distance = lead[row] - step + n  # of the stretch from the window's start; n: leads are positive or 0
+    order = np.lexsort((distance, anchor[row]))
+    run = np.zeros(len(order), np.int64)
+    if len(order):
+        run[1:] = np.cumsum((anchor[row][order][1:] != anchor[row][order][:-1]) | (distance[order][1:] != distance[order][:-1]))
+    suffixes = Suffixes(flat, n)
+    # places in the buffer name the windows, so the sorted order needs no second array
+    window_at = np.zeros(len(flat) + 1, np.int64)
+    window_at[at] = np.arange(len(at))
+    ordered = suffixes.mergesort(at[order], run)
+    same = np.zeros(len(ordered), bool)
+    if len(ordered) > 1:
+        pairs = np.flatnonzero(run[1:] == run[:-1])
+        pairs = pairs[suffixes.common(ordered[pairs], ordered[pairs + 1]) == n]
+        same[pairs + 1] = suffixes.equal_bytes(ordered[pairs], ordered[pairs + 1])
+    begin, which = np.flatnonzero(~same), window_at[ordered]
+    out = np.zeros(len(ordered), np.int64)
+    if len(ordered):
+        own = repeats.rank(doc)[row[which]]
+        out[which] = np.repeat(np.minimum.reduceat(own, begin), np.diff(np.append(begin, len(own))))
+    return out
 
-    def solve(anchor: np.ndarray, lead: np.ndarray, doc: np.ndarray, place: np.ndarray, flat: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        windows = np.diff(cuts) - n + 1
-        row = np.repeat(np.arange(len(doc)), windows)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = cuts[row] + step
-        distance = lead[row] - step + n  # of the stretch from the window's start; n: leads are positive or 0
-        order = np.lexsort((distance, anchor[row]))
-        run = np.concatenate([[0], np.cumsum((anchor[row][order][1:] != anchor[row][order][:-1]) | (distance[order][1:] != distance[order][:-1]))]) if len(order) else np.zeros(0, int)
-        suffixes = Suffixes(flat, n)
-        # places in the buffer name the suffixes, so the sorted order needs no second array
-        suffix_row = np.zeros(len(flat) + 1, np.int64)
-        suffix_row[at] = row
-        ordered = suffixes.mergesort(at[order], run)
-        same = np.zeros(len(ordered), bool)
-        if len(ordered) > 1:
-            same[1:] = (run[1:] == run[:-1]) & (suffixes.common(ordered[:-1], ordered[1:]) == n)
-            check = np.flatnonzero(same)
-            same[check] = suffixes.equal_bytes(ordered[check - 1], ordered[check])
-        begin = np.flatnonzero(~same)
-        own = repeats.rank(doc)[suffix_row[ordered]]
-        least = np.repeat(np.minimum.reduceat(own, begin), np.diff(np.append(begin, len(own)))) if len(own) else own
-        gone = np.sort(ordered[own > least])
+
+def settle(data: np.ndarray, anchor: np.ndarray, lead: np.ndarray, whole: np.ndarray, doc: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """(representatives among some surroundings, spans (document, place, windows) to remove).
+
+    ``whole``: a hash of each whole surrounding.  Verdicts come from the sorted suffixes of
+    representatives: a window goes where its class has a document smaller than the surrounding's.
+    """
+    chief = _members(data, whole ^ blocks.mix(anchor + lead.astype(np.uint64)), doc, start, size)
+    heads = np.flatnonzero(chief == np.arange(len(doc)))
+    followers = np.bincount(chief, minlength=len(doc))  # itself included
+    heads = heads[np.argsort(anchor[heads], kind="stable")]
+    first = np.flatnonzero(np.concatenate([[True], anchor[heads][1:] != anchor[heads][:-1]])) if len(heads) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(heads)))
+    # a stretch with one representative without members has no second occurrence
+    busy = heads[np.repeat(np.add.reduceat(followers[heads], first) > 1, times)] if len(heads) else heads
+    found: list[tuple[np.ndarray, ...]] = []
+    beyond = np.full(len(doc), np.iinfo(np.int64).max)  # least document of the last class of a representative's windows
+    at = 0
+    while at < len(busy):
+        to = min(at + SORTED, len(busy))
+        while to < len(busy) and anchor[busy[to]] == anchor[busy[to - 1]]:
+            to += 1
+        some = busy[at:to]
+        text, cuts = _gather(data, start[some], size[some])
+        windows = size[some] - n + 1
+        least = _sorted_out(text, cuts, anchor[some], lead[some], doc[some], n)
+        begin = np.cumsum(windows) - windows
+        row = np.repeat(np.arange(len(some)), windows)
+        gone = np.flatnonzero(least < repeats.rank(doc[some])[row])
         if len(gone):
-            new = np.flatnonzero(np.concatenate([[True], (gone[1:] != gone[:-1] + 1) | (suffix_row[gone[1:]] != suffix_row[gone[:-1]])]))
-            r, count = suffix_row[gone[new]], np.diff(np.append(new, len(gone)))
-            yield from _spans(doc[r], place[r] + (gone[new] - cuts[r]).astype(np.uint64), count, layout.parts)
+            new = np.flatnonzero(np.concatenate([[True], (gone[1:] != gone[:-1] + 1) | (row[gone[1:]] != row[gone[:-1]])]))
+            r = some[row[gone[new]]]
+            found.append((doc[r], place[r] + (gone[new] - begin[row[gone[new]]]).astype(np.uint64), np.diff(np.append(new, len(gone)))))
+        beyond[some] = np.maximum.reduceat(least, begin) if len(some) else 0
+        at = to
+    # all windows of a member go if its document lies beyond the least one of each of their classes
+    member = np.flatnonzero(chief != np.arange(len(doc)))
+    member = member[repeats.rank(doc[member]) > beyond[chief[member]]]
+    found.append((doc[member], place[member], size[member] - n + 1))
+    return heads, tuple(np.concatenate(c) for c in zip(*found))
+
+
+def sort_suffixes(layout: repeats.Layout, around: DataFrame, n: int) -> DataFrame:
+    """(part, packed): documents, places and numbers of windows that start in a smaller document too."""
 
     def bucket(packed: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         (anchor, lead, doc, place, size), flat = _unwrap(packed)
-        doc, size, lead = doc.view(np.int64), size.astype(np.int64), lead.astype(np.int64)
+        size = size.astype(np.int64)
         start = np.cumsum(size) - size
-        sums = blocks.prefix(flat)
-        later = _copies(flat, blocks.mix(blocks.span(sums, start, start + size)) ^ blocks.mix(anchor + lead.astype(np.uint64)), doc, start, size)
-        del sums
-        yield from _spans(doc[later], place[later], size[later] - n + 1, layout.parts)
-        rest = np.delete(np.arange(len(doc)), later)
-        rest = rest[np.argsort(anchor[rest], kind="stable")]
-        first = np.flatnonzero(np.concatenate([[True], anchor[rest][1:] != anchor[rest][:-1]])) if len(rest) else np.zeros(0, np.int64)
-        alone = np.diff(np.append(first, len(rest))) == 1  # no second occurrence is left to compare with
-        rest = rest[~np.repeat(alone, np.diff(np.append(first, len(rest))))]
-        at = 0
-        while at < len(rest):
-            to = min(at + SORTED, len(rest))
-            while to < len(rest) and anchor[rest[to]] == anchor[rest[to - 1]]:
-                to += 1
-            some = rest[at:to]
-            text, cuts = _gather(flat, start[some], size[some])
-            yield from solve(anchor[some], lead[some], doc[some], place[some], text, cuts)
-            at = to
+        whole = blocks.mix(blocks.span(blocks.prefix(flat), start, start + size))
+        _, spans = settle(flat, anchor, lead.astype(np.int64), whole, doc.view(np.int64), place, start, size, n)
+        yield from _spans(*spans, layout.parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows) -> list[pa.RecordBatch]:
