@@ -18,6 +18,7 @@ an empty result; further columns are ignored.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -34,9 +35,11 @@ from . import blocks, scratch
 #: Rows of a random range of the pieces of one length.
 RANGE = 250_000
 #: Words whose ids a worker remembers, in flat arrays of some 40 bytes a word.
-REMEMBERED = 600_000
-#: Longest word that is remembered, in bytes, and pieces of words that are.
-LONGEST, PIECES = 64, 50_000
+REMEMBERED = 800_000
+#: Longest word that is remembered, in bytes; pieces of words that are; new words between two merges.
+LONGEST, PIECES, NEW = 64, 50_000, 50_000
+
+_WORKER: dict[str, "WordIds"] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,17 +50,49 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in visible else next(rest)) for b in range(256)}
 
 
+class _Table:
+    """Ids of words in flat arrays, in order of a hash of the word; a second hash tells words apart."""
+
+    def __init__(self):
+        none = np.zeros(0, np.int64)
+        self.keys, self.others, self.first, self.count, self.met, self.flat = none.view(np.uint64), none.view(np.uint64), none, none.astype(np.int32), none.astype(np.int32), np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each key, whether its word is here, whether another word holds its place)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        taken = self.keys[at] == keys
+        same = taken & (self.others[at] == others)
+        return at, same, taken & ~same
+
+    def add(self, keys: np.ndarray, others: np.ndarray, count: np.ndarray, met: np.ndarray, flat: np.ndarray) -> None:
+        """Words whose keys ascend and are not here."""
+        at = np.searchsorted(self.keys, keys)
+        self.first = np.insert(self.first, at, len(self.flat) + np.cumsum(count) - count)
+        self.flat = np.concatenate([self.flat, flat])
+        self.keys, self.others, self.count, self.met = np.insert(self.keys, at, keys), np.insert(self.others, at, others), np.insert(self.count, at, count), np.insert(self.met, at, met)
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        return self.flat[_spread(self.first[at], self.count[at].astype(np.int64))]
+
+    def keep(self, at: np.ndarray) -> None:
+        self.flat = self.ids(at)
+        self.keys, self.others, self.count, self.met = self.keys[at], self.others[at], self.count[at], self.met[at]
+        self.first = np.cumsum(self.count, dtype=np.int64) - self.count
+
+
 class WordIds:
     """Token ids of texts, word by word.
 
     White space is never part of a token of the vocabulary and no rule of the tokenizer looks
     across it, so the ids of a text are those of its words, and most words were met before.
-    The ids of words met lately lie in flat arrays in order of a 64-bit hash, with a second hash
-    to tell words apart, so a block of texts is looked up at once and the memory has a
-    fixed bound.  The whole tokenizer takes tens of microseconds for a new word, its model alone a
-    tenth of that.  Where the tokenizer only lower-cases, splits by a pattern and maps bytes, new
-    words of plain Latin letters (for which lower case and composition are certain) are split
-    here, and the model encodes the pieces.  Other words go through the whole tokenizer.
+    The ids of words met lately lie in flat arrays, so a block of texts is looked up at once and
+    the memory has a fixed bound.  The whole tokenizer takes tens of microseconds for a new word, its
+    model alone a tenth of that.  Where the tokenizer only lower-cases, splits by a pattern and maps
+    bytes, new words of plain Latin letters (for which lower case and composition are certain) are
+    split here, all those of a block at once, and the model encodes the pieces.  Other words go
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -69,51 +104,56 @@ class WordIds:
         steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         split, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         simple = steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and [(r["type"], r["add_prefix_space"], r["use_regex"]) for r in rest] == [("ByteLevel", False, False)]
-        self.split = regex.compile(split["pattern"]["Regex"]).findall if simple else None
+        self.split = regex.compile(f"\\n|(?:{split['pattern']['Regex']})").findall if simple else None
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = regex.compile("[\\x21-\\x7e\\u00a1-\\u024f]*").fullmatch
         self.letters = _byte_letters()
-        self.forget()
-
-    def forget(self) -> None:
-        """Drop all words."""
-        none = np.zeros(0, np.int64)
-        self.keys, self.others = none.view(np.uint64), none.view(np.uint64)
-        self.first, self.count, self.met, self.flat = none, none.astype(np.int32), none.astype(np.int32), np.zeros(0, np.uint32)
+        self.known, self.new, self.now = _Table(), _Table(), 0
         self.pieces: dict[str, list[int]] = {}
-        self.now = 0
-
-    def _piece(self, piece: str) -> list[int]:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-            if len(self.pieces) >= PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
-
-    def word(self, word: bytes, marked: bool) -> list[int]:
-        """Ids of one word; ``marked``: it may hold the text of a special token."""
-        text = word.decode()
-        if self.split and self.plain(text) and not (marked and any(m in text for m in self.marks)):
-            return [i for p in self.split(text.lower()) for i in self._piece(p)]
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    @classmethod
+    def of_worker(cls, path: str) -> WordIds:
+        """One for all tasks of a worker: what it holds is bounded, and words recur from task to task."""
+        if path not in _WORKER:
+            _WORKER[path] = cls(path)
+        return _WORKER[path]
+
+    def encode(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each of some words."""
+        texts = [w.decode() for w in words]
+        joined = "\n".join(texts)
+        if not self.split or any(m in joined for m in self.marks):
+            return [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        plain = [self.plain(t) is not None for t in texts]
+        out, own = [[] for _ in texts], iter([i for i, p in enumerate(plain) if p])
+        for i, p in enumerate(plain):
+            if not p:
+                out[i] = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
+        here = out[next(own)] if any(plain) else None
+        for piece in self.split("\n".join(t for t, p in zip(texts, plain) if p).lower()):
+            if piece == "\n":
+                here = out[next(own)]
+                continue
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+                if len(self.pieces) >= PIECES:
+                    self.pieces.clear()
+                if len(piece) <= LONGEST:
+                    self.pieces[piece] = ids
+            here += ids
+        return out
 
     def _remember(self, keys: np.ndarray, others: np.ndarray, count: np.ndarray, flat: np.ndarray) -> None:
         """Add words (keys ascending and unknown); beyond the bound those not met for longest go."""
-        first = len(self.flat) + np.cumsum(count) - count
-        at = np.searchsorted(self.keys, keys)
-        values = {"keys": keys, "others": others, "first": first, "count": count.astype(np.int32), "met": np.full(len(keys), self.now, np.int32)}
-        for name, value in values.items():
-            setattr(self, name, np.insert(getattr(self, name), at, value))
-        self.flat = np.concatenate([self.flat, flat])
-        if len(self.keys) > REMEMBERED:
-            late = np.partition(self.met, len(self.met) // 2)[len(self.met) // 2]
-            keep = np.flatnonzero(self.met >= late if (self.met >= late).mean() < 0.75 else self.met > late)
-            count = self.count[keep].astype(np.int64)
-            self.flat = self.flat[_spread(self.first[keep], count)]
-            self.keys, self.others, self.count, self.met = self.keys[keep], self.others[keep], self.count[keep], self.met[keep]
-            self.first = np.cumsum(count) - count
+        self.new.add(keys, others, count.astype(np.int32), np.full(len(keys), self.now, np.int32), flat)
+        if len(self.new.keys) > NEW:
+            known, new = self.known, self.new
+            if len(known.keys) + len(new.keys) > REMEMBERED:
+                room = max(REMEMBERED // 2, REMEMBERED - 2 * len(new.keys))
+                known.keep(np.sort(np.argsort(-known.met, kind="stable")[:room]))
+            known.add(new.keys, new.others, new.count, new.met, new.ids(np.arange(len(new.keys))))
+            self.new = _Table()
 
     def of(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a block, each with the end id after it; where each text begins and ends)."""
@@ -123,29 +163,30 @@ class WordIds:
         alone = bool((other != other[sample][which]).any())
         if alone:  # two words of one hash: each for itself
             keys, sample, which = key, np.arange(len(key)), np.arange(len(key))
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        taken = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        known = taken & (self.others[at] == other[sample]) if len(self.keys) else taken
-        raw = data.tobytes()
-        marked = any(m.encode() in raw for m in self.marks)
+        others = other[sample]
         self.now += 1
-        self.met[at[known]] = self.now
-        fresh = np.flatnonzero(~known)
-        new = [self.word(raw[a:b], marked) for a, b in zip(start[sample[fresh]].tolist(), stop[sample[fresh]].tolist())]
+        count, first, held = np.zeros(len(keys) + 1, np.int64), np.zeros(len(keys) + 1, np.int64), 0
+        left, taken = np.ones(len(keys), bool), np.zeros(len(keys), bool)
+        for table in (self.known, self.new):
+            at, same, clash = table.find(keys, others)
+            left, taken = left & ~same, taken | clash
+            table.met[at[same]] = self.now
+            count[:-1][same], first[:-1][same] = table.count[at[same]], table.first[at[same]] + held
+            held += len(table.flat)
+        fresh, raw = np.flatnonzero(left), data.tobytes()
+        new = self.encode([raw[a:b] for a, b in zip(start[sample[fresh]].tolist(), stop[sample[fresh]].tolist())])
         n_new = np.fromiter(map(len, new), np.int64, len(new))
-        flat_new = np.fromiter((i for ids in new for i in ids), np.uint32, int(n_new.sum()))
-        count, first = np.zeros(len(keys) + 1, np.int64), np.zeros(len(keys) + 1, np.int64)
-        count[:-1][known], first[:-1][known] = self.count[at[known]], self.first[at[known]]
-        count[fresh], first[fresh] = n_new, len(self.flat) + np.cumsum(n_new) - n_new
-        count[-1], first[-1] = 1, len(self.flat) + len(flat_new)  # the end id is a word of its own
+        flat_new = np.fromiter(itertools.chain.from_iterable(new), np.uint32, int(n_new.sum()))
+        count[fresh], first[fresh] = n_new, held + np.cumsum(n_new) - n_new
+        count[-1], first[-1] = 1, held + len(flat_new)  # the end id is a word of its own
         last = np.searchsorted(text, np.arange(len(offsets) - 1), "right")
         order = np.insert(which, last, len(keys))
         each = count[order]
-        ids = np.concatenate([self.flat, flat_new, np.array([end], np.uint32)])[_spread(first[order], each)]
+        ids = np.concatenate([self.known.flat, self.new.flat, flat_new, np.array([end], np.uint32)])[_spread(first[order], each)]
         cuts = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], last + np.arange(1, len(offsets))])]
         kept = ((stop - start)[sample[fresh]] <= LONGEST) & ~taken[fresh]
         if kept.any() and not alone:
-            self._remember(keys[fresh][kept], other[sample[fresh]][kept], n_new[kept], flat_new[np.repeat(kept, n_new)])
+            self._remember(keys[fresh][kept], others[fresh][kept], n_new[kept], flat_new[np.repeat(kept, n_new)])
         return ids, cuts
 
 
@@ -161,7 +202,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 2, size: int = 4096, keep
     schema = StructType([own.schema["doc_id"], *(StructField(c, LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")), *([StructField("ids", BinaryType())] if keep_ids else [])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = WordIds.of_worker(tokenizer)
         for batch, data, offsets in blocks.blocks(batches):
             found, cuts = words.of(data, offsets, end)
             total = np.diff(cuts)

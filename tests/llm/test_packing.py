@@ -79,11 +79,12 @@ def ids_by(words, texts):
 def test_remembered_words_do_not_change_ids(monkeypatch, rows, most):
     monkeypatch.setattr(packing, "REMEMBERED", most)
     monkeypatch.setattr(packing, "PIECES", 3)
+    monkeypatch.setattr(packing, "NEW", most // 3)
     words, tokenizer = packing.WordIds(PATH), Tokenizer.from_file(PATH)
     texts = [r[1] for r in rows]
     for some in (texts, texts[:9], texts[9:], texts):
         assert ids_by(words, some) == [ids_of(tokenizer, t) for t in some]
-    assert len(words.keys) == len(words.first) <= 2 * most
+    assert len(words.known.keys) == len(words.known.first) and len(words.new.keys) <= max(1, most)
 
 
 def test_words_of_one_hash_keep_their_own_ids(monkeypatch, rows):
