@@ -1,8 +1,10 @@
 """Near-duplicates of texts and vectors against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import WORD, frame, sentence
 
@@ -115,18 +117,56 @@ def cosines(rows, least):
                 yield a, b
 
 
-@pytest.mark.parametrize("block", [2000, 20])
-def test_vectors(spark, monkeypatch, block):
-    monkeypatch.setattr(forest, "BLOCK", block)
-    monkeypatch.setattr(forest, "LEAF", 30)
-    rows = vectors()
+def check_vectors(spark, rows, least=0.98):
     df = spark.createDataFrame([(i, v, label, 1, "h", 5) for i, v, label in rows], SCHEMA)
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in forest.near_duplicates(df).collect()}
-    linked = list(cosines(rows, 0.98))
-    least = groups({r[0] for r in rows if r[0] is not None}, linked)
-    for i, *_ in rows:
-        n = sum(i in e for e in linked) if i is not None else 0
-        assert got[i] == (n, least.get(i), i is None or least[i] == i), i
+    got = {}
+    for r in forest.near_duplicates(df, least).collect():
+        got.setdefault(r["vec_id"], set()).add((r["n_links"], r["component_id"], r["kept"]))
+    linked = list(cosines(rows, least))
+    component = groups({r[0] for r in rows if r[0] is not None}, linked)
+    degree = Counter(x for e in linked for x in e)
+    for i in {r[0] for r in rows}:
+        assert got[i] == {(degree[i], component.get(i), i is None or component[i] == i)}, i
+
+
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 20}, {"LEAF": 8, "SAMPLE": 40, "CHUNK": 30, "LARGE": 16}])
+def test_vectors(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(forest, name, value)
+    check_vectors(spark, vectors())
+
+
+def test_equal_ids_of_one_vector(spark):
+    v = vectors()[0][1]
+    check_vectors(spark, [(1, v, 0), (2, v, 0), (3, [-x for x in v], 0)])
+    df = spark.createDataFrame([(7, v, 0, 1, "h", 5), (7, v, 0, 1, "h", 5), (7, [-x for x in v], 0, 1, "h", 5), (8, v, 0, 1, "h", 5)], SCHEMA)
+    assert sorted(tuple(r) for r in forest.near_duplicates(df).collect()) == [(7, 0, 7, True), (7, 2, 7, True), (7, 2, 7, True), (8, 2, 7, False)]
+
+
+def test_trees_split_and_find_nearly_all_of_20000_vectors(spark):
+    """Recall of pairs at and above the threshold, against all pairs; leaves stay small without a bound on depth."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((400, 24))
+    x = centres[rng.integers(0, 400, 20_000)] + rng.standard_normal((20_000, 24)) * rng.uniform(0.02, 0.3, (20_000, 1))
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(20_000)), "embedding": pa.array(list(x)), "label": pa.array(np.minimum(np.arange(20_000) % 7, 3), pa.int32())}))
+    got = {r["vec_id"]: r["n_links"] for r in forest.near_duplicates(df).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.minimum(np.arange(20_000) % 7, 3)
+    want = np.zeros(20_000, int)
+    for a in range(0, 20_000, 1000):
+        near = (unit[a : a + 1000] @ unit.T >= 0.98) & (label[a : a + 1000, None] == label)
+        want[a : a + 1000] = near.sum(1) - 1
+    found = np.array([got[i] for i in range(20_000)])
+    assert (found <= want).all() and want.sum() > 100_000
+    assert found.sum() / want.sum() >= 0.999
+
+
+def test_trees_split_in_the_smallest_tables(spark):
+    vectors_ = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    _, classes = forest._classes(vectors_)
+    at = forest.leaves(classes.select("cid", "label", "vector"), 64, 0.02)
+    n_labels, n, cells = vectors_.select("label").distinct().count(), classes.count(), at.select("cell").distinct().count()
+    assert cells > 2 * forest.TREES * n_labels and at.groupBy("cell").count().agg({"count": "max"}).first()[0] < n / n_labels
 
 
 def test_no_vectors(spark):
