@@ -7,7 +7,9 @@ reach the driver, only their number and a checksum per round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -23,17 +25,21 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Rows with a null end are ignored; without links the result is empty.
     """
+    tasks = scratch.few(links.sparkSession)
     ends = links.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u != v")
-    now = scratch.table(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    now = scratch.table(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", tasks)
     seen = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _least(large.where("u > v"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        now = scratch.table(small, "links")
-        found = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF)), F.lit(0))).first()
-        if found == seen or not found[0]:
+        # counted while it is written
+        told = Observation(f"round-{uuid.uuid4().hex}")
+        small = small.observe(told, F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF)), F.lit(0)).alias("sum"))
+        now = scratch.table(small, "links", tasks)
+        found = told.get
+        if found == seen or not found["n"]:
             break
         seen = found
     else:

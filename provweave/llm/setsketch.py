@@ -297,7 +297,7 @@ def _across(layout: repeats.Layout, left: DataFrame, least: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable over links, its own included), kept."""
-    layout = repeats.Layout(docs)
+    layout, few = repeats.Layout(docs), scratch.few(docs.sparkSession)
     texts = layout.texts(docs.where(F.col("doc_id").isNotNull()))
     all_ = scratch.table(sketches(docs, size), "sketches")
     linked = all_.where(F.col("doc").isNotNull() & (F.col("n") > 0))
@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows = _banded(reps)
     many = rows.groupBy("band").agg(F.count("*").alias("times")).where("times > 1")
     shared = scratch.table(rows.join(many, "band"), "shared")
-    central = scratch.table(shared.groupBy("doc").agg(F.sum("times").alias("central")), "central")
+    central = scratch.table(shared.groupBy("doc").agg(F.sum("times").alias("central")), "central", few)
     ranked = shared.join(central, "doc").select("band", "doc", F.struct("central", (-F.col("doc")).alias("last"), "doc").alias("rank"))
     centres = ranked.groupBy("band").agg(F.max("rank").alias("centre"))
     pairs = ranked.join(centres, "band").where(F.col("rank") != F.col("centre"))
@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     for _ in range(2):
         higher = label.select(F.col("doc").alias("component"), F.col("component").alias("next"))
         label = label.join(higher, "component", "left").select("doc", F.coalesce("next", "component").alias("component"))
-    label = scratch.table(label, "label")
+    label = scratch.table(label, "label", few)
     named = shared.select("band", "i", "doc").join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     across = _across(layout, named.join(mixed, "band").join(reps, "doc"), percent / 100)
@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # the least id of each component, over the labels that belong together
     tops = reps.select("doc").join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     tops = tops.join(merged.select(F.col("id").alias("component"), F.col("component").alias("merged")), "component", "left").select("doc", F.coalesce("merged", "component").alias("component"))
-    tops = scratch.table(tops, "tops")
+    tops = scratch.table(tops, "tops", few)
     least = tops.groupBy("component").agg(F.min("doc").alias("least"))
     final = tops.join(least, "component").select(F.col("doc").alias("rep"), F.col("least").alias("component"))
 
