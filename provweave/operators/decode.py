@@ -6,31 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .encode import DOC, ITEM
+from .model import object_text
 
 
 def _object(pairs: Column) -> Column:
     """Canonical object text from collected (key, kv) structs."""
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(pairs), lambda x: x["kv"]), ","), F.lit("}"))
+    return object_text(F.array_sort(pairs))
 
 
 def _records(items: DataFrame, fields: DataFrame) -> DataFrame:
     """``items`` with the text of their record from (item, field, kv) rows; {} without any."""
-    texts = fields.groupBy(*ITEM).agg(_object(F.collect_list(F.struct("field", "kv"))).alias("record"))
-    return items.join(texts, ITEM, "left").withColumn("record", F.coalesce("record", F.lit("{}")))
+    rows = fields.select(*ITEM, F.lit(None).cast("string").alias("item_json"), F.struct("field", "kv").alias("pair"))
+    rows = rows.unionByName(items.select(*ITEM, "item_json", F.lit(None).cast(rows.schema["pair"].dataType).alias("pair")))
+    return rows.groupBy(*ITEM).agg(F.first("item_json", ignorenulls=True).alias("item_json"), _object(F.collect_list("pair")).alias("record"))
 
 
-def node_texts(facts: DataFrame, dictionary: DataFrame, template_fields: DataFrame, residual_fields: DataFrame) -> DataFrame:
-    """Nodes with their record: the template's fields overlaid by the node's own."""
-    named = facts.drop("item", "residual").join(dictionary.select("sid", F.col("s").alias("item")), "sid")
-    shared = named.select(*ITEM, "tid").join(template_fields, "tid").select(*ITEM, "field", "kv")
-    return _records(named.select(*ITEM, "section_json", "item_json"), shared.unionByName(residual_fields))
+def node_texts(facts: DataFrame, dictionary: DataFrame, templates: DataFrame) -> DataFrame:
+    """Nodes with their record: the pairs of the template merged with the node's own, as sorted arrays."""
+    named = facts.drop("item").join(dictionary.select("sid", F.col("s").alias("item")), "sid")
+    both = named.join(templates.select("tid", "shared"), "tid")
+    return both.select(*ITEM, "section_json", "item_json", object_text(F.array_sort(F.concat("shared", "own"))).alias("record"))
 
 
 def edge_texts(items: DataFrame, facts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Edges with their record: string cells looked up, the rest as it is."""
-    cells = facts.join(dictionary.select("sid", "s"), "sid", "left")
-    value = F.when(F.col("sid").isNotNull(), json_string(F.col("s"))).otherwise(F.col("json"))
-    return _records(items, cells.select(*ITEM, "field", F.concat("field_json", F.lit(":"), value).alias("kv")))
+    coded = facts.where("sid IS NOT NULL").join(dictionary.select("sid", "s"), "sid")
+    cells = coded.select(*ITEM, "field", F.concat("field_json", F.lit(":"), json_string(F.col("s"))).alias("kv"))
+    return _records(items, cells.unionByName(facts.where("sid IS NULL").select(*ITEM, "field", F.concat("field_json", F.lit(":"), "json").alias("kv"))))
 
 
 def json_string(text: Column) -> Column:

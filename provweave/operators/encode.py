@@ -24,9 +24,13 @@ def edge_cells(shredded: DataFrame, config: ProvConfig = DEFAULT) -> DataFrame:
 
 
 def with_ids(rows: DataFrame, dictionary: DataFrame, text: str, name: str) -> DataFrame:
-    """``rows`` with the dictionary id of a string column; null where the string is null."""
+    """``rows`` with the dictionary id of a string column; null where the string is null.
+
+    Rows without a string take no part in the join, or they would all meet in one task.
+    """
     ids = dictionary.select(F.col("s").alias(text), F.col("sid").alias(name))
-    return rows.join(ids, text, "left")
+    found = rows.where(F.col(text).isNotNull()).join(ids, text, "left")
+    return found.unionByName(rows.where(F.col(text).isNull()).withColumn(name, F.lit(None).cast("long")))
 
 
 def edge_facts(shredded: DataFrame, dictionary: DataFrame, config: ProvConfig = DEFAULT) -> DataFrame:
@@ -36,31 +40,19 @@ def edge_facts(shredded: DataFrame, dictionary: DataFrame, config: ProvConfig =
 
 
 def edge_table(shredded: DataFrame, relation: str, config: ProvConfig = DEFAULT) -> DataFrame:
-    """Wide table of one relation: a struct (kind, text, json) per schema field, null where absent, and extras."""
-    cells = edge_cells(shredded.where(F.col("section") == relation), config)
-    items = shredded.where((F.col("section") == relation) & (F.col("what") == "item") & (F.col("route") == "edge")).select(*ITEM, "item_ord")
-    cell = F.struct("kind", "text", "json")
-    columns = [F.first(F.when(F.col("pos") == i, cell), ignorenulls=True).alias(f) for i, f in enumerate(config.rel_schema[relation])]
-    extras = F.map_from_entries(F.collect_list(F.when(F.col("pos").isNull(), F.struct("field", "json")))).alias("extras")
-    wide = cells.groupBy(*ITEM).agg(*columns, extras)
-    return items.join(wide, ITEM, "left")
+    """Wide table of one relation: a struct (kind, text, json) per schema field, null where absent, and extras.
+
+    Items and their fields are grouped together, so there is one exchange and no join; a
+    shredder that was asked for this relation alone sends nothing else here.
+    """
+    rows = shredded.where((F.col("section") == relation) & (F.col("route") == "edge") & F.col("what").isin("item", "field"))
+    cell, names = F.struct("kind", "text", "json"), config.rel_schema[relation]
+    columns = [F.first(F.when(F.col("field") == f, cell), ignorenulls=True).alias(f) for f in names]
+    extra = F.when((F.col("what") == "field") & ~F.col("field").isin(*names), F.struct("field", "json"))
+    return rows.groupBy(*ITEM).agg(F.max("item_ord").alias("item_ord"), *columns, F.map_from_entries(F.collect_list(extra)).alias("extras"))
 
 
 def node_facts(nodes: DataFrame, dictionary: DataFrame, templates: DataFrame) -> DataFrame:
-    """Nodes encoded: id of the name, id of the template, residual text."""
-    named = with_ids(nodes.select(*ITEM, "section_json", "item_json", "item_ord", "template", "residual"), dictionary, "item", "sid")
+    """Nodes encoded: id of the name, id of the template, residual as pairs."""
+    named = with_ids(nodes.select(*ITEM, "section_json", "item_json", "item_ord", "template", "own"), dictionary, "item", "sid")
     return named.join(templates.select("template", "tid"), "template").drop("template")
-
-
-def template_fields(shredded: DataFrame, nodes: DataFrame, templates: DataFrame, config: ProvConfig = DEFAULT) -> DataFrame:
-    """(tid, field, kv): fields of each template, from one node that has it."""
-    chosen = nodes.groupBy("template").agg(F.min(F.struct("graph", "path", "section", "item")).alias("at")).select("template", "at.*")
-    chosen = chosen.join(templates.select("template", "tid"), "template").drop("template")
-    fields = shredded.where("route = 'node' AND what = 'field'").where(~F.col("field").isin(*sorted(config.volatile_keys)))
-    return fields.join(chosen, ITEM).select("tid", "field", F.concat("field_json", F.lit(":"), "json").alias("kv"))
-
-
-def residual_fields(shredded: DataFrame, config: ProvConfig = DEFAULT) -> DataFrame:
-    """Fields of nodes that vary from node to node, with their node."""
-    fields = shredded.where("route = 'node' AND what = 'field'").where(F.col("field").isin(*sorted(config.volatile_keys)))
-    return fields.select(*ITEM, "field", F.concat("field_json", F.lit(":"), "json").alias("kv"))

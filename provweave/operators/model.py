@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ProvConfig
@@ -18,9 +18,11 @@ def _ordered(order: str) -> list:
     return {"lexical": [F.col("key")], "frequency": [F.col("n").desc(), F.col("key")], "first_seen": [F.col("graph"), F.col("seq"), F.col("key")]}[order]
 
 
-def _dims(found: DataFrame, order: str, name: str, key: str, first: int) -> DataFrame:
-    seen = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("graph", "seq")).alias("at")).select("key", "n", "at.graph", "at.seq")
-    return dense_ids(seen, _ordered(order), name, first).select(name, F.col("key").alias(key), "n")
+def _dims(found: DataFrame, order: str, name: str, key: str, first: int, *more: str) -> DataFrame:
+    """``more``: columns that are the same wherever the key is."""
+    seen = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("graph", "seq")).alias("at"), *[F.first(c).alias(c) for c in more])
+    seen = seen.select("key", "n", "at.graph", "at.seq", *more)
+    return dense_ids(seen, _ordered(order), name, first).select(name, F.col("key").alias(key), "n", *more)
 
 
 def dictionary(shredded: DataFrame, config: ProvConfig = DEFAULT, known: DataFrame | None = None) -> DataFrame:
@@ -36,25 +38,30 @@ def dictionary(shredded: DataFrame, config: ProvConfig = DEFAULT, known: DataFra
 def node_records(shredded: DataFrame, config: ProvConfig = DEFAULT) -> DataFrame:
     """One row per node: template and residual as canonical text, residual null if it has no field.
 
-    Fields split by membership in the volatile keys; both halves together are the record.
+    Fields split by membership in the volatile keys; both halves together are the record.  ``shared`` and
+    ``own`` hold them as sorted (field, kv) pairs, kv being the member's text.
     """
     keys = ["graph", "path", "section", "item"]
     rows = shredded.where("route = 'node' AND what IN ('item', 'field')")
     volatile = F.col("field").isin(*sorted(config.volatile_keys))
     pair = F.struct("field", F.concat("field_json", F.lit(":"), "json").alias("kv"))
     is_field = F.col("what") == "field"
-    text = lambda c: F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(c), lambda x: x["kv"]), ","), F.lit("}"))
     grouped = rows.groupBy(*keys).agg(
         F.first("section_json").alias("section_json"), F.first("item_json").alias("item_json"), F.max("item_ord").alias("item_ord"), F.min("seq").alias("seq"),
-        F.collect_list(F.when(is_field & ~volatile, pair)).alias("t"), F.collect_list(F.when(is_field & volatile, pair)).alias("r"))
-    return grouped.select(*keys, "section_json", "item_json", "item_ord", "seq", text("t").alias("template"), F.when(F.size("r") > 0, text("r")).alias("residual"), F.size("t").alias("n_template"), F.size("r").alias("n_residual"))
+        F.array_sort(F.collect_list(F.when(is_field & ~volatile, pair))).alias("shared"), F.array_sort(F.collect_list(F.when(is_field & volatile, pair))).alias("own"))
+    return grouped.select(*keys, "section_json", "item_json", "item_ord", "seq", object_text("shared").alias("template"), F.when(F.size("own") > 0, object_text("own")).alias("residual"), "shared", "own", F.size("shared").alias("n_template"), F.size("own").alias("n_residual"))
+
+
+def object_text(pairs: Column | str) -> Column:
+    """Canonical object text of sorted (field, kv) pairs."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda x: x["kv"]), ","), F.lit("}"))
 
 
 def templates(nodes: DataFrame, config: ProvConfig = DEFAULT, known: DataFrame | None = None) -> DataFrame:
-    """(tid, template, n): distinct templates with dense ids; identity is the text, whatever the section."""
-    found = nodes.select(F.col("template").alias("key"), "graph", "seq")
+    """(tid, template, n, shared): distinct templates with dense ids; identity is the text, whatever the section."""
+    found = nodes.select(F.col("template").alias("key"), "graph", "seq", "shared")
     first = 0
     if known is not None:
         found = found.join(known.select(F.col("template").alias("key")), "key", "left_anti")
         first = (known.agg(F.max("tid")).first()[0] if known.take(1) else -1) + 1
-    return _dims(found, config.id_order, "tid", "template", first)
+    return _dims(found, config.id_order, "tid", "template", first, "shared")

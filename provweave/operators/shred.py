@@ -7,10 +7,11 @@ of their own, so nothing is lost that has no field.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import udtf
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..config import DEFAULT, ProvConfig
@@ -36,16 +37,41 @@ SCHEMA = StructType([
 ])
 
 
-class _Shredder:
-    def __init__(self, graph: str, config: ProvConfig):
-        self.graph, self.config, self.rows, self.seq = graph, config, [], 0
+#: What a row can be about; ``want`` names those that a caller needs.
+WHATS = ("doc", "section", "item", "field", "string", "error")
+#: Rows of a batch that leaves the shredder.
+BATCH = 20_000
+_ARROW = {"path": pa.list_(pa.string()), "item_ord": pa.int32(), "seq": pa.int64()}
+_NAMES = SCHEMA.names
+_AT = {name: i for i, name in enumerate(_NAMES)}
 
-    def row(self, what: str, path: list[str], **has: object) -> None:
-        self.seq += 1
-        self.rows.append({"graph": self.graph, "path": path, "what": what, "seq": self.seq, **has})
 
-    def string(self, path: list[str], role: str, text: str) -> None:
-        self.row("string", path, role=role, text=text)
+def route(name: str, section: object, config: ProvConfig) -> str:
+    """Whole sections go one way: one member that is no object makes a section ``other``."""
+    known = "node" if name in config.node_sections else "edge" if name in config.rel_schema else "bundle" if name == "bundle" else "other"
+    return known if isinstance(section, dict) and all(isinstance(v, dict) for v in section.values()) else "other"
+
+
+class _Shredder:
+    """Rows of documents as columns; ``seq`` counts all rows of a document, wanted or not."""
+
+    def __init__(self, config: ProvConfig, want: frozenset[str], sections: frozenset[str] | None):
+        self.config, self.want, self.sections = config, want, sections
+        self.seq, self.rows = 0, []
+        self.texts = "string" in want
+
+    def take(self) -> pa.RecordBatch:
+        """The rows so far, as one batch."""
+        columns = zip(*self.rows) if self.rows else [()] * len(_NAMES)
+        out = pa.RecordBatch.from_arrays([pa.array(c, _ARROW.get(n, pa.string())) for n, c in zip(_NAMES, columns)], _NAMES)
+        self.rows = []
+        return out
+
+    def row(self, what: str, path: list[str], section: tuple = (None, None, None), item: tuple = (None, None, None), field: tuple = (None, None, None), text: str | None = None, json: str | None = None, role: str | None = None) -> None:
+        """``section``: name, JSON and route; ``item``: name, JSON and number; ``field``: name, JSON and kind."""
+        self.seq += 1
+        if what in self.want:
+            self.rows.append((self.graph, path, what, *section, *item, *field, text, json, role, self.seq))
 
     def strings(self, path: list[str], value: object) -> None:
         """Keys and string leaves of any value, in order, without recursion."""
@@ -53,10 +79,10 @@ class _Shredder:
         while todo:
             now = todo.pop()
             if isinstance(now, tuple):
-                self.string(path, "key", now[0])
+                self.row("string", path, text=now[0], role="key")
                 todo.append(now[1])
             elif isinstance(now, str):
-                self.string(path, "value", now)
+                self.row("string", path, text=now, role="value")
             elif isinstance(now, dict):
                 todo.extend(reversed(now.items()))
             elif isinstance(now, list):
@@ -64,79 +90,94 @@ class _Shredder:
 
     def document(self, path: list[str], value: object) -> None:
         letter = kind(value)
-        self.row("doc", path, kind=letter, json=None if letter == "o" else canonical(value))
+        self.row("doc", path, field=(None, None, letter), json=None if letter == "o" else canonical(value))
         if letter != "o":
-            self.strings(path, value)
+            if self.texts:
+                self.strings(path, value)
             return
         for name, section in value.items():
-            route = self.route(name, section)
-            at = {"section": name, "section_json": quoted(name), "route": route}
+            way = route(name, section, self.config)
+            if self.sections is not None and name not in self.sections:
+                for item, member in section.items() if way == "bundle" else ():
+                    self.document([*path, item], member)
+                continue
+            at = (name, quoted(name), way)
             size = len(section) if isinstance(section, dict | list) else None
-            self.row("section", path, **at, kind=kind(section), item_ord=size, json=canonical(section) if route == "other" else None)
-            if route == "other":
-                self.strings(path, section)
+            self.row("section", path, at, (None, None, size), (None, None, kind(section)), json=canonical(section) if way == "other" else None)
+            if way == "other":
+                if self.texts:
+                    self.strings(path, section)
             else:
                 for i, (item, content) in enumerate(section.items()):
-                    self.item(path, at | {"item": item, "item_json": quoted(item), "item_ord": i}, content)
-
-    def route(self, name: str, section: object) -> str:
-        """Whole sections go one way: one member that is no object makes a section ``other``."""
-        known = "node" if name in self.config.node_sections else "edge" if name in self.config.rel_schema else "bundle" if name == "bundle" else "other"
-        return known if isinstance(section, dict) and all(isinstance(v, dict) for v in section.values()) else "other"
-
-    def item(self, path: list[str], at: dict, content: dict) -> None:
-        self.row("item", path, **at)
-        self.string(path, f"{at['route']}_id", at["item"])
-        if at["route"] == "bundle":
-            self.document([*path, at["item"]], content)
+                    self.item(path, at, (item, quoted(item), i), content)
+
+    def item(self, path: list[str], section: tuple, item: tuple, content: dict) -> None:
+        name, _, way = section
+        self.row("item", path, section, item)
+        if self.texts:
+            self.row("string", path, text=item[0], role=f"{way}_id")
+        if way == "bundle":
+            self.document([*path, item[0]], content)
             return
-        columns = self.config.rel_schema.get(at["section"], ()) if at["route"] == "edge" else ()
-        for name, value in content.items():
+        columns = self.config.rel_schema.get(name, ()) if way == "edge" else ()
+        for key, value in content.items():
             letter = kind(value)
-            self.row("field", path, **at, field=name, field_json=quoted(name), kind=letter, text=value if letter == "s" else None, json=canonical(value))
-            if name not in columns:
-                self.string(path, "key", name)
-            if name in columns and letter == "s":
-                self.string(path, "cell", value)
-            else:
-                self.strings(path, value)
-
-
-def shred_text(graph: str, text: str | None, config: ProvConfig = DEFAULT) -> list[dict]:
-    """Rows of one document; a single ``error`` row for a text that is none."""
-    value, reason = parse(text)
-    shredder = _Shredder(graph, config)
-    if reason is None:
-        try:
-            shredder.document([], value)
-        except RecursionError:
-            reason = "too_deep"
-    if reason is not None:
-        shredder = _Shredder(graph, config)
-        shredder.row("error", [], text=reason)
-    return shredder.rows
-
-
-def shred(corpus: DataFrame, config: ProvConfig = DEFAULT) -> DataFrame:
-    """SCHEMA rows of a corpus (graph, body)."""
-    types = {f.name: pa.list_(pa.string()) if f.name == "path" else {StringType: pa.string(), IntegerType: pa.int32(), LongType: pa.int64()}[type(f.dataType)] for f in SCHEMA}
+            self.row("field", path, section, item, (key, quoted(key), letter), value if letter == "s" else None, canonical(value))
+            if self.texts:
+                if key not in columns:
+                    self.row("string", path, text=key, role="key")
+                if key in columns and letter == "s":
+                    self.row("string", path, text=value, role="cell")
+                else:
+                    self.strings(path, value)
+
+    def shred(self, graph: str, text: str | None) -> None:
+        """Rows of one document; a single ``error`` row for a text that is none."""
+        self.graph, self.seq, before = graph, 0, len(self.rows)
+        value, reason = parse(text)
+        if reason is None:
+            try:
+                self.document([], value)
+            except RecursionError:
+                reason = "too_deep"
+        if reason is not None:
+            self.seq = 0
+            del self.rows[before:]
+            self.row("error", [], text=reason)
+
+
+def shred(corpus: DataFrame, config: ProvConfig = DEFAULT, want: Iterable[str] = WHATS, sections: Iterable[str] | None = None) -> DataFrame:
+    """SCHEMA rows of a corpus (graph, body).
+
+    ``want``: only rows about these; strings are the larger half, and the dictionary alone needs
+    them.  ``sections``: only what stands in these sections, at any depth.
+    """
+    wanted, inside = frozenset(want), None if sections is None else frozenset(sections)
+    if not wanted <= set(WHATS):
+        raise ValueError(f"want must be among {WHATS}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shredder = _Shredder(config, wanted, inside)
         for batch in batches:
-            rows: list[dict] = []
             for graph, body in zip(batch.column("graph").to_pylist(), batch.column("body").to_pylist()):
-                rows += shred_text(graph, body, config)
-                if len(rows) > 20_000:
-                    yield columns(rows)
-                    rows = []
-            yield columns(rows)
-
-    def columns(rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in types.items()], list(types))
+                shredder.shred(graph, body)
+                if len(shredder.rows) > BATCH:
+                    yield shredder.take()
+        yield shredder.take()
 
     return corpus.select("graph", "body").mapInArrow(run, SCHEMA)
 
 
+@udtf(returnType=SCHEMA)
+class prov_shred:  # noqa: N801
+    """``SELECT * FROM corpus, LATERAL prov_shred(graph, body)``: the rows of each document, for SQL."""
+
+    def eval(self, graph: str, body: str):
+        shredder = _Shredder(DEFAULT, frozenset(WHATS), None)
+        shredder.shred(graph, body)
+        yield from shredder.rows
+
+
 def errors(shredded: DataFrame) -> DataFrame:
     """(graph, reason) of rejected documents."""
     return shredded.where("what = 'error'").select("graph", shredded["text"].alias("reason"))

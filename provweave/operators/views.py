@@ -23,7 +23,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..config import DEFAULT, ProvConfig
 from ..functions.jsontext import canonical, minified, parse
 from .model import node_records, string_occurrences
-from .shred import _Shredder
+from .shred import route
 
 # Marks of the format.
 NODES, EDGES, BUNDLES, STRING, KEY = "_n", "_e", "_b", "$", "#"
@@ -58,7 +58,6 @@ class Writer:
 
     def __init__(self, sid: Callable[[str], int], tid: Callable[[dict], int], config: ProvConfig = DEFAULT):
         self.sid, self.tid, self.config = sid, tid, config
-        self.route = _Shredder("", config).route
 
     def view(self, doc: Any) -> Any:
         if isinstance(doc, str):
@@ -66,7 +65,7 @@ class Writer:
         if not isinstance(doc, dict):
             return encode_value(doc, self.sid)
         make = {"node": self._nodes, "edge": self._edges, "bundle": self._bundles, "other": lambda _, v: encode_value(v, self.sid)}
-        return {name: make[self.route(name, section)](name, section) for name, section in doc.items()}
+        return {name: make[route(name, section, self.config)](name, section) for name, section in doc.items()}
 
     def _rest(self, fields: dict) -> Any:
         return encode_value(fields, self.sid) if fields else 0
@@ -123,6 +122,12 @@ class Reader:
         return decode_value(view, self.strings)
 
 
+def own_config(config: ProvConfig) -> dict:
+    """What a dumped model must say of its configuration beyond the relation schema: what is not the default."""
+    own = {"node_sections": list(config.node_sections)} if config.node_sections != DEFAULT.node_sections else {}
+    return own | ({"volatile_keys": sorted(config.volatile_keys)} if config.volatile_keys != DEFAULT.volatile_keys else {})
+
+
 class Model:
     """A small model in memory, for single documents; a corpus keeps its model in tables."""
 
@@ -150,13 +155,13 @@ class Model:
         return Reader(list(self.sids), self.templates, self.config.rel_schema).document(view)
 
     def dump(self) -> dict:
-        return {"version": VERSION, "dict": list(self.sids), "templates": [encode_value(t, self.sid) for t in self.templates], "rel_schema": {k: list(v) for k, v in self.config.rel_schema.items()}}
+        return {"version": VERSION, "dict": list(self.sids), "templates": [encode_value(t, self.sid) for t in self.templates], "rel_schema": {k: list(v) for k, v in self.config.rel_schema.items()}} | own_config(self.config)
 
     @classmethod
     def load(cls, dumped: dict) -> Model:
-        """A dumped model; it goes on compressing with the relation schema it was made with."""
+        """A dumped model; it goes on compressing with the configuration it was made with."""
         schema = {k: tuple(v) for k, v in dumped.get("rel_schema", DEFAULT.rel_schema).items()}
-        model = cls(ProvConfig(rel_schema=schema))
+        model = cls(ProvConfig(tuple(dumped.get("node_sections", DEFAULT.node_sections)), schema, frozenset(dumped.get("volatile_keys", DEFAULT.volatile_keys))))
         model.sids = {s: i for i, s in enumerate(dumped["dict"])}
         model.templates = [decode_value(t, dumped["dict"]) for t in dumped["templates"]]
         model.tids = {canonical(t): i for i, t in enumerate(model.templates)}
@@ -186,7 +191,7 @@ def prov_unpack(texts: pa.Array) -> pa.Array:
     return pa.array([None if x is None else canonical(unpack(json.loads(x))) for x in texts.to_pylist()], pa.string())
 
 
-def corpus_views(corpus: DataFrame, shredded: DataFrame, dictionary: DataFrame, templates: DataFrame, config: ProvConfig = DEFAULT) -> DataFrame:
+def corpus_views(corpus: DataFrame, shredded: DataFrame, dictionary: DataFrame, templates: DataFrame, config: ProvConfig = DEFAULT, nodes: DataFrame | None = None) -> DataFrame:
     """(graph, view): views of all good documents against the corpus's tables.
 
     A document gets only the ids it uses: its strings and templates joined with the
@@ -194,7 +199,8 @@ def corpus_views(corpus: DataFrame, shredded: DataFrame, dictionary: DataFrame,
     """
     sids = string_occurrences(shredded).select("graph", "s").distinct().join(dictionary.select("s", "sid"), "s")
     sids = sids.groupBy("graph").agg(F.map_from_entries(F.collect_list(F.struct("s", "sid"))).alias("sids"))
-    tids = node_records(shredded, config).select("graph", "template").distinct().join(templates.select("template", "tid"), "template")
+    nodes = node_records(shredded, config) if nodes is None else nodes
+    tids = nodes.select("graph", "template").distinct().join(templates.select("template", "tid"), "template")
     tids = tids.groupBy("graph").agg(F.map_from_entries(F.collect_list(F.struct("template", "tid"))).alias("tids"))
     good = corpus.join(shredded.where("what = 'error'").select("graph"), "graph", "left_anti")
     rows = good.select("graph", "body").join(sids, "graph", "left").join(tids, "graph", "left").select("graph", "body", F.to_json("sids").alias("sids"), F.to_json("tids").alias("tids"))

@@ -1,13 +1,13 @@
 """The ``provjson`` data source: directories of PROV-JSON documents.
 
 Spark's own file sources drop names that begin with ``_``, which are documents here, so the
-driver lists files and executors read them.  Listing goes through Hadoop's
-file system, and reading through the path as each executor sees it: the tree must be on a
-shared mount or in the executors' file system.
+driver lists files through Hadoop's file systems and executors read runs of them, each through
+the path or URI of the root (see ``files``).
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import SIDECAR_NAMES, SIDECAR_SUFFIX
+from . import files
 
 SCHEMA = "graph string, body string, n_bytes long, read_error string"
 
@@ -32,33 +33,44 @@ def document_name(path: Column) -> Column:
     return ~name.isin(*sorted(SIDECAR_NAMES)) & ~name.endswith(SIDECAR_SUFFIX)
 
 
-def list_documents(root: str) -> list[str]:
-    """Paths of documents below ``root``, relative to it and sorted; hidden names are skipped."""
-    found = []
-    for folder, folders, names in os.walk(root):
-        folders[:] = sorted(f for f in folders if not f.startswith("."))
-        found += [os.path.relpath(os.path.join(folder, n), root) for n in names if not n.startswith(".") and is_document_name(n)]
-    return sorted(p.replace(os.sep, "/") for p in found)
+def document_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    """(path, bytes) of documents below ``root``, sorted; what is hidden at any level is skipped."""
+    return [(p, n) for p, n in files.listed(spark, root) if is_document_name(p) and not any(x.startswith(".") for x in p.split("/"))]
+
+
+def list_documents(spark: SparkSession, root: str) -> list[str]:
+    """Paths of documents below ``root``, relative to it and sorted."""
+    return [p for p, _ in document_files(spark, root)]
 
 
 class _Files(InputPartition):
-    def __init__(self, root: str, paths: list[str]):
-        self.root, self.paths = root, paths
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
+    """Runs of files of about ``bytesPerTask`` bytes, ``filesPerTask`` at most."""
+
     def __init__(self, options: dict[str, str]):
-        self.root = options["path"]
-        self.per_task = int(options.get("filesPerTask", 512))
+        self.root = options["path"].rstrip("/")
+        self.listing = options["listing"]
+        self.most, self.size = int(options.get("filesPerTask", 512)), int(options.get("bytesPerTask", 32 << 20))
 
     def partitions(self) -> list[InputPartition]:
-        paths = list_documents(self.root)
-        return [_Files(self.root, paths[a : a + self.per_task]) for a in range(0, len(paths), self.per_task)] or [_Files(self.root, [])]
+        runs, held = [[]], 0
+        for path, n in json.loads(self.listing):
+            if runs[-1] and (held + n > self.size or len(runs[-1]) >= self.most):
+                runs.append([])
+                held = 0
+            runs[-1].append(path)
+            held += n
+        self.listing = ""  # tasks need their own files alone
+        return [_Files(r) for r in runs]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for path in partition.paths:
             try:
-                with open(os.path.join(partition.root, path), "rb") as f:
+                with files.opened(f"{self.root}/{path}", "rb") as f:
                     raw = f.read()
                 yield path, raw.decode("utf-8"), len(raw), None
             except (OSError, UnicodeDecodeError) as e:
@@ -66,7 +78,11 @@ class _Reader(DataSourceReader):
 
 
 class ProvJsonSource(DataSource):
-    """``spark.read.format("provjson").load(root)``: graph, body, n_bytes, read_error."""
+    """``read_corpus``: graph, body, n_bytes, read_error.
+
+    As a format it takes the options ``path`` and ``listing`` (JSON of (path, bytes) pairs); without a
+    listing it lists a mounted root itself.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -76,14 +92,54 @@ class ProvJsonSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        return _Reader(self.options if "listing" in self.options else {**self.options, "listing": json.dumps(_mounted(self.options["path"]))})
 
 
-def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Documents of a corpus tree."""
-    spark.dataSource.register(ProvJsonSource)
-    return spark.read.format("provjson").load(root)
+def _mounted(root: str) -> list[tuple[str, int]]:
+    """Documents of a tree in the reader's own file system; data sources run without a session."""
+    if not files.is_local(root):
+        raise ValueError(f"use read_corpus for {root}: it lists through Hadoop")
+    top, found = files.plain(root), []
+    for folder, folders, names in os.walk(top):
+        folders[:] = [f for f in folders if not f.startswith(".")]
+        for name in names:
+            path = os.path.join(folder, name)
+            if not name.startswith(".") and is_document_name(name):
+                found.append((os.path.relpath(path, top), os.path.getsize(path)))
+    return sorted(found)
 
 
-def count_documents(root: str) -> int:
-    return len(list_documents(root))
+def read_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """Documents of a corpus tree: graph (path below the root), body, n_bytes, read_error.
+
+    Names are listed once, here, by the driver.  Stores that only Hadoop reads are scanned with Spark's
+    binary reader, which leaves out names that begin with ``_``; such names are refused there.
+    """
+    found = document_files(spark, root)
+    if files.is_local(root) or _arrow_reads(root):
+        spark.dataSource.register(ProvJsonSource)
+        return spark.read.format("provjson").option("listing", json.dumps(found)).load(root)
+    odd = [p for p, _ in found if any(x.startswith("_") for x in p.split("/"))]
+    if odd:
+        raise ValueError(f"names that begin with _ cannot be read from {root}: {odd[:5]}")
+    base = files.qualified(spark, root) + "/"
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root)
+    path = F.substring(F.col("path"), len(base) + 1, 1 << 20)
+    rows = rows.withColumn("graph", path).where(document_name(F.col("graph")) & ~F.col("graph").rlike("(^|/)[.]"))
+    good = F.try_validate_utf8(F.col("content").cast("string"))
+    return rows.select("graph", good.alias("body"), F.when(good.isNull(), 0).otherwise(F.col("length")).cast("long").alias("n_bytes"), F.when(good.isNull(), "UnicodeDecodeError").alias("read_error"))
+
+
+def _arrow_reads(root: str) -> bool:
+    """Whether Arrow has a file system for a URI."""
+    from pyarrow import ArrowException, fs
+
+    try:
+        fs.FileSystem.from_uri(root)
+    except (ArrowException, OSError, ValueError):
+        return False
+    return True
+
+
+def count_documents(spark: SparkSession, root: str) -> int:
+    return len(document_files(spark, root))
