@@ -24,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--orig", required=True), c.add_argument("--compressed", required=True)
     c = commands.add_parser("bench", help="measure corpora; fails if any is not lossless")
     c.add_argument("--corpus", action="append", default=[], metavar="[NAME=]DIR"), c.add_argument("--corpus-dir", help="every folder below it is a corpus")
-    c.add_argument("--output", required=True), c.add_argument("--pooled-name"), c.add_argument("--skip-figures", action="store_true")
+    c.add_argument("--output", required=True), c.add_argument("--pooled-name"), c.add_argument("--skip-figures", action="store_true"), c.add_argument("--work-dir", help="a folder that all executors share")
     return p
 
 
@@ -44,7 +44,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for each in a.corpus:
             name, _, folder = each.rpartition("=")
             sources[name or os.path.basename(folder.rstrip("/"))] = folder
-        return harness.run(spark, sources, a.output, a.pooled_name, not a.skip_figures)
+        return harness.run(spark, sources, a.output, a.pooled_name, not a.skip_figures, a.work_dir)
     return 0
 
 

@@ -1,15 +1,13 @@
 """Corpora: compress, decompress and verify directories, natively or for interchange.
 
-The native form is a directory of Parquet tables that stay queryable: ``dict``, ``template``,
-``template_field``, ``node``, ``node_field``, ``edge``, ``edge_field``, ``section``, ``doc``, ``bundle``
-and ``meta``.  The interchange form is one JSON model file and one JSON view per document.
+The native form is a directory of Parquet tables that stay queryable: ``dict``, ``template``, ``node``,
+``edge``, ``edge_field``, ``section``, ``doc``, ``bundle`` and ``meta``.  The interchange form is one JSON model file and one JSON view per document.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,10 +20,20 @@ from ..config import DEFAULT, ProvConfig
 from ..functions.jsontext import canonical, pretty
 from ..operators import decode, encode, model, shred, stats, views
 from ..operators.stable import stable
-from ..sources.provjson import list_documents, read_corpus
+from ..sources import files
+from ..sources.provjson import count_documents, read_corpus
 
-TABLES = ("dict", "template", "template_field", "node", "node_field", "edge", "edge_field", "section", "doc", "bundle")
+TABLES = ("dict", "template", "node", "edge", "edge_field", "section", "doc", "bundle")
+
+# Fixed values of the interchange form: names of files, keys of the model file's meta, columns
+# of the statistics, keys of the log.
 MODEL_FILE, VIEW_DIR, STATS_FILE, LOG_FILE = "compressed_corpus.json", "compressed_graphs", "benchmarks.csv", "decompressed_sanity.jsonl"
+META_TOTALS = ("graphs", "dict_strings", "total_supernodes", "orig_nodes", "orig_edges", "residual_nodes")
+META_MORE = ("created_at", "compress_ms", "lossless_definition", "markers")
+LOSSLESS = "canonical-JSON (sort_keys) exact round-trip"
+STATS_COLUMNS = ("graph", "orig_nodes", "orig_edges", "comp_nodes", "comp_edges", "nodes_ratio", "edges_ratio")
+LOG_KEYS = ("graph", "path", "canonical_ok")
+# End of fixed values.
 
 
 @dataclass
@@ -42,20 +50,20 @@ class Compressed:
             writer = table.write.mode(mode)
             (writer.partitionBy("section") if name in ("node", "edge", "edge_field") else writer).parquet(f"{path}/{name}")
         spark = self.tables["dict"].sparkSession
-        meta = Row(depth=self.depth, id_order=self.config.id_order, rel_schema=json.dumps(self.config.rel_schema), volatile=json.dumps(sorted(self.config.volatile_keys)), schemas=json.dumps({t: d.schema.jsonValue() for t, d in self.tables.items()}))
+        meta = Row(depth=self.depth, id_order=self.config.id_order, rel_schema=json.dumps(self.config.rel_schema), volatile=json.dumps(sorted(self.config.volatile_keys)), node_sections=json.dumps(self.config.node_sections), schemas=json.dumps({t: d.schema.jsonValue() for t, d in self.tables.items()}))
         spark.createDataFrame([meta]).write.mode(mode).parquet(f"{path}/meta")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Compressed:
         meta = spark.read.parquet(f"{path}/meta").first()
-        config = ProvConfig(rel_schema={k: tuple(v) for k, v in json.loads(meta["rel_schema"]).items()}, volatile_keys=frozenset(json.loads(meta["volatile"])), id_order=meta["id_order"])
+        config = ProvConfig(node_sections=tuple(json.loads(meta["node_sections"])), rel_schema={k: tuple(v) for k, v in json.loads(meta["rel_schema"]).items()}, volatile_keys=frozenset(json.loads(meta["volatile"])), id_order=meta["id_order"])
         schemas = {t: StructType.fromJson(s) for t, s in json.loads(meta["schemas"]).items()}  # an empty table has no file to infer from
         return cls({t: spark.read.schema(schemas[t]).parquet(f"{path}/{t}") for t in TABLES}, config, meta["depth"])
 
     def decompress(self) -> DataFrame:
         """(graph, text): canonical text of every document, from these tables alone."""
         t = self.tables
-        nodes = decode.node_texts(t["node"], t["dict"], t["template_field"], t["node_field"])
+        nodes = decode.node_texts(t["node"], t["dict"], t["template"])
         edges = decode.edge_texts(t["edge"], t["edge_field"], t["dict"])
         items = nodes.select(*encode.ITEM, "item_json", "record").unionByName(edges.select(*encode.ITEM, "item_json", "record"))
         return decode.assemble(t["doc"], t["section"], items, t["bundle"], self.depth)
@@ -71,7 +79,7 @@ def compress(corpus: DataFrame, config: ProvConfig = DEFAULT, known: Compressed
     if known is not None:
         config = known.config
     rows = stable(shred.shred(corpus, config))
-    nodes = model.node_records(rows, config)
+    nodes = stable(model.node_records(rows, config))
     if known is None:
         strings, templates = model.dictionary(rows, config), model.templates(nodes, config)
     else:
@@ -79,14 +87,9 @@ def compress(corpus: DataFrame, config: ProvConfig = DEFAULT, known: Compressed
         strings = old_s.unionByName(model.dictionary(rows, config, old_s))
         templates = old_t.unionByName(model.templates(nodes, config, old_t))
     strings, templates = stable(strings), stable(templates)
-    fields = encode.template_fields(rows, nodes, templates, config)
-    if known is not None:
-        old = known.tables["template_field"]
-        fields = old.unionByName(fields.join(old.select("tid").distinct(), "tid", "left_anti"))
     item = rows.where("what = 'item'").select(*encode.ITEM, "section_json", "item_json", "item_ord", "route")
     tables = {
-        "dict": strings, "template": templates, "template_field": fields,
-        "node": encode.node_facts(nodes, strings, templates), "node_field": encode.residual_fields(rows, config),
+        "dict": strings, "template": templates, "node": encode.node_facts(nodes, strings, templates),
         "edge": item.where("route = 'edge'").drop("route"), "edge_field": encode.edge_facts(rows, strings, config),
         "section": rows.where("what = 'section'").select(*encode.DOC, "section", "section_json", "route", "json"),
         "doc": rows.where("what = 'doc'").select(*encode.DOC, "kind", "json"),
@@ -101,89 +104,99 @@ def compress(corpus: DataFrame, config: ProvConfig = DEFAULT, known: Compressed
 
 def _apart(source: str, target: str) -> None:
     """Refuse to write into, over or around the input."""
-    a, b = os.path.realpath(source), os.path.realpath(target)
-    if os.path.commonpath([a, b]) in (a, b):
+    whole = lambda p: os.path.realpath(files.plain(p)) if files.is_local(p) else p.rstrip("/")
+    a, b = whole(source), whole(target)
+    if f"{a}/".startswith(f"{b}/") or f"{b}/".startswith(f"{a}/"):
         raise ValueError(f"{target} and {source} must not contain each other")
 
 
-def _fresh(path: str, overwrite: bool) -> None:
-    if os.path.exists(path):
+def _fresh(spark: SparkSession, path: str, overwrite: bool) -> None:
+    if files.exists(spark, path):
         if not overwrite:
             raise FileExistsError(path)
-        shutil.rmtree(path)
-    os.makedirs(path)
+        files.delete(spark, path)
 
 
 def _write_each(texts: DataFrame, folder: str, column: str, indent: bool) -> None:
-    """One file per row, named by graph, from the executors (a shared mount)."""
+    """One file per row, named by graph, from the executors."""
 
     def write(rows: Iterator[Row]) -> None:
         for row in rows:
-            path = os.path.join(folder, row["graph"])
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "w", encoding="utf-8") as f:
-                f.write(pretty(json.loads(row[column])) if indent else row[column])
+            text = pretty(json.loads(row[column])) if indent else row[column]
+            with files.opened(f"{folder}/{row['graph']}", "wb") as f:
+                f.write(text.encode())
 
     texts.foreachPartition(write)
 
 
+def model_file(strings: DataFrame, templates: DataFrame, config: ProvConfig, meta: dict) -> dict:
+    """The content of a model file: one JSON object in this format, so whoever writes or reads it holds it."""
+    table = [r["s"] for r in strings.select("sid", "s").orderBy("sid").toLocalIterator()]
+    sid = {s: i for i, s in enumerate(table)}
+    coded = [views.encode_value(json.loads(r["template"]), sid.__getitem__) for r in templates.select("tid", "template").orderBy("tid").toLocalIterator()]
+    return {"dict": table, "templates": coded, "rel_schema": {k: list(v) for k, v in config.rel_schema.items()}, "meta": meta} | views.own_config(config)
+
+
+def write_stats(per_graph: DataFrame, path: str) -> None:
+    """The statistics file, sorted by graph: written by Spark in parts that are then put end to end."""
+    spark = per_graph.sparkSession
+    rows = per_graph.withColumn("nodes_ratio", F.round("nodes_ratio", 4)).select(*STATS_COLUMNS)
+    rows.orderBy("graph").write.option("emptyValue", "").option("escape", '"').csv(f"{path}.parts")
+    files.one_file(spark, f"{path}.parts", path, ",".join(STATS_COLUMNS))
+
+
+def write_log(checked: DataFrame, path: str) -> None:
+    """The verification log, one JSON object a document, sorted by graph."""
+    values = {"graph": F.col("graph"), "path": F.concat(F.lit(f"{VIEW_DIR}/"), "graph"), "canonical_ok": F.col("state") == "ok"}
+    checked.orderBy("graph").select(F.to_json(F.struct(*[values[k].alias(k) for k in LOG_KEYS]))).write.text(f"{path}.parts")
+    files.one_file(checked.sparkSession, f"{path}.parts", path)
+
+
 def compress_directory(spark: SparkSession, source: str, out: str, verify: bool = False, overwrite: bool = False, config: ProvConfig = DEFAULT) -> dict:
     """Compress a tree of documents to the interchange form; totals as a dict.
 
     The model is new, whatever a codec object may have learnt before.
     """
     _apart(source, out)
-    _fresh(out, overwrite)
+    _fresh(spark, out, overwrite)
     began = time.time()
     corpus = stable(read_corpus(spark, source))
-    rows = stable(shred.shred(corpus.where("read_error IS NULL"), config))
+    readable = corpus.where("read_error IS NULL")
+    rows = stable(shred.shred(readable, config))
     nodes = stable(model.node_records(rows, config))
     strings, templates = stable(model.dictionary(rows, config)), stable(model.templates(nodes, config))
-    written = views.corpus_views(corpus.where("read_error IS NULL"), rows, strings, templates, config)
-    _write_each(written, os.path.join(out, VIEW_DIR), "view", indent=False)
+    _write_each(views.corpus_views(readable, rows, strings, templates, config, nodes), f"{out}/{VIEW_DIR}", "view", indent=False)
     per_graph = stable(stats.graph_stats(rows, nodes, config))
     totals = stats.corpus_totals(per_graph, nodes, strings).first().asDict()
-    # the model is one JSON file in this format, so its writer holds it
-    table = [r["s"] for r in strings.select("sid", "s").orderBy("sid").toLocalIterator()]
-    sid = {s: i for i, s in enumerate(table)}
-    coded = [views.encode_value(json.loads(r["template"]), sid.__getitem__) for r in templates.orderBy("tid").toLocalIterator()]
-    meta = {k: totals[k] for k in ("graphs", "dict_strings", "total_supernodes", "orig_nodes", "orig_edges", "residual_nodes")}
-    meta |= {"created_at": time.time(), "compress_ms": int((time.time() - began) * 1000), "lossless_definition": "canonical-JSON (sort_keys) exact round-trip", "markers": {"node": views.NODES, "edge": views.EDGES, "string": views.STRING}}
-    whole = {"dict": table, "templates": coded, "rel_schema": {k: list(v) for k, v in config.rel_schema.items()}, "meta": meta}
-    with open(os.path.join(out, MODEL_FILE), "w", encoding="utf-8") as f:
-        json.dump(whole, f, separators=(",", ":"), ensure_ascii=False)
-    with open(os.path.join(out, STATS_FILE), "w", encoding="utf-8") as f:
-        names = ("graph", "orig_nodes", "orig_edges", "comp_nodes", "comp_edges", "nodes_ratio", "edges_ratio")
-        print(*names, sep=",", file=f)
-        for r in per_graph.orderBy("graph").toLocalIterator():
-            quoted = '"' + r["graph"].replace('"', '""') + '"' if any(c in r["graph"] for c in ',"\n') else r["graph"]
-            print(quoted, *(r[n] for n in names[1:5]), round(r["nodes_ratio"], 4), r["edges_ratio"], sep=",", file=f)
-    result = totals | {"lossless": None, "roundtrip_failures": None, "compress_s": time.time() - began}
+    more = (time.time(), int((time.time() - began) * 1000), LOSSLESS, {"node": views.NODES, "edge": views.EDGES, "string": views.STRING})
+    meta = {k: totals[k] for k in META_TOTALS} | dict(zip(META_MORE, more))
+    files.put_text(spark, f"{out}/{MODEL_FILE}", json.dumps(model_file(strings, templates, config, meta), separators=(",", ":"), ensure_ascii=False))
+    write_stats(per_graph, f"{out}/{STATS_FILE}")
     if verify:
-        good = corpus.join(rows.where("what = 'error'").select("graph"), "graph", "left_anti").where("read_error IS NULL")
+        good = readable.join(shred.errors(rows).select("graph"), "graph", "left_anti")
         checked = stable(stats.verify(good, read_compressed(spark, out)))
-        with open(os.path.join(out, LOG_FILE), "w", encoding="utf-8") as f:
-            for r in checked.orderBy("graph").toLocalIterator():
-                print(json.dumps({"graph": r["graph"], "canonical_ok": r["state"] == "ok"}), file=f)
-        summary = stats.verify_summary(checked).first()
-        result |= {"lossless": summary["lossless"], "roundtrip_failures": summary["failures"]}
-    return result
+        write_log(checked, f"{out}/{LOG_FILE}")
+        totals |= {k: v for k, v in stats.corpus_totals(per_graph, nodes, strings, checked).first().asDict().items() if k in ("lossless", "roundtrip_failures")}
+    return totals | {"compress_s": time.time() - began}
+
+
+def load_model(spark: SparkSession, folder: str) -> dict:
+    """The content of an interchange directory's model file."""
+    return json.loads(files.get_text(spark, f"{folder}/{MODEL_FILE}"))
 
 
 def read_compressed(spark: SparkSession, folder: str) -> DataFrame:
     """(graph, text): documents of an interchange directory."""
-    with open(os.path.join(folder, MODEL_FILE), encoding="utf-8") as f:
-        dumped = json.load(f)
-    found = read_corpus(spark, os.path.join(folder, VIEW_DIR)).select("graph", F.col("body").alias("view"))
-    return views.read_views(found, dumped)
+    found = read_corpus(spark, f"{folder}/{VIEW_DIR}").select("graph", F.col("body").alias("view"))
+    return views.read_views(found, load_model(spark, folder))
 
 
 def decompress_directory(spark: SparkSession, compressed: str, out: str, overwrite: bool = False) -> int:
     """Rebuild the tree of documents; returns how many."""
     _apart(compressed, out)
-    _fresh(out, overwrite)
+    _fresh(spark, out, overwrite)
     _write_each(read_compressed(spark, compressed), out, "text", indent=True)
-    return len(list_documents(out))
+    return count_documents(spark, out)
 
 
 def verify_directory(spark: SparkSession, originals: str, compressed: str) -> dict:

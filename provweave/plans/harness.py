@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
-import os
 import resource
-import tempfile
 import time
 from dataclasses import asdict, dataclass
 
@@ -15,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.jsontext import prov_minified_len
 from ..operators import stats
+from ..sources import files
 from ..sources.provjson import read_corpus
-from . import codec
+from . import codec, workspace
 
 
 @dataclass
@@ -49,39 +48,51 @@ def percent(compressed: float, original: float) -> float:
     return (1 - compressed / original) * 100 if original > 0 else 0.0
 
 
-def folder_bytes(folder: str) -> int:
-    """Bytes of all files below a folder; files that vanish meanwhile count nothing."""
-    total = 0
-    for where, _, names in os.walk(folder):
-        for name in names:
-            try:
-                total += os.path.getsize(os.path.join(where, name))
-            except OSError:
-                pass
-    return total
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes of all files below a folder."""
+    return sum(n for _, n in files.listed(spark, folder))
 
 
-def payload_bytes(folder: str) -> int:
+def payload_bytes(spark: SparkSession, folder: str) -> int:
     """Bytes of the model file and the views, not of logs and statistics."""
-    return os.path.getsize(os.path.join(folder, codec.MODEL_FILE)) + folder_bytes(os.path.join(folder, codec.VIEW_DIR))
+    return sum(n for p, n in files.listed(spark, folder) if p == codec.MODEL_FILE or p.startswith(f"{codec.VIEW_DIR}/"))
 
 
-def measure(spark: SparkSession, source: str, name: str) -> Result:
-    """Compress with verification, decompress, compare once more."""
+def peak_mb(spark: SparkSession) -> float:
+    """Largest peak, in MB, of the driver's Python and of each JVM of the application with its Python
+    workers, as far as Spark reports process trees (``spark.executor.processTreeMetrics.enabled``); heaps otherwise."""
+    peaks = [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024]
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    for i in range(executors.size()):
+        found = executors.apply(i).peakMemoryMetrics()
+        if found.isDefined():
+            of = found.get().getMetricValue
+            tree = sum(of(f"ProcessTree{k}RSSMemory") for k in ("JVM", "Python", "Other"))
+            peaks.append(max(tree, of("JVMHeapMemory") + of("JVMOffHeapMemory")) / 1e6)
+    return max(peaks)
+
+
+def compare(corpus: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """State of each document of ``corpus`` against another corpus, both as they were read."""
+    return stats.verify(corpus, rebuilt.select("graph", stats.prov_canonical("body").alias("text")))
+
+
+def measure(spark: SparkSession, source: str, name: str, work: str | None = None) -> Result:
+    """Compress with verification, decompress, compare once more; ``work`` is a folder that all executors share."""
     corpus = read_corpus(spark, source)
     sizes = corpus.agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"), F.sum(prov_minified_len("body")).alias("minified")).first()
-    with tempfile.TemporaryDirectory() as work:
-        out, back = os.path.join(work, "out"), os.path.join(work, "back")
+    with workspace.folder(spark, work) as top:
+        out, back = f"{top}/out", f"{top}/back"
         began = time.time()
         totals = codec.compress_directory(spark, source, out, verify=True)
         compressed = time.time()
         codec.decompress_directory(spark, out, back)
         restored = time.time()
-        second = stats.verify(corpus, read_corpus(spark, back).select("graph", stats.prov_canonical("body").alias("text")))
+        second = compare(corpus, read_corpus(spark, back))
         failures = stats.verify_summary(second).first()["failures"] + totals["roundtrip_failures"]
-        payload = payload_bytes(out)
+        payload = payload_bytes(spark, out)
     return Result(name, sizes["n"], sizes["bytes"] or 0, sizes["minified"] or 0, payload, totals["orig_nodes"], totals["orig_edges"], totals["total_supernodes"], totals["dict_strings"], totals["residual_nodes"],
-                  compressed - began, restored - compressed, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024, failures == 0, failures)
+                  compressed - began, restored - compressed, peak_mb(spark), failures == 0, failures)
 
 
 def table(spark: SparkSession, results: list[Result]) -> DataFrame:
@@ -96,11 +107,11 @@ def pool(results: list[Result], name: str) -> Result:
     return Result(name, peak_mb=max(r.peak_mb for r in results), lossless=all(r.lossless for r in results), is_pooled=True, **{f: add(f) for f in sums})
 
 
-def save_json(results: list[Result], folder: str, failed: list[str]) -> str:
-    path = os.path.join(folder, "benchmark_results.json")
+def save_json(spark: SparkSession, results: list[Result], folder: str, failed: list[str]) -> str:
+    path = f"{folder}/benchmark_results.json"
+    # Keys of the results file.
     whole = {"benchmark_date": datetime.datetime.now().isoformat(), "reduction_definition": "(1 - compressed/original) * 100", "complete": not failed, "failed_corpora": failed, "results": [asdict(r) | {"reduction": r.reduction} for r in results]}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(whole, f, indent=2)
+    files.put_text(spark, path, json.dumps(whole, indent=2))
     return path
 
 
@@ -109,17 +120,16 @@ def _latex(caption: str, heads: list[str], rows: list[list[str]]) -> str:
     return f"\\begin{{table}}\n\\caption{{{caption}}}\n\\begin{{tabular}}{{l{'r' * (len(heads) - 1)}}}\n{body} \\\\\n\\end{{tabular}}\n\\end{{table}}\n"
 
 
-def save_latex(results: list[Result], folder: str) -> str:
+def save_latex(spark: SparkSession, results: list[Result], folder: str) -> str:
     """Two tables: sizes and times, smallest input first."""
     ordered = sorted(results, key=lambda r: r.input_bytes)
     mb = lambda n: f"{n / 1e6:.3f}"
     name = lambda r: r.corpus.replace("_", "\\_")
     sizes = [[name(r), str(r.graphs), mb(r.input_bytes), mb(r.minified_bytes), mb(r.payload_bytes), f"{r.reduction:.1f}\\%"] for r in ordered]
     times = [[name(r), f"{r.compress_s:.2f}", f"{r.decompress_s:.2f}", f"{r.peak_mb:.0f}", "yes" if r.lossless else "no"] for r in ordered]
-    path = os.path.join(folder, "tables.tex")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(_latex("Sizes in MB", ["Corpus", "Graphs", "Original", "Minified", "Payload", "Reduction"], sizes))
-        f.write(_latex("Times in seconds, memory in MB", ["Corpus", "Compress", "Decompress", "Peak", "Lossless"], times))
+    path = f"{folder}/tables.tex"
+    tables = _latex("Sizes in MB", ["Corpus", "Graphs", "Original", "Minified", "Payload", "Reduction"], sizes) + _latex("Times in seconds, memory in MB", ["Corpus", "Compress", "Decompress", "Peak", "Lossless"], times)
+    files.put_text(spark, path, tables)
     return path
 
 
@@ -136,8 +146,9 @@ def save_figures(spark: SparkSession, results: list[Result], folder: str) -> lis
 
     def save(figure, name: str) -> None:
         for kind in ("pdf", "png"):
-            saved.append(os.path.join(folder, f"{name}.{kind}"))
-            figure.savefig(saved[-1])
+            saved.append(f"{folder}/{name}.{kind}")
+            with files.opened(saved[-1], "wb") as f:
+                figure.savefig(f, format=kind)
         pyplot.close(figure)
 
     figure, axes = pyplot.subplots()
@@ -161,13 +172,12 @@ def save_figures(spark: SparkSession, results: list[Result], folder: str) -> lis
     return saved
 
 
-def run(spark: SparkSession, sources: dict[str, str], out: str, pooled_name: str | None = None, figures: bool = True) -> int:
+def run(spark: SparkSession, sources: dict[str, str], out: str, pooled_name: str | None = None, figures: bool = True, work: str | None = None) -> int:
     """Measure corpora (name: folder), write reports; 0 if all are lossless."""
-    os.makedirs(out, exist_ok=True)
     results, failed = [], []
     for name, source in sources.items():
         try:
-            results.append(measure(spark, source, name))
+            results.append(measure(spark, source, name, work))
             if not results[-1].lossless:
                 failed.append(name)
         except OSError as e:
@@ -175,8 +185,8 @@ def run(spark: SparkSession, sources: dict[str, str], out: str, pooled_name: str
             failed.append(name)
     if pooled_name and len(results) > 1 and not failed:
         results.append(pool(results, pooled_name))
-    save_json(results, out, failed)
-    save_latex(results, out)
+    save_json(spark, results, out, failed)
+    save_latex(spark, results, out)
     if figures:
         save_figures(spark, results, out)
     return int(bool(failed))

@@ -6,35 +6,29 @@ expected relation straight from the star-schema tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, REL_SCHEMA, SIDECAR_NAMES, SIDECAR_SUFFIX, VOLATILE_ATTR_KEYS, ProvConfig
+from ..config import DEFAULT, SIDECAR_NAMES, SIDECAR_SUFFIX, VOLATILE_ATTR_KEYS, ProvConfig
 from ..functions.jsontext import prov_canonical, prov_minified_len
-from ..operators import encode, lineage, model, shred, stats, views
+from ..operators import decode, encode, lineage, model, shred, stats, views
 from ..operators.stable import stable
 from ..sources.provjson import document_name
-from . import codec, corpora
+from . import codec, corpora, stored
+from .registry import ORACLE, QUERIES, query
 
 LEXICAL = ProvConfig(id_order="lexical")
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
+#: What a query needs of the shredder: nodes, edges, all but strings.
+NODES, EDGES, FACTS = ("item", "field"), ("item", "field"), ("doc", "section", "item", "field")
+NODE_SECTIONS = DEFAULT.node_sections
 
-def query(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
 
-    return put
+def _rows(spark: SparkSession, sf_dir: str, corpus: str = "commerce", want=shred.WHATS, sections=None) -> DataFrame:
+    return shred.shred(stored.corpus(spark, sf_dir, corpus), want=want, sections=sections)
 
 
-def _rows(spark: SparkSession, sf_dir: str, corpus=corpora.commerce) -> DataFrame:
-    return shred.shred(corpus(spark, sf_dir))
+def _nodes(spark: SparkSession, sf_dir: str, corpus: str = "commerce") -> DataFrame:
+    return model.node_records(_rows(spark, sf_dir, corpus, NODES, NODE_SECTIONS))
 
 
 _SIDE = ", ".join(f"'{n}'" for n in sorted(SIDECAR_NAMES))
@@ -71,7 +65,7 @@ UNION ALL SELECT 'wasAttributedTo', 'edge', count(DISTINCT l_orderkey), count(DI
 UNION ALL SELECT 'wasGeneratedBy', 'edge', count(*), count(*) FROM orders
 UNION ALL SELECT 'wasAssociatedWith', 'edge', count(*), count(*) FROM orders""")
 def section_route(spark, sf_dir):
-    return _rows(spark, sf_dir).where("what = 'section'").groupBy("section", "route").agg(F.count("*").alias("sections"), F.sum("item_ord").cast("long").alias("members"))
+    return _rows(spark, sf_dir, want=["section"]).where("what = 'section'").groupBy("section", "route").agg(F.count("*").alias("sections"), F.sum("item_ord").cast("long").alias("members"))
 
 
 @query("o18_section_validity", """
@@ -82,7 +76,7 @@ def section_validity(spark, sf_dir):
     odd = (F.col("conv_id") % 3 == 0) & (F.col("turn") == F.min("turn").over(corpora.Window.partitionBy("conv_id")))
     t = t.withColumn("m", corpora.member(F.concat(F.lit("t"), F.col("turn").cast("string")), F.when(odd, F.lit('"text"')).otherwise(F.lit("{}"))))
     docs = t.groupBy(F.col("conv_id").cast("string").alias("graph")).agg(F.concat(F.lit('{"entity":{'), F.array_join(F.collect_list("m"), ","), F.lit("}}")).alias("body"))
-    return shred.shred(docs).where("what = 'section'").groupBy("route").agg(F.count("*").alias("sections"), F.sum("item_ord").cast("long").alias("members"))
+    return shred.shred(docs, want=["section"]).where("what = 'section'").groupBy("route").agg(F.count("*").alias("sections"), F.sum("item_ord").cast("long").alias("members"))
 
 
 @query("o19_split_record", """
@@ -90,12 +84,12 @@ WITH p AS (SELECT count(DISTINCT (l_orderkey, l_partkey)) AS n FROM lineitem), o
 SELECT 'entity' AS section, 3 * p.n + 3 * o.n AS template_fields, p.n + 2 * o.n AS residual_fields FROM p, o
 UNION ALL SELECT 'activity', o.n, o.n FROM o UNION ALL SELECT 'agent', 2 * o.n + s.n, 0 FROM o, s""")
 def split_record(spark, sf_dir):
-    return model.node_records(_rows(spark, sf_dir)).groupBy("section").agg(F.sum("n_template").cast("long").alias("template_fields"), F.sum("n_residual").cast("long").alias("residual_fields"))
+    return _nodes(spark, sf_dir).groupBy("section").agg(F.sum("n_template").cast("long").alias("template_fields"), F.sum("n_residual").cast("long").alias("residual_fields"))
 
 
 @query("o20_schema_extra", "SELECT 'ex:props' AS field, count(*) AS extras FROM events")
 def schema_extra(spark, sf_dir):
-    return encode.edge_cells(_rows(spark, sf_dir, corpora.telemetry)).where("pos IS NULL").groupBy("field").agg(F.count("*").alias("extras"))
+    return encode.edge_cells(_rows(spark, sf_dir, "telemetry", EDGES)).where("pos IS NULL").groupBy("field").agg(F.count("*").alias("extras"))
 
 
 @query("o21_cell_kind", """
@@ -105,7 +99,7 @@ UNION ALL SELECT 'wasAttributedTo', f, CASE f WHEN 'prov:role' THEN 'absent' ELS
 UNION ALL SELECT 'wasGeneratedBy', f, CASE WHEN f IN ('prov:role', 'prov:time') THEN 'absent' ELSE 's' END, n FROM o, (VALUES ('prov:entity'), ('prov:activity'), ('prov:role'), ('prov:time')) v(f)
 UNION ALL SELECT 'wasAssociatedWith', f, CASE WHEN f IN ('prov:plan', 'prov:role') THEN 'absent' ELSE 's' END, n FROM o, (VALUES ('prov:activity'), ('prov:agent'), ('prov:plan'), ('prov:role')) v(f)""")
 def cell_kind(spark, sf_dir):
-    rows = stable(_rows(spark, sf_dir))
+    rows = stable(_rows(spark, sf_dir, want=EDGES, sections=DEFAULT.rel_schema))
     edges = rows.where("what = 'item' AND route = 'edge'").groupBy("section").agg(F.count("*").alias("edges"))
     cells = encode.edge_cells(rows).where("pos IS NOT NULL").groupBy("section", "field", "kind").agg(F.count("*").alias("n"))
     fields = encode.rel_fields(rows).select("section", "field").join(edges, "section")
@@ -120,7 +114,7 @@ WITH s AS (SELECT 'role:' || role AS s FROM conversations UNION SELECT role FROM
   UNION SELECT text FROM conversations UNION SELECT unnest(['turn', 'message', 'prov:type', 'prov:value']))
 SELECT s, dense_rank() OVER (ORDER BY s) - 1 AS sid FROM s""")
 def dictionary(spark, sf_dir):
-    return model.dictionary(_rows(spark, sf_dir, corpora.dialogue), LEXICAL).select("s", "sid")
+    return model.dictionary(_rows(spark, sf_dir, "dialogue", ["string"]), LEXICAL).select("s", "sid")
 
 
 @query("o26_string_occurrences", """
@@ -128,7 +122,7 @@ WITH c AS (SELECT count(*) AS n FROM conversations), r AS (SELECT count(DISTINCT
 SELECT 'node_id' AS role, 2 * c.n + r.n AS n FROM c, r UNION ALL SELECT 'edge_id', 2 * c.n - d.n FROM c, d UNION ALL SELECT 'cell', 2 * (2 * c.n - d.n) FROM c, d
 UNION ALL SELECT 'key', 3 * c.n + r.n FROM c, r UNION ALL SELECT 'value', 3 * c.n + r.n FROM c, r""")
 def occurrences(spark, sf_dir):
-    return model.string_occurrences(_rows(spark, sf_dir, corpora.dialogue)).groupBy("role").agg(F.count("*").alias("n"))
+    return model.string_occurrences(_rows(spark, sf_dir, "dialogue", ["string"])).groupBy("role").agg(F.count("*").alias("n"))
 
 
 _TEMPLATES = """SELECT '{"ex:brand":"' || p_brand || '","ex:type":"' || p_type || '","prov:type":"part"}' AS template, count(DISTINCT (l_orderkey, l_partkey)) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
@@ -140,46 +134,72 @@ UNION ALL SELECT '{"prov:type":"supplier"}', count(DISTINCT (l_orderkey, l_suppk
 
 @query("o30_templates", _TEMPLATES)
 def templates(spark, sf_dir):
-    return model.node_records(_rows(spark, sf_dir)).groupBy("template").agg(F.count("*").alias("n"))
+    return _nodes(spark, sf_dir).groupBy("template").agg(F.count("*").alias("n"))
 
 
 @query("o27_dense_ids", f"SELECT template, row_number() OVER (ORDER BY n DESC, template) - 1 AS tid FROM ({_TEMPLATES})")
 def dense(spark, sf_dir):
-    return model.templates(model.node_records(_rows(spark, sf_dir)), ProvConfig(id_order="frequency")).select("template", "tid")
+    return model.templates(_nodes(spark, sf_dir), ProvConfig(id_order="frequency")).select("template", "tid")
+
+
+_NODES = """
+SELECT DISTINCT 'order/' || l_orderkey || '.json' AS graph, 'entity' AS section, 'part:' || l_partkey AS node, '{"ex:brand":"' || p_brand || '","ex:type":"' || p_type || '","prov:type":"part"}' AS template, 1 AS own FROM lineitem JOIN part ON l_partkey = p_partkey
+UNION ALL SELECT 'order/' || o_orderkey || '.json', 'entity', 'order:' || o_orderkey, '{"ex:priority":"' || o_orderpriority || '","ex:status":"' || o_orderstatus || '","prov:type":"order"}', 2 FROM orders
+UNION ALL SELECT 'order/' || o_orderkey || '.json', 'activity', 'fulfil:' || o_orderkey, '{"prov:type":"fulfil"}', 1 FROM orders
+UNION ALL SELECT 'order/' || o_orderkey || '.json', 'agent', 'cust:' || o_custkey, '{"ex:segment":"' || c_mktsegment || '","prov:type":"customer"}', 0 FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT DISTINCT 'order/' || l_orderkey || '.json', 'agent', 'supp:' || l_suppkey, '{"prov:type":"supplier"}', 0 FROM lineitem"""
 
 
-@query("o31_node_facts", """
-SELECT 'order/' || o_orderkey || '.json' AS graph, 'order:' || o_orderkey AS node, CAST(dense_rank() OVER (ORDER BY t) - 1 AS BIGINT) AS rank_among_orders
-FROM (SELECT *, o_orderpriority || o_orderstatus AS t FROM orders)""")
+@query("o31_node_facts", f"SELECT graph, section, node, template, CAST(dense_rank() OVER (ORDER BY template) - 1 AS BIGINT) AS tid, CAST(own AS BIGINT) AS own FROM ({_NODES})")
 def node_facts(spark, sf_dir):
-    rows = stable(_rows(spark, sf_dir))
-    nodes = model.node_records(rows).where("startswith(item, 'order:')")
-    strings, dims = model.dictionary(rows, LEXICAL), model.templates(nodes, LEXICAL)
-    facts = encode.node_facts(nodes, strings, dims).drop("item")
-    return facts.join(strings, "sid").select("graph", F.col("s").alias("node"), F.col("tid").alias("rank_among_orders"))
+    nodes = stable(_nodes(spark, sf_dir))
+    strings = model.dictionary(_rows(spark, sf_dir, want=["string"]), LEXICAL)
+    dims = stable(model.templates(nodes, LEXICAL))
+    facts = encode.node_facts(nodes, strings, dims).drop("item").join(strings.select("sid", F.col("s").alias("node")), "sid")
+    return facts.join(dims.select("tid", "template"), "tid").select("graph", "section", "node", "template", "tid", F.size("own").cast("long").alias("own"))
 
 
 @query("o32_edge_columns", f"""
 SELECT 'order/' || l_orderkey || '.json' AS graph, 'u:' || rn AS edge, 'fulfil:' || l_orderkey AS activity, 'part:' || l_partkey AS entity, l_returnflag AS role,
        '{{"$":"' || strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '","type":"xsd:dateTime"}}' AS time, CAST(0 AS BIGINT) AS extras FROM {_LINES}""")
 def edge_columns(spark, sf_dir):
-    used = encode.edge_table(_rows(spark, sf_dir), "used")
+    used = encode.edge_table(_rows(spark, sf_dir, want=EDGES, sections=["used"]), "used")
     cell = lambda f, c: F.col(f"`prov:{f}`")[c].alias(f)
     return used.select("graph", F.col("item").alias("edge"), cell("activity", "text"), cell("entity", "text"), cell("role", "text"), cell("time", "json"), F.coalesce(F.size("extras"), F.lit(0)).cast("long").alias("extras"))
 
 
+_EDGES = f"""
+SELECT 'order/' || l_orderkey || '.json' AS graph, 'used' AS section, 'u:' || rn AS edge, unnest(['prov:activity', 'prov:entity', 'prov:role', 'prov:time']) AS field,
+  unnest(['fulfil:' || l_orderkey, 'part:' || l_partkey, l_returnflag, '{{"$":"' || strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '","type":"xsd:dateTime"}}']) AS value FROM {_LINES}
+UNION ALL SELECT DISTINCT 'order/' || l_orderkey || '.json', 'wasAttributedTo', 't:' || l_partkey || ':' || l_suppkey, unnest(['prov:entity', 'prov:agent']), unnest(['part:' || l_partkey, 'supp:' || l_suppkey]) FROM lineitem
+UNION ALL SELECT 'order/' || o_orderkey || '.json', 'wasGeneratedBy', 'g', unnest(['prov:entity', 'prov:activity']), unnest(['order:' || o_orderkey, 'fulfil:' || o_orderkey]) FROM orders
+UNION ALL SELECT 'order/' || o_orderkey || '.json', 'wasAssociatedWith', 'a', unnest(['prov:activity', 'prov:agent']), unnest(['fulfil:' || o_orderkey, 'cust:' || o_custkey]) FROM orders"""
+
+
+@query("o32_all_relations", _EDGES)
+def all_relations(spark, sf_dir):
+    """Every relation's table, turned back into rows of one field each."""
+    rows, out = _rows(spark, sf_dir, want=EDGES, sections=DEFAULT.rel_schema), None
+    for relation in ("used", "wasAttributedTo", "wasGeneratedBy", "wasAssociatedWith"):
+        names = DEFAULT.rel_schema[relation]
+        cells = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f"`{f}`.text"), F.col(f"`{f}`.json")).alias("value")) for f in names])
+        own = encode.edge_table(rows, relation).select("graph", "section", F.col("item").alias("edge"), F.inline(F.filter(cells, lambda x: x["value"].isNotNull())))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("o33_edge_count", """
 SELECT 'order/' || o_orderkey || '.json' AS graph, coalesce(u, 0) + coalesce(t, 0) + 2 AS orig_edges FROM orders
 LEFT JOIN (SELECT l_orderkey, count(*) AS u, count(DISTINCT (l_partkey, l_suppkey)) AS t FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def edge_count(spark, sf_dir):
-    return stats.edge_counts(_rows(spark, sf_dir))
+    return stats.edge_counts(_rows(spark, sf_dir, want=["section"], sections=DEFAULT.rel_schema))
 
 
 @query("o34_node_count", """
 SELECT 'order/' || o_orderkey || '.json' AS graph, coalesce(p, 0) + coalesce(s, 0) + 3 AS nodes, coalesce(p, 0) + 2 AS residual_nodes FROM orders
 LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS p, count(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def node_count(spark, sf_dir):
-    return model.node_records(_rows(spark, sf_dir)).groupBy("graph").agg(F.count("*").alias("nodes"), F.count("residual").alias("residual_nodes"))
+    return _nodes(spark, sf_dir).groupBy("graph").agg(F.count("*").alias("nodes"), F.count("residual").alias("residual_nodes"))
 
 
 _STATS = """SELECT 'order/' || o_orderkey || '.json' AS graph, coalesce(p, 0) + coalesce(s, 0) + 3 AS orig_nodes, coalesce(u, 0) + coalesce(t, 0) + 2 AS orig_edges,
@@ -188,29 +208,45 @@ LEFT JOIN (SELECT l_orderkey, count(*) AS u, count(DISTINCT (l_partkey, l_suppke
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) ON l_orderkey = o_orderkey"""
 
 
-@query("o35_graph_stats", f"SELECT *, orig_edges AS comp_edges FROM ({_STATS})")
+@query("o35_graph_stats", f"SELECT *, orig_edges AS comp_edges, comp_nodes / orig_nodes AS nodes_ratio, CAST(1 AS DOUBLE) AS edges_ratio FROM ({_STATS})")
 def graph_stats(spark, sf_dir):
-    rows = stable(_rows(spark, sf_dir))
-    return stats.graph_stats(rows, model.node_records(rows)).drop("nodes_ratio", "edges_ratio")
+    rows = stable(_rows(spark, sf_dir, want=FACTS))
+    return stats.graph_stats(rows, model.node_records(rows))
+
+
+_COMMERCE_STRINGS = f"""
+SELECT DISTINCT s FROM (
+  SELECT node AS s FROM ({_NODES}) UNION ALL SELECT edge FROM ({_EDGES}) UNION ALL SELECT value FROM ({_EDGES}) WHERE field != 'prov:time'
+  UNION ALL SELECT unnest([strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S'), p_brand, p_type, p_name]) FROM lineitem JOIN part ON l_partkey = p_partkey
+  UNION ALL SELECT unnest([o_orderstatus, o_orderpriority, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), c_mktsegment]) FROM orders JOIN customer ON o_custkey = c_custkey
+  UNION ALL SELECT unnest(['part', 'order', 'fulfil', 'customer', 'supplier', 'prov:type', 'ex:brand', 'ex:type', 'prov:label', 'ex:status', 'ex:priority', 'prov:value', '$', 'type', 'xsd:double', 'xsd:dateTime', 'prov:generatedAtTime', 'prov:startTime', 'ex:segment']))"""
 
 
 @query("o36_corpus_totals", f"""
-SELECT count(*) AS graphs, CAST(sum(orig_nodes) AS BIGINT) AS orig_nodes, CAST(sum(orig_edges) AS BIGINT) AS orig_edges, CAST(sum(residual_nodes) AS BIGINT) AS residual_nodes,
-  (SELECT count(*) FROM ({_TEMPLATES})) AS total_supernodes FROM ({_STATS})""")
+SELECT *, total_supernodes / orig_nodes AS node_dedup_ratio, true AS lossless, CAST(0 AS BIGINT) AS roundtrip_failures FROM (
+  SELECT count(*) AS graphs, CAST(sum(orig_nodes) AS BIGINT) AS orig_nodes, CAST(sum(orig_edges) AS BIGINT) AS orig_edges, CAST(sum(residual_nodes) AS BIGINT) AS residual_nodes,
+    (SELECT count(*) FROM ({_TEMPLATES})) AS total_supernodes, (SELECT count(*) FROM ({_COMMERCE_STRINGS})) AS dict_strings FROM ({_STATS}))""")
 def corpus_totals(spark, sf_dir):
-    rows = stable(_rows(spark, sf_dir))
+    docs = stored.corpus(spark, sf_dir, "commerce")
+    rows = stable(shred.shred(docs))
     nodes = stable(model.node_records(rows))
-    return stats.corpus_totals(stats.graph_stats(rows, nodes), nodes, model.dictionary(rows)).drop("dict_strings", "node_dedup_ratio")
+    verified = stats.verify(docs, codec.compress(docs).decompress())
+    return stats.corpus_totals(stats.graph_stats(rows, nodes), nodes, model.dictionary(rows), verified)
 
 
 @query("o37_pooled", f"""
-WITH c AS (SELECT 'part ' || (CAST(regexp_extract(graph, '[0-9]+') AS BIGINT) % 4) AS corpus, count(*) AS graphs, CAST(sum(orig_nodes) AS BIGINT) AS orig_nodes, CAST(sum(orig_edges) AS BIGINT) AS orig_edges FROM ({_STATS}) GROUP BY 1)
-SELECT coalesce(corpus, 'pooled') AS corpus, CAST(sum(graphs) AS BIGINT) AS graphs, CAST(sum(orig_nodes) AS BIGINT) AS orig_nodes, CAST(sum(orig_edges) AS BIGINT) AS orig_edges FROM c GROUP BY ROLLUP (corpus)""")
+WITH c AS (SELECT 'part ' || (CAST(regexp_extract(graph, '[0-9]+') AS BIGINT) % 4) AS corpus, count(*) AS graphs, CAST(sum(orig_nodes) AS BIGINT) AS orig_nodes, CAST(sum(orig_edges) AS BIGINT) AS orig_edges,
+    CAST(sum(100 * orig_nodes) AS BIGINT) AS input_bytes, CAST(sum(30 * comp_nodes) AS BIGINT) AS payload_bytes, max(orig_edges) AS peak_mb, bool_and(orig_edges < 15) AS lossless FROM ({_STATS}) GROUP BY 1)
+SELECT *, (1 - payload_bytes / input_bytes) * 100 AS reduction FROM (
+  SELECT coalesce(corpus, 'pooled') AS corpus, CAST(sum(graphs) AS BIGINT) AS graphs, CAST(sum(orig_nodes) AS BIGINT) AS orig_nodes, CAST(sum(orig_edges) AS BIGINT) AS orig_edges,
+    CAST(sum(input_bytes) AS BIGINT) AS input_bytes, CAST(sum(payload_bytes) AS BIGINT) AS payload_bytes, max(peak_mb) AS peak_mb, bool_and(lossless) AS lossless FROM c GROUP BY ROLLUP (corpus))""")
 def pooled(spark, sf_dir):
-    rows = stable(_rows(spark, sf_dir))
+    rows = stable(_rows(spark, sf_dir, want=FACTS))
     per = stats.graph_stats(rows, model.node_records(rows)).withColumn("corpus", F.concat(F.lit("part "), (F.regexp_extract("graph", "[0-9]+", 0).cast("long") % 4).cast("string")))
-    results = per.groupBy("corpus").agg(F.count("*").alias("graphs"), F.sum("orig_nodes").alias("orig_nodes"), F.sum("orig_edges").alias("orig_edges"), F.lit(0).cast("long").alias("input_bytes"), F.lit(0).cast("long").alias("payload_bytes"))
-    return stats.pooled(results).select("corpus", "graphs", "orig_nodes", "orig_edges")
+    results = per.groupBy("corpus").agg(
+        F.count("*").alias("graphs"), F.sum("orig_nodes").alias("orig_nodes"), F.sum("orig_edges").alias("orig_edges"), F.sum(100 * F.col("orig_nodes")).alias("input_bytes"),
+        F.sum(30 * F.col("comp_nodes")).alias("payload_bytes"), F.max("orig_edges").alias("peak_mb"), F.every(F.col("orig_edges") < 15).alias("lossless"))
+    return stats.pooled(results).select("corpus", "graphs", "orig_nodes", "orig_edges", "input_bytes", "payload_bytes", "peak_mb", "lossless", "reduction")
 
 
 @query("o38_verify_summary", "SELECT count(*) FILTER (event_id % 7 != 0) AS checked, count(*) FILTER (event_id % 7 <= 1) AS failures, false AS lossless FROM events")
@@ -220,36 +256,39 @@ def verify_summary(spark, sf_dir):
     return stats.verify_summary(stats.verify(e, rebuilt))
 
 
-@query("o39_encode_join", "SELECT 'turn:' || turn AS s, count(*) AS uses FROM conversations GROUP BY turn")
+@query("o39_encode_join", """
+SELECT section, field, s, count(*) AS uses FROM (
+  SELECT 'wasGeneratedBy' AS section, unnest(['prov:entity', 'prov:activity']) AS field, unnest(['message:' || turn, 'turn:' || turn]) AS s FROM conversations
+  UNION ALL SELECT 'wasInformedBy', unnest(['prov:informed', 'prov:informant']), unnest(['turn:' || turn, 'turn:' || b]) FROM (SELECT turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE b IS NOT NULL)
+GROUP BY ALL""")
 def encode_join(spark, sf_dir):
-    rows = stable(_rows(spark, sf_dir, corpora.dialogue))
+    rows = stable(_rows(spark, sf_dir, "dialogue"))
     strings = stable(model.dictionary(rows))
-    facts = encode.edge_facts(rows.where("section = 'wasGeneratedBy'"), strings).where("field = 'prov:activity'")
-    return facts.groupBy("sid").agg(F.count("*").alias("uses")).join(strings, "sid").select("s", "uses")
+    return encode.edge_facts(rows, strings).groupBy("section", "field", "sid").agg(F.count("*").alias("uses")).join(strings, "sid").select("section", "field", "s", "uses")
 
 
-@query("o41_template_overlay", "SELECT DISTINCT 'part:' || l_partkey AS node, '{\"ex:brand\":\"' || p_brand || '\",\"ex:type\":\"' || p_type || '\",\"prov:label\":\"' || p_name || '\",\"prov:type\":\"part\"}' AS record FROM lineitem JOIN part ON l_partkey = p_partkey")
+@query("o41_template_overlay", """
+SELECT 'conv/' || conv_id || '.json' AS graph, 'message:' || turn AS node, '{"prov:type":"message","prov:value":' || CAST(to_json(text) AS VARCHAR) || '}' AS record FROM conversations
+UNION ALL SELECT 'conv/' || conv_id || '.json', 'turn:' || turn, '{"prov:type":"turn"}' FROM conversations
+UNION ALL SELECT DISTINCT 'conv/' || conv_id || '.json', 'role:' || role, '{"prov:type":"' || role || '"}' FROM conversations""")
 def template_overlay(spark, sf_dir):
-    from ..operators import decode
-
-    t = codec.compress(corpora.commerce(spark, sf_dir)).tables
-    nodes = decode.node_texts(t["node"], t["dict"], t["template_field"], t["node_field"])
-    return nodes.where("section = 'entity' AND startswith(item, 'part:')").select(F.col("item").alias("node"), "record").distinct()
+    t = codec.compress(stored.corpus(spark, sf_dir, "dialogue")).tables
+    return decode.node_texts(t["node"], t["dict"], t["template"]).select("graph", F.col("item").alias("node"), "record")
 
 
 def _verified(corpus):
     def run(spark, sf_dir):
-        docs = corpus(spark, sf_dir)
+        docs = stored.corpus(spark, sf_dir, corpus)
         return stats.verify(docs, codec.compress(docs).decompress())
 
     return run
 
 
-QUERIES["o42_verify_commerce"] = _verified(corpora.commerce)
+QUERIES["o42_verify_commerce"] = _verified("commerce")
 ORACLE["o42_verify_commerce"] = "SELECT 'order/' || o_orderkey || '.json' AS graph, 'ok' AS state FROM orders"
-QUERIES["o42_verify_dialogue"] = _verified(corpora.dialogue)
+QUERIES["o42_verify_dialogue"] = _verified("dialogue")
 ORACLE["o42_verify_dialogue"] = "SELECT DISTINCT 'conv/' || conv_id || '.json' AS graph, 'ok' AS state FROM conversations"
-QUERIES["o42_verify_telemetry"] = _verified(corpora.telemetry)
+QUERIES["o42_verify_telemetry"] = _verified("telemetry")
 ORACLE["o42_verify_telemetry"] = "SELECT DISTINCT 'user/' || user_id || '.json' AS graph, 'ok' AS state FROM events"
 
 
@@ -260,36 +299,32 @@ def canonical(spark, sf_dir):
 
 @query("o45_bundles", "SELECT 'user/' || user_id || '.json' AS graph, 'kinds:' || event_type AS bundle, 'kind:' || event_type AS node FROM events GROUP BY ALL")
 def bundles(spark, sf_dir):
-    nodes = model.node_records(_rows(spark, sf_dir, corpora.telemetry))
+    nodes = _nodes(spark, sf_dir, "telemetry")
     return nodes.where(F.size("path") == 1).select("graph", F.col("path")[0].alias("bundle"), F.col("item").alias("node"))
 
 
-@query("o46_decompress", f"""
-SELECT 'order/' || l_orderkey || '.json' AS graph, 'u:' || rn AS edge, 'part:' || l_partkey AS entity, l_returnflag AS role FROM {_LINES}""")
+@query("o46_decompress", f"SELECT graph, section, node AS member, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS value FROM ({_NODES}) UNION ALL SELECT * FROM ({_EDGES})")
 def decompress(spark, sf_dir):
-    texts = codec.compress(corpora.commerce(spark, sf_dir)).decompress()
-    used = F.from_json(F.get_json_object("text", "$.used"), "map<string,struct<`prov:entity`:string,`prov:role`:string>>")
-    rows = texts.select("graph", F.explode(used).alias("edge", "r"))
-    return rows.select("graph", "edge", F.col("r.prov:entity").alias("entity"), F.col("r.prov:role").alias("role"))
+    texts = codec.compress(stored.corpus(spark, sf_dir, "commerce")).decompress()
+    sections = texts.select("graph", F.explode(F.from_json("text", "map<string,map<string,map<string,string>>>")).alias("section", "members"))
+    rows = sections.select("graph", "section", F.explode("members").alias("member", "record"))
+    nodes = rows.where(F.col("section").isin(*DEFAULT.node_sections)).select("graph", "section", "member", F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"))
+    return nodes.unionByName(rows.where(~F.col("section").isin(*DEFAULT.node_sections)).select("graph", "section", "member", F.explode("record").alias("field", "value")))
 
 
 @query("o47_package", "SELECT 'user/' || user_id || '.json' AS graph, true AS same FROM events GROUP BY user_id")
 def package(spark, sf_dir):
-    docs = corpora.telemetry(spark, sf_dir)
+    docs = stored.corpus(spark, sf_dir, "telemetry")
     return docs.select("graph", (views.prov_unpack(views.prov_pack("body")) == prov_canonical("body")).alias("same"))
 
 
 @query("o48_corpus_views", "SELECT 'conv/' || conv_id || '.json' AS graph, true AS same FROM conversations GROUP BY conv_id")
 def corpus_views(spark, sf_dir):
-    docs = corpora.dialogue(spark, sf_dir)
+    docs = stored.corpus(spark, sf_dir, "dialogue")
     rows = stable(shred.shred(docs))
     strings, dims = stable(model.dictionary(rows)), stable(model.templates(model.node_records(rows)))
     written = views.corpus_views(docs, rows, strings, dims)
-    import json
-
-    table = [r["s"] for r in strings.orderBy("sid").toLocalIterator()]
-    sid = {s: i for i, s in enumerate(table)}
-    dumped = {"dict": table, "templates": [views.encode_value(json.loads(r["template"]), sid.__getitem__) for r in dims.orderBy("tid").toLocalIterator()], "rel_schema": DEFAULT.rel_schema}
+    dumped = codec.model_file(strings, dims, DEFAULT, {})
     return stats.verify(docs, views.read_views(written, dumped)).select("graph", (F.col("state") == "ok").alias("same"))
 
 
@@ -298,7 +333,7 @@ WITH a AS (SELECT * FROM conversations WHERE conv_id % 2 = 0), b AS (SELECT * FR
 x AS (SELECT text AS s FROM a UNION SELECT 'turn:' || turn FROM a), y AS (SELECT text AS s FROM b UNION SELECT 'turn:' || turn FROM b)
 SELECT s, CASE WHEN s IN (SELECT s FROM x) THEN 'old' ELSE 'new' END AS batch FROM (SELECT s FROM x UNION SELECT s FROM y)""")
 def incremental(spark, sf_dir):
-    docs = corpora.dialogue(spark, sf_dir).withColumn("odd", F.regexp_extract("graph", "[0-9]+", 0).cast("long") % 2)
+    docs = stored.corpus(spark, sf_dir, "dialogue").withColumn("odd", F.regexp_extract("graph", "[0-9]+", 0).cast("long") % 2)
     first = codec.compress(docs.where("odd = 0").drop("odd"))
     old = first.tables["dict"]
     second = codec.compress(docs.where("odd = 1").drop("odd"), known=first).tables["dict"]
@@ -308,12 +343,34 @@ def incremental(spark, sf_dir):
     return rows.select("s", F.when(F.col("sid") <= F.col("top"), "old").otherwise("new").alias("batch"))
 
 
-_EXPORTS = {"relations": len(REL_SCHEMA), "slots": sum(map(len, REL_SCHEMA.values())), "volatile": len(VOLATILE_ATTR_KEYS)}
+# Relations with their fields in order, and the keys that vary from record to record.
+_RELATIONS = """
+used: prov:activity prov:entity prov:role prov:time
+wasGeneratedBy: prov:entity prov:activity prov:role prov:time
+wasAssociatedWith: prov:activity prov:agent prov:plan prov:role
+wasInformedBy: prov:informed prov:informant
+wasAttributedTo: prov:entity prov:agent prov:role
+wasDerivedFrom: prov:generatedEntity prov:usedEntity prov:activity prov:generation prov:usage
+actedOnBehalfOf: prov:delegate prov:responsible prov:activity
+wasStartedBy: prov:activity prov:trigger prov:starter prov:time
+wasEndedBy: prov:activity prov:trigger prov:ender prov:time
+wasInvalidatedBy: prov:entity prov:activity prov:role prov:time
+wasInfluencedBy: prov:influencee prov:influencer
+specializationOf: prov:specificEntity prov:generalEntity
+alternateOf: prov:alternate1 prov:alternate2
+hadMember: prov:collection prov:entity
+mentionOf: prov:specificEntity prov:generalEntity prov:bundle
+volatile: checksum:sha256 flowparams:sha256 model:path model:size_bytes openml:task_id pred:folds pred:rows pred:size_bytes prov:atTime prov:endTime prov:generatedAtTime prov:label prov:location prov:startTime prov:value split:size_bytes
+"""
+# End of fixed values.
 
 
-@query("o59_constants", "SELECT 15 AS relations, 48 AS slots, 16 AS volatile")
+@query("o59_constants", f"""
+WITH lines AS (SELECT split_part(l, ': ', 1) AS section, string_split(split_part(l, ': ', 2), ' ') AS fields FROM (SELECT unnest(string_split(trim('{_RELATIONS}', chr(10)), chr(10))) AS l))
+SELECT section, unnest(fields) AS field, CAST(unnest(range(len(fields))) AS INTEGER) AS pos FROM lines""")
 def constants(spark, sf_dir):
-    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in _EXPORTS.items()])
+    volatile = [("volatile", k, i) for i, k in enumerate(sorted(VOLATILE_ATTR_KEYS))]
+    return encode.rel_fields(spark.range(0)).unionByName(spark.createDataFrame(volatile, "section string, field string, pos int"))
 
 
 @query("o60_reduction", "SELECT o_orderkey, CASE WHEN o_totalprice > 0 THEN (1 - (o_orderkey % 100) / o_totalprice) * 100 ELSE 0.0 END AS reduction FROM orders")
@@ -339,6 +396,9 @@ SELECT DISTINCT 'order:' || l_orderkey AS source, 'part:' || l_partkey AS reache
 UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'supp:' || s, min(3) FROM (SELECT l_orderkey, l_suppkey AS s FROM lineitem) GROUP BY ALL
 UNION ALL SELECT 'order:' || o_orderkey, 'fulfil:' || o_orderkey, 1 FROM orders UNION ALL SELECT 'order:' || o_orderkey, 'cust:' || o_custkey, 2 FROM orders""")
 def reach(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
+    rows = _rows(spark, sf_dir, want=EDGES, sections=DEFAULT.rel_schema)
     edges = lineage.edges(rows)
     return lineage.reachable(edges, edges.where("startswith(source, 'order:')").select("graph", "source").distinct()).select("source", "reached", "hops")
+
+
+from . import queries_files  # noqa: E402, F401  registers its queries

@@ -3,13 +3,13 @@
 import json
 
 import pytest
-from documents import FULL, ODD
+from documents import EDGES, FULL, NODES, ODD
 
 from provweave import cli
 from provweave.config import ProvConfig
 from provweave.functions.jsontext import canonical
 from provweave.operators import model, shred, stats
-from provweave.plans import codec
+from provweave.plans import codec, harness, sql, workspace
 from provweave.sources.provjson import count_documents, list_documents, read_corpus
 
 
@@ -76,7 +76,7 @@ def test_growth_keeps_ids(spark):
 def test_counts(spark):
     rows = shred.shred(docs(spark, [FULL, {"used": [1, 2], "entity": {"a": 1}}]))
     found = {r["graph"]: r.asDict() for r in stats.graph_stats(rows, model.node_records(rows)).collect()}
-    assert found["g000.json"]["orig_nodes"] == 10 and found["g000.json"]["orig_edges"] == 18
+    assert found["g000.json"]["orig_nodes"] == NODES and found["g000.json"]["orig_edges"] == EDGES
     assert found["g001.json"]["orig_nodes"] == 0 and found["g001.json"]["orig_edges"] == 2
 
 
@@ -95,7 +95,7 @@ def tree(tmp_path):
 
 def test_discovery(spark, tree):
     root, names = tree
-    assert list_documents(str(root)) == names and count_documents(str(root)) == len(names)
+    assert list_documents(spark, str(root)) == names and count_documents(spark, f"file://{root}") == len(names)
     assert sorted(r["graph"] for r in read_corpus(spark, str(root)).collect()) == names
 
 
@@ -141,3 +141,68 @@ def test_views_are_what_the_tables_say(spark, tree, tmp_path):
     assert dumped["meta"]["dict_strings"] == len(dumped["dict"]) and dumped["meta"]["graphs"] == len(names) - 2
     view = json.loads((tmp_path / "out" / "compressed_graphs" / "task.json").read_text())
     assert set(view["entity"]) == {"_n"} and set(view["used"]) == {"_e"}
+
+
+def test_a_store_that_only_hadoop_reads(spark, tree):
+    root, names = tree
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tests.link./in", f"file://{root}")
+    with pytest.raises(ValueError):  # names that begin with _ are out of reach there
+        read_corpus(spark, "viewfs://tests/in")
+    for path in [p for p in names if "_x.json" in p or p.startswith("_")]:
+        (root / path).unlink(missing_ok=True)
+    rest = {p for p in names if not any(x.startswith("_") for x in p.split("/"))}
+    (root / "bad.json").write_bytes(b"\xff{")
+    found = {r["graph"]: r for r in read_corpus(spark, "viewfs://tests/in").collect()}
+    assert set(found) == rest == set(list_documents(spark, "viewfs://tests/in"))
+    assert found["task.json"]["body"] == (root / "task.json").read_text() and found["bad.json"]["body"] is None and found["bad.json"]["read_error"] == "UnicodeDecodeError"
+
+
+def test_wanted_rows_and_sections(spark):
+    corpus = docs(spark, [FULL, ODD[14]])
+    rows = shred.shred(corpus).collect()
+    some = shred.shred(corpus, want=["item", "field"], sections=["used"]).collect()
+    key = lambda r: (r["graph"], tuple(r["path"]), r["what"], r["section"], r["item"], r["field"], r["json"])
+    assert sorted(map(key, some), key=repr) == sorted((key(r) for r in rows if r["section"] == "used" and r["what"] in ("item", "field")), key=repr)
+    assert {tuple(r)[:-1] for r in shred.shred(corpus, want=["string"]).select("graph", "role", "text", "seq").collect()} == {(r["graph"], r["role"], r["text"]) for r in rows if r["what"] == "string"}
+    with pytest.raises(ValueError):
+        shred.shred(corpus, want=["nothing"])
+
+
+def test_functions_in_sql(spark):
+    sql.register(spark)
+    docs(spark, [FULL, ODD[9]]).createOrReplaceTempView("some_documents")
+    assert spark.sql("select bool_and(prov_unpack(prov_pack(body)) = prov_canonical(body)) from some_documents").first()[0]
+    n = spark.sql("select count(*) from some_documents, lateral prov_shred(graph, body)").first()[0]
+    assert n == shred.shred(docs(spark, [FULL, ODD[9]])).count()
+
+
+def test_pool_fit_and_figures(spark, tmp_path):
+    zero = dict.fromkeys(("minified_bytes", "orig_nodes", "orig_edges", "total_supernodes", "dict_strings", "residual_nodes", "roundtrip_failures"), 0)
+    made = [harness.Result(corpus=f"c_{i}", graphs=i, input_bytes=1000 * i, payload_bytes=250 * i, compress_s=2.0 * i + 1, decompress_s=1.0, peak_mb=10.0 * i, lossless=i < 3, **zero) for i in (3, 1, 2)]
+    whole = harness.pool(made, "all")
+    assert (whole.graphs, whole.input_bytes, whole.peak_mb, whole.lossless, round(whole.reduction, 6), whole.is_pooled) == (6, 6000, 30.0, False, 75.0, True)
+    fit = stats.scaling_fit(harness.table(spark, made)).first()
+    assert round(fit["slope"], 9) == 0.002 and round(fit["intercept"], 9) == 1.0 and round(fit["r2"], 9) == 1.0
+    assert stats.scaling_fit(harness.table(spark, made[:2])).first()["slope"] is None
+    saved = harness.save_figures(spark, [*made, whole], str(tmp_path))
+    try:
+        import matplotlib  # noqa: F401
+    except ImportError:
+        assert saved == []
+    else:
+        assert len(saved) == 6 and all((tmp_path / p.rsplit("/", 1)[1]).stat().st_size > 500 for p in saved)
+    assert harness.percent(1, 0) == 0.0
+
+
+def test_folders_on_a_cluster_must_be_shared(spark, monkeypatch):
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+    with pytest.raises(ValueError):
+        workspace.shared(Cluster)
+    assert workspace.shared(Cluster, "/mnt/x/") == "/mnt/x"
