@@ -77,6 +77,33 @@ def test_mixture_and_packing(kept):
     assert packed.count() >= len(mixed)
 
 
+def test_stages_on_odd_documents(spark, rows):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns, one stage after another."""
+    odd = [*rows, *rows[:3], (20, "another text of the same id " * 20, "en", "a"), (None, rows[0][1], "en", "a"), (None, None, None, None)]
+    docs = start = frame(spark, odd)
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        before, docs = docs, stage(spark, docs, SF).cache()
+        assert docs.columns == start.columns, name
+        if name == "line_dedup":
+            assert docs.count() == len(odd) and {r["doc_id"] for r in docs.where("text IS NULL").collect()} == {27, None}
+        if name == "near_dedup":
+            ids = [r["doc_id"] for r in docs.collect()]
+            assert ids.count(None) == 2 and ids.count(0) == 2 and 21 not in ids and len(ids) < len(odd)
+        if name == "mixing":
+            assert {r["doc_id"] for r in docs.collect()} <= {r["doc_id"] for r in before.collect()} and docs.count() > 0
+    packed = corpus_pipeline.pack(spark, docs, SF)
+    assert packed.selectExpr("sum(length)").first()[0] == packed.where("start = 0").selectExpr("sum(doc_tokens)").first()[0]
+    scored = corpus_pipeline.classify(spark, start, SF)
+    assert scored.columns == start.columns and scored.count() <= len(odd)
+
+
+def test_stages_on_nothing(spark, no_docs):
+    docs = no_docs
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
