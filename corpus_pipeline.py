@@ -2,6 +2,13 @@
 
 Quality classifier, line dedup, near-dedup, mixing, packing.  Every stage but the last returns
 the columns of ``documents``; each reads all that its predecessor kept.
+
+Defined results: a null text is scored as an empty one, keeps its null through the line and
+near-dedup stages and packs as its end token alone; a null source has no boilerplate and mixes
+as a source of its own; rows with a null id are near-duplicates of nothing; rows of one id are one
+document to near-dedup, kept or dropped together, and are mixed and packed row by row; an
+empty table, or one of which no document is kept, gives empty results; further columns stay,
+whatever their names, up to packing, which returns its own.
 """
 
 from __future__ import annotations
