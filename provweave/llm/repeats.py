@@ -127,8 +127,9 @@ KNOWN = np.uint64(1 << 39)
 #: Requests of one hash from which it is called frequent, and the bit of an answer's place that says so.
 FREQUENT, OFTEN = 1000, np.uint64(1 << 38)
 
-#: Bytes of a candidate's hash that travel; its bucket holds further bits.
-SHORT = 5
+#: Bytes of a candidate's hash that travel.  A bucket holds requests for some megabytes of texts, whatever
+#: the input's size, so hardly any meet by chance; those that do are sorted out by the next step.
+SHORT = 4
 
 
 def pack(columns: list[np.ndarray], widths: list[int]) -> bytes:
@@ -136,7 +137,8 @@ def pack(columns: list[np.ndarray], widths: list[int]) -> bytes:
     return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T[:w].tobytes() for c, w in zip(columns, widths))
 
 
-def unpack(packed: list[bytes], widths: list[int]) -> list[np.ndarray]:
+def unpack(packed: list[bytes], widths: list[int], steps: int | None = None) -> list[np.ndarray]:
+    """Columns of packed rows; ``steps``: the column that holds differences."""
     out: list[list[np.ndarray]] = [[] for _ in widths]
     for x in packed:
         planes = np.frombuffer(x, np.uint8).reshape(sum(widths), -1)
@@ -144,7 +146,8 @@ def unpack(packed: list[bytes], widths: list[int]) -> list[np.ndarray]:
         for c, w in enumerate(widths):
             whole = np.zeros((planes.shape[1], 8), np.uint8)
             whole[:, :w] = planes[at : at + w].T
-            out[c].append(whole.view(np.uint64).ravel())
+            column = whole.view(np.uint64).ravel()
+            out[c].append(np.cumsum(column, dtype=np.uint64) if c == steps else column)
             at += w
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
@@ -157,12 +160,12 @@ def runs(dest: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     return order, [(int(ordered[a]), a, b) for a, b in zip(cuts, [*cuts[1:], len(dest)])]
 
 
-def dealt(kind: int, dest: np.ndarray, columns: list[np.ndarray], widths: list[int]) -> Iterator[tuple[int, int, bytes]]:
-    """Rows to travel: the columns packed by destination."""
+def dealt(kind: int, dest: np.ndarray, columns: list[np.ndarray], widths: list[int], steps: int | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """Rows to travel: the columns packed by destination; of ``steps``, an ascending one, the differences."""
     order, found = runs(dest)
     columns = [c[order] for c in columns]
     for value, a, b in found:
-        yield value, kind, pack([c[a:b] for c in columns], widths)
+        yield value, kind, pack([np.diff(c[a:b], prepend=np.uint64(0)) if i == steps else c[a:b] for i, c in enumerate(columns)], widths)
 
 
 def travel_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -206,7 +209,10 @@ def requests(layout: Layout, hashes: list[np.ndarray], doc: np.ndarray, place: n
     if known.any():
         yield from dealt(1, parts_of(doc[known], layout.parts) + layout.buckets, [doc[known].view(np.uint64), place[known]], [8, 8])
     place = np.where(known & sent, place | KNOWN, place)
-    yield from dealt(0, layout.bucket(hashes[0][sent]), [*(h[sent] for h in hashes), doc[sent].view(np.uint64), place[sent]], _widths(len(hashes)))
+    # in the order of the documents again, so that their ids travel as small differences
+    sent = np.flatnonzero(sent)
+    sent = sent[np.argsort(order[sent], kind="stable")]
+    yield from dealt(0, layout.bucket(hashes[0][sent]), [*(h[sent] for h in hashes), doc[sent].view(np.uint64), place[sent]], _widths(len(hashes)), len(hashes))
 
 
 def answers(layout: Layout, sent: DataFrame, hashes: int, later: bool, mark_frequent: bool = False) -> DataFrame:
@@ -214,7 +220,7 @@ def answers(layout: Layout, sent: DataFrame, hashes: int, later: bool, mark_freq
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(packed: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-            *own, doc, place = unpack(packed, _widths(hashes))
+            *own, doc, place = unpack(packed, _widths(hashes), hashes)
             doc = doc.view(np.int64)
             order, first = groups(own)
             doc, place = doc[order], place[order]
