@@ -48,8 +48,8 @@ B, A = 1.001, 20.0
 #: A pair is verified if its estimate is at most this much below the threshold: four standard
 #: deviations of an estimate from 128 registers at 0.8.
 SLACK = 0.14
-#: Documents of a band that are compared at a time.
-BLOCK = 1500
+#: Documents of a band that are compared at a time, and pairs that are estimated at a time.
+BLOCK, PAIRS = 1500, 8192
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,21 +273,29 @@ def _across(layout: repeats.Layout, left: DataFrame, least: float) -> DataFrame:
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         names, inverse, times = np.unique(component, return_inverse=True, return_counts=True)
         outside = inverse != np.argmax(times)  # pairs within the largest component need no look
-        out = []
+        out, held, size = [], [], 0
+
+        def judged() -> None:
+            """Estimates of the pairs held so far, all at once."""
+            x, y = (np.concatenate(c) for c in zip(*held))
+            likely = estimate(sketch[y], sketch[x], n[y].astype(float), n[x].astype(float)) >= least - SLACK
+            out.append(np.stack([doc[y[likely]], doc[x[likely]], component[y[likely]]]))
+
         for x in np.flatnonzero(outside):
             own = (component != component[x]) & (~outside | (np.arange(len(doc)) > x)) & (100 * np.minimum(n, n[x]) >= 100 * least * np.maximum(n, n[x]))
             own &= block != block[x] if low != high else True
             y = np.flatnonzero(own)
-            if not len(y):
-                continue
             same = sketch[y] == sketch[x]
-            y, same = y[same.mean(1) >= least - 2 * SLACK], same[same.mean(1) >= least - 2 * SLACK]
-            if len(y):
-                first = same.reshape(len(y), BANDS, ROWS).all(2).argmax(1) == here
-                y = y[first]
-                guess = estimate(sketch[y], np.broadcast_to(sketch[x], sketch[y].shape), n[y].astype(float), np.full(len(y), float(n[x])))
-                y = y[guess >= least - SLACK]
-                out.append(np.stack([doc[y], np.full(len(y), doc[x]), component[y]]))
+            near = np.flatnonzero(same.sum(1) >= REGISTERS * (least - 2 * SLACK))
+            near = near[same[near].reshape(len(near), BANDS, ROWS).all(2).argmax(1) == here]
+            if len(near):
+                held.append((np.full(len(near), x), y[near]))
+                size += len(near)
+            if size > PAIRS:
+                judged()
+                held, size = [], 0
+        if held:
+            judged()
         pairs = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
         return _by_part(layout, [c.view(np.uint64) for c in pairs])
 
@@ -339,6 +347,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     tops = reps.select("doc").join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     tops = tops.join(merged.select(F.col("id").alias("component"), F.col("component").alias("merged")), "component", "left").select("doc", F.coalesce("merged", "component").alias("component"))
     tops = scratch.table(tops, "tops", few)
+    scratch.free(shared, central, best, up, label, reps)
     least = tops.groupBy("component").agg(F.min("doc").alias("least"))
     final = tops.join(least, "component").select(F.col("doc").alias("rep"), F.col("least").alias("component"))
 
