@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ProvConfig
+from .shred import TALLY
 from .stable import dense_ids
 
 
@@ -19,15 +20,16 @@ def _ordered(order: str) -> list:
 
 
 def _dims(found: DataFrame, order: str, name: str, key: str, first: int, *more: str) -> DataFrame:
-    """``more``: columns that are the same wherever the key is."""
-    seen = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("graph", "seq")).alias("at"), *[F.first(c).alias(c) for c in more])
+    """``found``: key, graph, seq and times (occurrences); ``more``: columns that are the same wherever the key is."""
+    seen = found.groupBy("key").agg(F.sum("times").alias("n"), F.min(F.struct("graph", "seq")).alias("at"), *[F.first(c).alias(c) for c in more])
     seen = seen.select("key", "n", "at.graph", "at.seq", *more)
     return dense_ids(seen, _ordered(order), name, first).select(name, F.col("key").alias(key), "n", *more)
 
 
 def dictionary(shredded: DataFrame, config: ProvConfig = DEFAULT, known: DataFrame | None = None) -> DataFrame:
     """(sid, s, n): distinct strings with dense ids; with ``known`` (sid, s) only the new ones, numbered on."""
-    found = string_occurrences(shredded).withColumnRenamed("s", "key")
+    strings = shredded.where(F.col("what").isin("string", TALLY))
+    found = strings.select(F.col("text").alias("key"), "graph", "seq", F.when(F.col("what") == TALLY, F.col("item_ord")).otherwise(1).alias("times"))
     first = 0
     if known is not None:
         found = found.join(known.select(F.col("s").alias("key")), "key", "left_anti")
@@ -59,7 +61,7 @@ def object_text(pairs: Column | str) -> Column:
 
 def templates(nodes: DataFrame, config: ProvConfig = DEFAULT, known: DataFrame | None = None) -> DataFrame:
     """(tid, template, n, shared): distinct templates with dense ids; identity is the text, whatever the section."""
-    found = nodes.select(F.col("template").alias("key"), "graph", "seq", "shared")
+    found = nodes.select(F.col("template").alias("key"), "graph", "seq", "shared", F.lit(1).alias("times"))
     first = 0
     if known is not None:
         found = found.join(known.select(F.col("template").alias("key")), "key", "left_anti")

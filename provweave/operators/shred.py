@@ -20,13 +20,13 @@ from ..functions.jsontext import canonical, kind, parse, quoted
 SCHEMA = StructType([
     StructField("graph", StringType()),
     StructField("path", ArrayType(StringType())),  # bundle names from the root down
-    StructField("what", StringType()),  # doc, section, item, field, string, error
+    StructField("what", StringType()),  # doc, section, item, field, string or tally, error
     StructField("section", StringType()),
     StructField("section_json", StringType()),
     StructField("route", StringType()),  # node, edge, bundle, other
     StructField("item", StringType()),
     StructField("item_json", StringType()),
-    StructField("item_ord", IntegerType()),
+    StructField("item_ord", IntegerType()),  # of an item; members of a section; occurrences of a tally
     StructField("field", StringType()),
     StructField("field_json", StringType()),
     StructField("kind", StringType()),  # s i f b n o a
@@ -39,6 +39,8 @@ SCHEMA = StructType([
 
 #: What a row can be about; ``want`` names those that a caller needs.
 WHATS = ("doc", "section", "item", "field", "string", "error")
+#: Instead of strings: each distinct string of a batch once, with its occurrences and the first of them.
+TALLY = "tally"
 #: Rows of a batch that leaves the shredder.
 BATCH = 20_000
 _ARROW = {"path": pa.list_(pa.string()), "item_ord": pa.int32(), "seq": pa.int64()}
@@ -57,11 +59,14 @@ class _Shredder:
 
     def __init__(self, config: ProvConfig, want: frozenset[str], sections: frozenset[str] | None):
         self.config, self.want, self.sections = config, want, sections
-        self.seq, self.rows = 0, []
-        self.texts = "string" in want
+        self.seq, self.rows, self.tallies = 0, [], {}
+        self.tallied, self.texts = TALLY in want, TALLY in want or "string" in want
 
     def take(self) -> pa.RecordBatch:
         """The rows so far, as one batch."""
+        none = (None, None, None)
+        self.rows += [(graph, [], TALLY, *none, None, None, n, *none, text, None, None, seq) for text, (n, graph, seq) in self.tallies.items()]
+        self.tallies = {}
         columns = zip(*self.rows) if self.rows else [()] * len(_NAMES)
         out = pa.RecordBatch.from_arrays([pa.array(c, _ARROW.get(n, pa.string())) for n, c in zip(_NAMES, columns)], _NAMES)
         self.rows = []
@@ -73,16 +78,25 @@ class _Shredder:
         if what in self.want:
             self.rows.append((self.graph, path, what, *section, *item, *field, text, json, role, self.seq))
 
+    def say(self, path: list[str], role: str, text: str) -> None:
+        """A string of the dictionary."""
+        if self.tallied:
+            self.seq += 1
+            n, first = self.own.get(text, (0, self.seq))
+            self.own[text] = (n + 1, first)
+        else:
+            self.row("string", path, text=text, role=role)
+
     def strings(self, path: list[str], value: object) -> None:
         """Keys and string leaves of any value, in order, without recursion."""
         todo = [value]
         while todo:
             now = todo.pop()
             if isinstance(now, tuple):
-                self.row("string", path, text=now[0], role="key")
+                self.say(path, "key", now[0])
                 todo.append(now[1])
             elif isinstance(now, str):
-                self.row("string", path, text=now, role="value")
+                self.say(path, "value", now)
             elif isinstance(now, dict):
                 todo.extend(reversed(now.items()))
             elif isinstance(now, list):
@@ -115,7 +129,7 @@ class _Shredder:
         name, _, way = section
         self.row("item", path, section, item)
         if self.texts:
-            self.row("string", path, text=item[0], role=f"{way}_id")
+            self.say(path, f"{way}_id", item[0])
         if way == "bundle":
             self.document([*path, item[0]], content)
             return
@@ -125,15 +139,15 @@ class _Shredder:
             self.row("field", path, section, item, (key, quoted(key), letter), value if letter == "s" else None, canonical(value))
             if self.texts:
                 if key not in columns:
-                    self.row("string", path, text=key, role="key")
+                    self.say(path, "key", key)
                 if key in columns and letter == "s":
-                    self.row("string", path, text=value, role="cell")
+                    self.say(path, "cell", value)
                 else:
                     self.strings(path, value)
 
     def shred(self, graph: str, text: str | None) -> None:
         """Rows of one document; a single ``error`` row for a text that is none."""
-        self.graph, self.seq, before = graph, 0, len(self.rows)
+        self.graph, self.seq, self.own, before = graph, 0, {}, len(self.rows)
         value, reason = parse(text)
         if reason is None:
             try:
@@ -144,24 +158,28 @@ class _Shredder:
             self.seq = 0
             del self.rows[before:]
             self.row("error", [], text=reason)
+            return
+        for text, (n, seq) in self.own.items():
+            had = self.tallies.get(text)
+            self.tallies[text] = (n, graph, seq) if had is None else (had[0] + n, *min(had[1:], (graph, seq)))
 
 
 def shred(corpus: DataFrame, config: ProvConfig = DEFAULT, want: Iterable[str] = WHATS, sections: Iterable[str] | None = None) -> DataFrame:
     """SCHEMA rows of a corpus (graph, body).
 
     ``want``: only rows about these; strings are the larger half, and the dictionary alone needs
-    them.  ``sections``: only what stands in these sections, at any depth.
+    them, for which their TALLY will do.  ``sections``: only what stands in these sections, at any depth.
     """
     wanted, inside = frozenset(want), None if sections is None else frozenset(sections)
-    if not wanted <= set(WHATS):
-        raise ValueError(f"want must be among {WHATS}")
+    if not wanted <= {*WHATS, TALLY} or {"string", TALLY} <= wanted:
+        raise ValueError(f"want must be among {WHATS}, with {TALLY} for string at will")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shredder = _Shredder(config, wanted, inside)
         for batch in batches:
             for graph, body in zip(batch.column("graph").to_pylist(), batch.column("body").to_pylist()):
                 shredder.shred(graph, body)
-                if len(shredder.rows) > BATCH:
+                if len(shredder.rows) + len(shredder.tallies) > BATCH:
                     yield shredder.take()
         yield shredder.take()
 

@@ -114,7 +114,7 @@ WITH s AS (SELECT 'role:' || role AS s FROM conversations UNION SELECT role FROM
   UNION SELECT text FROM conversations UNION SELECT unnest(['turn', 'message', 'prov:type', 'prov:value']))
 SELECT s, dense_rank() OVER (ORDER BY s) - 1 AS sid FROM s""")
 def dictionary(spark, sf_dir):
-    return model.dictionary(_rows(spark, sf_dir, "dialogue", ["string"]), LEXICAL).select("s", "sid")
+    return model.dictionary(_rows(spark, sf_dir, "dialogue", [shred.TALLY]), LEXICAL).select("s", "sid")
 
 
 @query("o26_string_occurrences", """
@@ -153,7 +153,7 @@ UNION ALL SELECT DISTINCT 'order/' || l_orderkey || '.json', 'agent', 'supp:' ||
 @query("o31_node_facts", f"SELECT graph, section, node, template, CAST(dense_rank() OVER (ORDER BY template) - 1 AS BIGINT) AS tid, CAST(own AS BIGINT) AS own FROM ({_NODES})")
 def node_facts(spark, sf_dir):
     nodes = stable(_nodes(spark, sf_dir))
-    strings = model.dictionary(_rows(spark, sf_dir, want=["string"]), LEXICAL)
+    strings = model.dictionary(_rows(spark, sf_dir, want=[shred.TALLY]), LEXICAL)
     dims = stable(model.templates(nodes, LEXICAL))
     facts = encode.node_facts(nodes, strings, dims).drop("item").join(strings.select("sid", F.col("s").alias("node")), "sid")
     return facts.join(dims.select("tid", "template"), "tid").select("graph", "section", "node", "template", "tid", F.size("own").cast("long").alias("own"))
@@ -228,7 +228,7 @@ SELECT *, total_supernodes / orig_nodes AS node_dedup_ratio, true AS lossless, C
     (SELECT count(*) FROM ({_TEMPLATES})) AS total_supernodes, (SELECT count(*) FROM ({_COMMERCE_STRINGS})) AS dict_strings FROM ({_STATS}))""")
 def corpus_totals(spark, sf_dir):
     docs = stored.corpus(spark, sf_dir, "commerce")
-    rows = stable(shred.shred(docs))
+    rows = stable(shred.shred(docs, want=codec.FACTS))
     nodes = stable(model.node_records(rows))
     verified = stats.verify(docs, codec.compress(docs).decompress())
     return stats.corpus_totals(stats.graph_stats(rows, nodes), nodes, model.dictionary(rows), verified)

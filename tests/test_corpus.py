@@ -168,6 +168,14 @@ def test_wanted_rows_and_sections(spark):
         shred.shred(corpus, want=["nothing"])
 
 
+@pytest.mark.parametrize("order", ["lexical", "frequency", "first_seen"])
+def test_tallies_make_the_same_dictionary(spark, monkeypatch, order):
+    corpus, config = docs(spark, [FULL, *ODD, FULL]).repartition(3), ProvConfig(id_order=order)
+    whole = model.dictionary(shred.shred(corpus), config).collect()
+    rows = shred.shred(corpus, want=[shred.TALLY])
+    assert sorted(whole) == sorted(model.dictionary(rows, config).collect()) and rows.count() < sum(r["n"] for r in whole)
+
+
 def test_functions_in_sql(spark):
     sql.register(spark)
     docs(spark, [FULL, ODD[9]]).createOrReplaceTempView("some_documents")
