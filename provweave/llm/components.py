@@ -37,7 +37,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # counted while it is written
         told = Observation(f"round-{uuid.uuid4().hex}")
         small = small.observe(told, F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF)), F.lit(0)).alias("sum"))
-        now = scratch.table(small, "links", tasks)
+        before, now = now, scratch.table(small, "links", tasks)
+        scratch.free(before)
         found = told.get
         if found == seen or not found["n"]:
             break

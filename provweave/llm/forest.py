@@ -119,8 +119,8 @@ def _planted(rows: DataFrame, trees: int, dim: int, spill: float, seed: int) ->
         grown = [Tree(points, n / len(points), spill, hash((cell, seed, t)) & 0x7FFFFFFF) for t in range(trees)]
         return pa.table({"cell": pa.array([cell]), "trees": pa.array([pickle.dumps(grown)], pa.binary())})
 
-    models = scratch.table(sample.select("cell", "cid", "n", "vector").groupBy("cell").applyInArrow(fit, fitted), "trees")
-    models = models.join(sizes, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / CHUNK).cast("int") - 1)))
+    fits = scratch.table(sample.select("cell", "cid", "n", "vector").groupBy("cell").applyInArrow(fit, fitted), "trees")
+    models = fits.join(sizes, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / CHUNK).cast("int") - 1)))
     found = StructType([StructField("cell", LongType()), StructField("cid", LongType()), StructField("solid", BooleanType())])
 
     def plant(table: pa.Table, model: pa.Table) -> pa.Table:
@@ -136,7 +136,9 @@ def _planted(rows: DataFrame, trees: int, dim: int, spill: float, seed: int) ->
         return pa.table({"cell": pa.array(np.concatenate(cells) if cells else empty), "cid": pa.array(np.concatenate(cids) if cids else empty), "solid": pa.array(np.concatenate(solid) if solid else empty.astype(bool))})
 
     left = dealt.select("cell", "chunk", "cid", "vector").groupBy("cell", "chunk")
-    return scratch.table(left.cogroup(models.select("cell", "chunk", "trees").groupBy("cell", "chunk")).applyInArrow(plant, found), "planted")
+    out = scratch.table(left.cogroup(models.select("cell", "chunk", "trees").groupBy("cell", "chunk")).applyInArrow(plant, found), "planted")
+    scratch.free(sizes, fits)
+    return out
 
 
 def leaves(vectors: DataFrame, dim: int, spill: float, most_rounds: int = 40) -> DataFrame:
@@ -237,6 +239,7 @@ def links(classes: DataFrame, least: float, dim: int) -> tuple[DataFrame, DataFr
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = dealt.repartition(tasks, *key).sortWithinPartitions(*key).mapInArrow(blocks.frugal(run), found)
     out = scratch.table(out, "links")
+    scratch.free(at)
     return out.groupBy("cid").agg(F.sum("n").alias("n")), out.where("rep != to").select(F.col("rep").alias("a"), F.col("to").alias("b")).distinct()
 
 

@@ -39,7 +39,16 @@ def table(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/provweave-{uuid.uuid4().hex}/{name}"
     (df if tasks is None else df.coalesce(tasks)).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that nothing lazy reads any more; others go at the end of the session."""
+    for entry in [(t.sparkSession, t.stored_at) for t in tables]:
+        _drop(*entry)
+        _WRITTEN.remove(entry)
 
 
 def few(spark: SparkSession) -> int:
