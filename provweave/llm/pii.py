@@ -7,9 +7,9 @@ protected entities.
 
 A term is a word of letters.  The corpus says how strongly terms reveal entities: of N documents, n(t)
 hold term t, n(e) entity e, and in n(t, e) of them t stands within ``window`` characters of e, counted
-over all documents.  A term discloses e if its pointwise mutual information is at least half of the
-entity's information content, ``log(n(t,e) N / (n(t) n(e))) >= log(N / n(e)) / 2``, on
-``support`` documents or more.  Personal data is mostly unique, so each entity is judged as its value and,
+over all documents.  A term discloses e if its pointwise mutual information is at least nine tenths of
+the entity's information content, ``log(n(t,e) N / (n(t) n(e))) >= 0.9 log(N / n(e))``, on
+``support`` documents or more: who reads the term then knows most of what there is to know of e.  Personal data is mostly unique, so each entity is judged as its value and,
 backing off, as its class (the domain of an address, the first digits of a number) and its kind.
 Such a term is a span in every document that holds the value, class or kind that it discloses; one that
 discloses a value in at least half of its documents is a span wherever it stands.
@@ -66,6 +66,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return own.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("hash"))
 
 
+#: Buckets of the bitmap of documents, of 32,768 bits each: 4 MB in all, whatever the input's size.
+_BUCKETS = 1024
+
+
+def _perhaps(keyed: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents that may be among ``some`` (id, hash), documents that are not), by a bitmap of hashes.
+
+    The bitmap has a fixed size and is broadcast, so that the texts of documents without a match need not
+    travel to a join; where very many have one it lets most pass.
+    """
+    place = F.pmod("hash", F.lit(_BUCKETS << 15))
+    bits = some.select(place.alias("place")).groupBy(F.shiftright("place", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(32767)).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(place.bitwiseAND(32767), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright({}, cast(pmod(hash, 8) as int))".format("byte")).bitwiseAND(1)
+    rows = keyed.withColumn("bucket", F.shiftright(place, 15)).join(F.broadcast(bits), "bucket", "left")
+    rows = rows.withColumn("byte", F.coalesce(byte, F.lit(0))).withColumn("perhaps", bit == 1).select(*keyed.columns, "perhaps")
+    return rows.where("perhaps").drop("perhaps"), rows.where("NOT perhaps").drop("perhaps")
+
+
 def _matches(kind: str, window: int) -> Column:
     """Matches of a kind in ``text``, each with the length of the gap before it and the text beside it."""
     pattern = PATTERNS[kind].replace("\\", "\\\\")
@@ -112,13 +131,23 @@ def disclosing(keyed: DataFrame, classes: DataFrame, support: int, window: int)
     before, after = _SPLIT.format("before"), _SPLIT.format("after")
     beside = f"concat(CASE WHEN length(before) = {window} THEN slice({before}, 2, {window}) ELSE {before} END, CASE WHEN length(after) = {window} THEN slice({after}, 1, size({after}) - 1) ELSE {after} END)"
     met = classes.select(*_KEY, "copies", "level", "entity", F.explode(_terms(beside)).alias("term")).distinct()
-    likely = scratch.table(met.groupBy("term", "level", "entity").agg(F.sum("copies").alias("n_te")).where(F.col("n_te") >= support), "likely")
-    n_e = classes.select(*_KEY, "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    met = scratch.table(met, "met")
+    likely = met.groupBy("term", "level", "entity").agg(F.sum("copies").alias("n_te")).where(F.col("n_te") >= support)
+    n_e = scratch.table(classes.select(*_KEY, "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("n_e")), "entities_held")
+    total = F.lit(keyed.count()).cast("double")
+
+    def reveals(n_t: str) -> Column:
+        x = F.col("n_te").cast("double") / F.col(n_t)
+        x2 = x * x
+        x4 = x2 * x2
+        return x4 * x4 * x2 * total >= F.col("n_e")
+
+    # the documents where a term stands beside any entity are fewer than all that hold it: most words fall out here
+    beside_any = met.select(*_KEY, "copies", "term").distinct().groupBy("term").agg(F.sum("copies").alias("n_met"))
+    likely = scratch.table(likely.join(n_e, "entity").join(beside_any, "term").where(reveals("n_met")).drop("n_met"), "likely")
     words = scratch.table(likely.select("term").distinct(), "words")
     n_t = keyed.select(F.explode(_terms(_SPLIT.format("text"))).alias("term")).join(words, "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    known = likely.join(n_e, "entity").join(n_t, "term")
-    square = lambda c: F.col(c).cast("double") * F.col(c)
-    told = known.where(square("n_te") * F.lit(keyed.count()).cast("double") >= square("n_t") * F.col("n_e"))
+    told = likely.join(n_t, "term").where(reveals("n_t"))
     return told.select("term", "entity", ((F.col("level") == 1) & (2 * F.col("n_te") >= F.col("n_t"))).alias("everywhere"))
 
 
@@ -127,10 +156,11 @@ def _term_spans(keyed: DataFrame, classes: DataFrame, told: DataFrame) -> DataFr
     words = scratch.table(told.select("term").distinct(), "told_words")
     held = keyed.select(*_KEY, F.explode(_terms(_SPLIT.format("text"))).alias("term")).join(words, "term").distinct()
     held = scratch.table(held, "held")
-    here = classes.select(*_KEY, "entity").distinct().join(told.select("term", "entity"), "entity").select(*_KEY, "term")
-    wanted = held.join(here.distinct(), [*_KEY, "term"], "left_semi").unionByName(held.join(told.where("everywhere").select("term").distinct(), "term", "left_semi").select(*_KEY, "term"))
+    # from places of terms to what they disclose, never from an entity to all of its documents and terms
+    here = held.join(told.select("term", "entity"), "term").join(classes.select(*_KEY, "entity").distinct(), [*_KEY, "entity"], "left_semi").select(*_KEY, "term")
+    wanted = here.unionByName(held.join(told.where("everywhere").select("term").distinct(), "term", "left_semi").select(*_KEY, "term"))
     wanted = scratch.table(wanted.distinct(), "wanted")
-    texts = keyed.select(*_KEY, "text").join(wanted.select(*_KEY).distinct(), _KEY).groupBy(*_KEY).agg(F.first("text").alias("text"))
+    texts = _perhaps(keyed, wanted)[0].select(*_KEY, "text").join(wanted.select(*_KEY).distinct().hint("merge"), _KEY).groupBy(*_KEY).agg(F.first("text").alias("text"))
     rows = texts.select(*_KEY, F.posexplode(F.expr(_SPLIT.format("text"))).alias("at", "word"))
     end = F.sum(F.length("word") + 1).over(Window.partitionBy(*_KEY).orderBy("at")).cast("int")
     rows = rows.select(*_KEY, "word", (end - F.length("word") - 1).alias("start"), F.expr(f"regexp_extract(word, '{_TERM}', 1)").alias("term"))
@@ -153,7 +183,9 @@ def find(docs: DataFrame, support: int = 2, window: int = 80) -> DataFrame:
     spans = spans.select(*_KEY, F.expr(f"filter(spans, x -> x.k < {len(KINDS)})").alias("found"), F.expr(f"filter(spans, x -> x.k >= {len(KINDS)})").alias("added"))
     none = F.array().cast("array<struct<k:int,start:int,end:int>>")
     stored = scratch.table(spans, "spans")
-    return keyed.join(stored, _KEY, "left").select("doc_id", "text", *_KEY, F.coalesce("found", none).alias("found"), F.coalesce("added", none).alias("added"))
+    perhaps, not_ = _perhaps(keyed, stored)
+    rows = perhaps.join(stored.hint("merge"), _KEY, "left").select("doc_id", "text", *_KEY, F.coalesce("found", none).alias("found"), F.coalesce("added", none).alias("added"))
+    return rows.unionByName(not_.select("doc_id", "text", *_KEY, none.alias("found"), none.alias("added")))
 
 
 def name(k: Column) -> Column:

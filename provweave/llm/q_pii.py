@@ -52,8 +52,9 @@ n_te AS (SELECT term, level, entity, count(*) AS n_te FROM met WHERE length(term
 n_e AS (SELECT entity, count(DISTINCT r) AS n_e FROM classes GROUP BY entity),
 n_t AS (SELECT term, count(DISTINCT r) AS n_t FROM words GROUP BY term),
 told AS (
-  SELECT term, entity, level = 1 AND 2 * n_te >= n_t AS everywhere FROM n_te JOIN n_e USING (entity) JOIN n_t USING (term), (SELECT count(*) AS n FROM docs)
-  WHERE n_te::DOUBLE * n_te * n >= n_t::DOUBLE * n_t * n_e),
+  SELECT term, entity, level = 1 AND 2 * n_te >= n_t AS everywhere
+  FROM (SELECT *, x2 * x2 AS x4 FROM (SELECT *, x * x AS x2 FROM (SELECT *, n_te::DOUBLE / n_t AS x FROM n_te JOIN n_e USING (entity) JOIN n_t USING (term)))), (SELECT count(*) AS n FROM docs)
+  WHERE x4 * x4 * x2 * n >= n_e),
 wanted AS (
   SELECT DISTINCT c.r, term FROM (SELECT DISTINCT r, entity FROM classes) c JOIN told USING (entity)
   UNION SELECT DISTINCT r, term FROM words WHERE term IN (SELECT term FROM told WHERE everywhere)),

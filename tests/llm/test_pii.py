@@ -108,7 +108,7 @@ def disclosed(rows, support=2, window=80):
                         classes.add(entity)
                         met.update((w, level, entity) for w in (term(x)[0] for x in words) if len(w) >= 3)
         n_e.update(classes), n_te.update(met), holds.append(classes)
-    told = {(w, level, e): n for (w, level, e), n in n_te.items() if n >= support and n * n * len(docs) >= n_t[w] ** 2 * n_e[e]}
+    told = {(w, level, e): n for (w, level, e), n in n_te.items() if n >= support and n_t[w] and (n / n_t[w]) ** 10 * len(docs) >= n_e[e] * (1 - 1e-12)}
     everywhere = {w for (w, level, e), n in told.items() if level == 1 and 2 * n >= n_t[w]}
     out = []
     for (i, t), own, classes in zip(docs, found, holds):
