@@ -104,7 +104,7 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _planted(rows: DataFrame, trees: int, dim: int, spill: float, seed: int) -> DataFrame:
     """(cell, cid, solid): leaves that vectors (cell, cid, vector) reach in ``trees`` trees of their cell; ``solid``
     where the cell was not split."""
-    sizes = scratch.table(rows.groupBy("cell").agg(F.count("*").alias("n")), "cells")
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("n"))
     chunk = F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / CHUNK)).cast("int")
     dealt = rows.join(sizes, "cell").withColumn("chunk", chunk)
     # a hash of the id decides who is in the sample: SAMPLE of each cell, give or take its root
@@ -137,25 +137,26 @@ def _planted(rows: DataFrame, trees: int, dim: int, spill: float, seed: int) ->
 
     left = dealt.select("cell", "chunk", "cid", "vector").groupBy("cell", "chunk")
     out = scratch.table(left.cogroup(models.select("cell", "chunk", "trees").groupBy("cell", "chunk")).applyInArrow(plant, found), "planted")
-    scratch.free(sizes, fits)
+    scratch.free(fits)
     return out
 
 
 def leaves(vectors: DataFrame, dim: int, spill: float, most_rounds: int = 40) -> DataFrame:
     """(cell, cid): leaves of vectors (label, cid, vector) in all trees."""
-    now = _planted(vectors.select(F.xxhash64("label").alias("cell"), "cid", "vector"), TREES, dim, spill, 1)
-    done = None
+    now, parts = _planted(vectors.select(F.xxhash64("label").alias("cell"), "cid", "vector"), TREES, dim, spill, 1), []
     for turn in range(2, most_rounds):
         large = now.groupBy("cell").agg(F.count("*").alias("n"), F.first("solid").alias("solid")).where(f"n > {LARGE} AND NOT solid").select("cell")
-        large = scratch.table(large, "large", scratch.few(vectors.sparkSession))
-        rest = now.join(large, "cell", "left_anti").select("cell", "cid")
-        done = rest if done is None else done.unionByName(rest)
-        if not large.take(1):
+        if not large.count():
             break
+        large = scratch.table(large, "large", scratch.few(vectors.sparkSession))
+        parts.append(now.join(large, "cell", "left_anti").select("cell", "cid"))
         now = _planted(now.join(large, "cell", "left_semi").select("cell", "cid").join(vectors.select("cid", "vector"), "cid"), 1, dim, spill, turn)
-    else:
-        done = done.unionByName(now.select("cell", "cid"))  # what is left is compared as it is
-    return scratch.table(done.distinct(), "leaves")
+    if not parts:
+        return now.select("cell", "cid")  # a vector reaches a leaf once
+    whole = now.select("cell", "cid")  # after the last round what is left is compared as it is
+    for part in parts:
+        whole = whole.unionByName(part)
+    return scratch.table(whole, "leaves")
 
 
 def links(classes: DataFrame, least: float, dim: int) -> tuple[DataFrame, DataFrame]:
@@ -239,7 +240,6 @@ def links(classes: DataFrame, least: float, dim: int) -> tuple[DataFrame, DataFr
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = dealt.repartition(tasks, *key).sortWithinPartitions(*key).mapInArrow(blocks.frugal(run), found)
     out = scratch.table(out, "links")
-    scratch.free(at)
     return out.groupBy("cid").agg(F.sum("n").alias("n")), out.where("rep != to").select(F.col("rep").alias("a"), F.col("to").alias("b")).distinct()
 
 
