@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType, StringType
 
-#: Kind letters by type; booleans are tested before integers, of which they are a subclass.
-KINDS = ((str, "s"), (bool, "b"), (int, "i"), (float, "f"), (type(None), "n"), (dict, "o"), (list, "a"))
+#: Kind letters by type, which for parsed JSON is one of these exactly.
+KINDS = {str: "s", bool: "b", int: "i", float: "f", type(None): "n", dict: "o", list: "a"}
 
 
 def canonical(value: object) -> str:
     """Keys sorted by code point, no spaces, characters kept."""
+    if type(value) is str:
+        return quoted(value)
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
@@ -30,12 +32,12 @@ def pretty(value: object) -> str:
     return json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False)
 
 
-def quoted(text: str) -> str:
-    return json.dumps(text, ensure_ascii=False)
+#: A string as JSON, characters kept.
+quoted = json.encoder.encode_basestring
 
 
 def kind(value: object) -> str:
-    return next(letter for type_, letter in KINDS if isinstance(value, type_))
+    return KINDS[type(value)]
 
 
 def parse(text: str | None) -> tuple[object, str | None]:

@@ -19,7 +19,7 @@ def rel_fields(shredded: DataFrame, config: ProvConfig = DEFAULT) -> DataFrame:
 
 def edge_cells(shredded: DataFrame, config: ProvConfig = DEFAULT) -> DataFrame:
     """Fields of edges in long form; ``pos`` is the schema column, null for an extra."""
-    cells = shredded.where("route = 'edge' AND what = 'field'").select(*ITEM, "item_ord", "field", "field_json", "kind", "text", "json")
+    cells = shredded.where("route = 'edge' AND what = 'item'").select(*ITEM, "item_ord", F.inline("fields"))
     return cells.join(F.broadcast(rel_fields(shredded, config)), ["section", "field"], "left")
 
 
@@ -42,14 +42,13 @@ def edge_facts(shredded: DataFrame, dictionary: DataFrame, config: ProvConfig =
 def edge_table(shredded: DataFrame, relation: str, config: ProvConfig = DEFAULT) -> DataFrame:
     """Wide table of one relation: a struct (kind, text, json) per schema field, null where absent, and extras.
 
-    Items and their fields are grouped together, so there is one exchange and no join; a
-    shredder that was asked for this relation alone sends nothing else here.
+    The fields of an edge stand in its row, so this is a projection.
     """
-    rows = shredded.where((F.col("section") == relation) & (F.col("route") == "edge") & F.col("what").isin("item", "field"))
-    cell, names = F.struct("kind", "text", "json"), config.rel_schema[relation]
-    columns = [F.first(F.when(F.col("field") == f, cell), ignorenulls=True).alias(f) for f in names]
-    extra = F.when((F.col("what") == "field") & ~F.col("field").isin(*names), F.struct("field", "json"))
-    return rows.groupBy(*ITEM).agg(F.max("item_ord").alias("item_ord"), *columns, F.map_from_entries(F.collect_list(extra)).alias("extras"))
+    rows = shredded.where((F.col("section") == relation) & (F.col("route") == "edge") & (F.col("what") == "item"))
+    names = config.rel_schema[relation]
+    cell = F.map_from_entries(F.transform("fields", lambda x: F.struct(x["field"], F.struct(x["kind"].alias("kind"), x["text"].alias("text"), x["json"].alias("json")))))
+    extras = F.map_from_entries(F.transform(F.filter("fields", lambda x: ~x["field"].isin(*names)), lambda x: F.struct(x["field"], x["json"])))
+    return rows.select(*ITEM, "item_ord", cell.alias("cells"), extras.alias("extras")).select(*ITEM, "item_ord", *[F.try_element_at("cells", F.lit(f)).alias(f) for f in names], "extras")
 
 
 def node_facts(nodes: DataFrame, dictionary: DataFrame, templates: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ def edges(shredded: DataFrame, config: ProvConfig = DEFAULT, relations: tuple[st
     """(graph, source, target) of traced relations whose two ends are names."""
     ends = F.create_map(*[F.lit(x) for r in relations for x in (r, config.rel_schema[r][0])])[F.col("section")]
     others = F.create_map(*[F.lit(x) for r in relations for x in (r, config.rel_schema[r][1])])[F.col("section")]
-    cells = shredded.where("route = 'edge' AND what = 'field' AND kind = 's'").where(F.col("section").isin(*relations))
-    pick = lambda end: F.max(F.when(F.col("field") == end, F.col("text")))
-    wide = cells.groupBy(*ITEM).agg(pick(ends).alias("source"), pick(others).alias("target"))
+    rows = shredded.where("route = 'edge' AND what = 'item'").where(F.col("section").isin(*relations)).withColumns({"from": ends, "to": others})
+    pick = lambda end: F.get(F.filter("fields", lambda x: (x["field"] == F.col(end)) & (x["kind"] == "s")), F.lit(0))["text"]
+    wide = rows.select("graph", pick("from").alias("source"), pick("to").alias("target"))
     return wide.where("source IS NOT NULL AND target IS NOT NULL").select("graph", "source", "target").distinct()
 
 

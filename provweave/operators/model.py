@@ -43,15 +43,12 @@ def node_records(shredded: DataFrame, config: ProvConfig = DEFAULT) -> DataFrame
     Fields split by membership in the volatile keys; both halves together are the record.  ``shared`` and
     ``own`` hold them as sorted (field, kv) pairs, kv being the member's text.
     """
-    keys = ["graph", "path", "section", "item"]
-    rows = shredded.where("route = 'node' AND what IN ('item', 'field')")
-    volatile = F.col("field").isin(*sorted(config.volatile_keys))
-    pair = F.struct("field", F.concat("field_json", F.lit(":"), "json").alias("kv"))
-    is_field = F.col("what") == "field"
-    grouped = rows.groupBy(*keys).agg(
-        F.first("section_json").alias("section_json"), F.first("item_json").alias("item_json"), F.max("item_ord").alias("item_ord"), F.min("seq").alias("seq"),
-        F.array_sort(F.collect_list(F.when(is_field & ~volatile, pair))).alias("shared"), F.array_sort(F.collect_list(F.when(is_field & volatile, pair))).alias("own"))
-    return grouped.select(*keys, "section_json", "item_json", "item_ord", "seq", object_text("shared").alias("template"), F.when(F.size("own") > 0, object_text("own")).alias("residual"), "shared", "own", F.size("shared").alias("n_template"), F.size("own").alias("n_residual"))
+    volatile = sorted(config.volatile_keys)
+    pairs = lambda keep: F.transform(F.filter("fields", keep), lambda x: F.struct(x["field"].alias("field"), F.concat(x["field_json"], F.lit(":"), x["json"]).alias("kv")))
+    rows = shredded.where("route = 'node' AND what = 'item'").select(
+        "graph", "path", "section", "item", "section_json", "item_json", "item_ord", "seq",
+        pairs(lambda x: ~x["field"].isin(*volatile)).alias("shared"), pairs(lambda x: x["field"].isin(*volatile)).alias("own"))
+    return rows.select("*", object_text("shared").alias("template"), F.when(F.size("own") > 0, object_text("own")).alias("residual"), F.size("shared").alias("n_template"), F.size("own").alias("n_residual"))
 
 
 def object_text(pairs: Column | str) -> Column:

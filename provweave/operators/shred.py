@@ -1,13 +1,16 @@
 """One parse per document: tagged rows from which everything else is relational.
 
-A row is about a (bundle) document, a section, an item (node, edge or bundle member), a
-field of an item, or a string of the dictionary.  Empty sections and empty records have rows
-of their own, so nothing is lost that has no field.
+A row is about a (bundle) document, a section, an item (node, edge or bundle member) with
+its fields, or a string of the dictionary.  Empty sections and empty records have rows
+of their own, so nothing is lost that has no field.  The fields of an item stay together, in order of
+their names: what is about one item needs no exchange, and what is about fields unfolds them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import itertools
+import operator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,18 +20,20 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from ..config import DEFAULT, ProvConfig
 from ..functions.jsontext import canonical, kind, parse, quoted
 
+#: Of a field: its name, that as JSON, kind of its value, its text if it is a string, its canonical JSON.
+FIELD = ("field", "field_json", "kind", "text", "json")
+
 SCHEMA = StructType([
     StructField("graph", StringType()),
     StructField("path", ArrayType(StringType())),  # bundle names from the root down
-    StructField("what", StringType()),  # doc, section, item, field, string or tally, error
+    StructField("what", StringType()),  # doc, section, item, string or tally, error
     StructField("section", StringType()),
     StructField("section_json", StringType()),
     StructField("route", StringType()),  # node, edge, bundle, other
     StructField("item", StringType()),
     StructField("item_json", StringType()),
     StructField("item_ord", IntegerType()),  # of an item; members of a section; occurrences of a tally
-    StructField("field", StringType()),
-    StructField("field_json", StringType()),
+    StructField("fields", ArrayType(StructType([StructField(c, StringType()) for c in FIELD]))),  # of an item, by name
     StructField("kind", StringType()),  # s i f b n o a
     StructField("text", StringType()),  # of a string
     StructField("json", StringType()),  # canonical
@@ -38,14 +43,14 @@ SCHEMA = StructType([
 
 
 #: What a row can be about; ``want`` names those that a caller needs.
-WHATS = ("doc", "section", "item", "field", "string", "error")
+WHATS = ("doc", "section", "item", "string", "error")
 #: Instead of strings: each distinct string of a batch once, with its occurrences and the first of them.
 TALLY = "tally"
 #: Rows of a batch that leaves the shredder.
 BATCH = 20_000
 _ARROW = {"path": pa.list_(pa.string()), "item_ord": pa.int32(), "seq": pa.int64()}
 _NAMES = SCHEMA.names
-_AT = {name: i for i, name in enumerate(_NAMES)}
+_first = operator.itemgetter(0)
 
 
 def route(name: str, section: object, config: ProvConfig) -> str:
@@ -64,19 +69,20 @@ class _Shredder:
 
     def take(self) -> pa.RecordBatch:
         """The rows so far, as one batch."""
-        none = (None, None, None)
-        self.rows += [(graph, [], TALLY, *none, None, None, n, *none, text, None, None, seq) for text, (n, graph, seq) in self.tallies.items()]
-        self.tallies = {}
-        columns = zip(*self.rows) if self.rows else [()] * len(_NAMES)
-        out = pa.RecordBatch.from_arrays([pa.array(c, _ARROW.get(n, pa.string())) for n, c in zip(_NAMES, columns)], _NAMES)
-        self.rows = []
-        return out
-
-    def row(self, what: str, path: list[str], section: tuple = (None, None, None), item: tuple = (None, None, None), field: tuple = (None, None, None), text: str | None = None, json: str | None = None, role: str | None = None) -> None:
-        """``section``: name, JSON and route; ``item``: name, JSON and number; ``field``: name, JSON and kind."""
+        self.rows += [(graph, (), TALLY, None, None, None, None, None, n, (), None, text, None, None, seq) for text, (n, graph, seq) in self.tallies.items()]
+        columns = list(zip(*self.rows)) if self.rows else [()] * len(_NAMES)
+        self.rows, self.tallies = [], {}
+        at = _NAMES.index("fields")
+        flat = list(zip(*itertools.chain.from_iterable(columns[at]))) or [()] * len(FIELD)
+        ends = pa.array([0, *itertools.accumulate(map(len, columns[at]))], pa.int32())
+        fields = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in flat], FIELD))
+        return pa.RecordBatch.from_arrays([fields if i == at else pa.array(c, _ARROW.get(n, pa.string())) for i, (n, c) in enumerate(zip(_NAMES, columns))], _NAMES)
+
+    def row(self, what: str, path: list[str], section: tuple = (None, None, None), item: tuple = (None, None, None), fields: Sequence[tuple] = (), kind: str | None = None, text: str | None = None, json: str | None = None, role: str | None = None) -> None:
+        """``section``: name, JSON and route; ``item``: name, JSON and number; ``fields``: as FIELD."""
         self.seq += 1
         if what in self.want:
-            self.rows.append((self.graph, path, what, *section, *item, *field, text, json, role, self.seq))
+            self.rows.append((self.graph, path, what, *section, *item, fields, kind, text, json, role, self.seq))
 
     def say(self, path: list[str], role: str, text: str) -> None:
         """A string of the dictionary."""
@@ -104,7 +110,7 @@ class _Shredder:
 
     def document(self, path: list[str], value: object) -> None:
         letter = kind(value)
-        self.row("doc", path, field=(None, None, letter), json=None if letter == "o" else canonical(value))
+        self.row("doc", path, kind=letter, json=None if letter == "o" else canonical(value))
         if letter != "o":
             if self.texts:
                 self.strings(path, value)
@@ -117,7 +123,7 @@ class _Shredder:
                 continue
             at = (name, quoted(name), way)
             size = len(section) if isinstance(section, dict | list) else None
-            self.row("section", path, at, (None, None, size), (None, None, kind(section)), json=canonical(section) if way == "other" else None)
+            self.row("section", path, at, (None, None, size), kind=kind(section), json=canonical(section) if way == "other" else None)
             if way == "other":
                 if self.texts:
                     self.strings(path, section)
@@ -127,20 +133,20 @@ class _Shredder:
 
     def item(self, path: list[str], section: tuple, item: tuple, content: dict) -> None:
         name, _, way = section
-        self.row("item", path, section, item)
+        fields = ()
+        if way != "bundle" and "item" in self.want:
+            fields = [(k, quoted(k), kind(v), v if type(v) is str else None, canonical(v)) for k, v in sorted(content.items(), key=_first)]
+        self.row("item", path, section, item, fields)
         if self.texts:
             self.say(path, f"{way}_id", item[0])
         if way == "bundle":
             self.document([*path, item[0]], content)
-            return
-        columns = self.config.rel_schema.get(name, ()) if way == "edge" else ()
-        for key, value in content.items():
-            letter = kind(value)
-            self.row("field", path, section, item, (key, quoted(key), letter), value if letter == "s" else None, canonical(value))
-            if self.texts:
+        elif self.texts:
+            columns = self.config.rel_schema.get(name, ()) if way == "edge" else ()
+            for key, value in content.items():
                 if key not in columns:
                     self.say(path, "key", key)
-                if key in columns and letter == "s":
+                if key in columns and type(value) is str:
                     self.say(path, "cell", value)
                 else:
                     self.strings(path, value)

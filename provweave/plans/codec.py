@@ -26,7 +26,7 @@ from ..sources.provjson import count_documents, read_corpus
 TABLES = ("dict", "template", "node", "edge", "edge_field", "section", "doc", "bundle")
 
 #: What compression needs of the shredder.
-FACTS = ("doc", "section", "item", "field", "error", shred.TALLY)
+FACTS = ("doc", "section", "item", "error", shred.TALLY)
 
 # Fixed values of the interchange form: names of files, keys of the model file's meta, columns
 # of the statistics, keys of the log.
@@ -82,7 +82,7 @@ def compress(corpus: DataFrame, config: ProvConfig = DEFAULT, known: Compressed
     if known is not None:
         config = known.config
     rows = stable(shred.shred(corpus, config, FACTS))
-    nodes = stable(model.node_records(rows, config))
+    nodes = model.node_records(rows, config)
     if known is None:
         strings, templates = model.dictionary(rows, config), model.templates(nodes, config)
     else:

@@ -18,8 +18,8 @@ from . import codec, corpora, stored
 from .registry import ORACLE, QUERIES, query
 
 LEXICAL = ProvConfig(id_order="lexical")
-#: What a query needs of the shredder: nodes, edges, all but strings.
-NODES, EDGES, FACTS = ("item", "field"), ("item", "field"), ("doc", "section", "item", "field")
+#: What a query needs of the shredder: nodes or edges, all but strings.
+ITEMS, FACTS = ("item",), ("doc", "section", "item")
 NODE_SECTIONS = DEFAULT.node_sections
 
 
@@ -28,7 +28,7 @@ def _rows(spark: SparkSession, sf_dir: str, corpus: str = "commerce", want=shred
 
 
 def _nodes(spark: SparkSession, sf_dir: str, corpus: str = "commerce") -> DataFrame:
-    return model.node_records(_rows(spark, sf_dir, corpus, NODES, NODE_SECTIONS))
+    return model.node_records(_rows(spark, sf_dir, corpus, ITEMS, NODE_SECTIONS))
 
 
 _SIDE = ", ".join(f"'{n}'" for n in sorted(SIDECAR_NAMES))
@@ -89,7 +89,7 @@ def split_record(spark, sf_dir):
 
 @query("o20_schema_extra", "SELECT 'ex:props' AS field, count(*) AS extras FROM events")
 def schema_extra(spark, sf_dir):
-    return encode.edge_cells(_rows(spark, sf_dir, "telemetry", EDGES)).where("pos IS NULL").groupBy("field").agg(F.count("*").alias("extras"))
+    return encode.edge_cells(_rows(spark, sf_dir, "telemetry", ITEMS)).where("pos IS NULL").groupBy("field").agg(F.count("*").alias("extras"))
 
 
 @query("o21_cell_kind", """
@@ -99,7 +99,7 @@ UNION ALL SELECT 'wasAttributedTo', f, CASE f WHEN 'prov:role' THEN 'absent' ELS
 UNION ALL SELECT 'wasGeneratedBy', f, CASE WHEN f IN ('prov:role', 'prov:time') THEN 'absent' ELSE 's' END, n FROM o, (VALUES ('prov:entity'), ('prov:activity'), ('prov:role'), ('prov:time')) v(f)
 UNION ALL SELECT 'wasAssociatedWith', f, CASE WHEN f IN ('prov:plan', 'prov:role') THEN 'absent' ELSE 's' END, n FROM o, (VALUES ('prov:activity'), ('prov:agent'), ('prov:plan'), ('prov:role')) v(f)""")
 def cell_kind(spark, sf_dir):
-    rows = stable(_rows(spark, sf_dir, want=EDGES, sections=DEFAULT.rel_schema))
+    rows = stable(_rows(spark, sf_dir, want=ITEMS, sections=DEFAULT.rel_schema))
     edges = rows.where("what = 'item' AND route = 'edge'").groupBy("section").agg(F.count("*").alias("edges"))
     cells = encode.edge_cells(rows).where("pos IS NOT NULL").groupBy("section", "field", "kind").agg(F.count("*").alias("n"))
     fields = encode.rel_fields(rows).select("section", "field").join(edges, "section")
@@ -163,7 +163,7 @@ def node_facts(spark, sf_dir):
 SELECT 'order/' || l_orderkey || '.json' AS graph, 'u:' || rn AS edge, 'fulfil:' || l_orderkey AS activity, 'part:' || l_partkey AS entity, l_returnflag AS role,
        '{{"$":"' || strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '","type":"xsd:dateTime"}}' AS time, CAST(0 AS BIGINT) AS extras FROM {_LINES}""")
 def edge_columns(spark, sf_dir):
-    used = encode.edge_table(_rows(spark, sf_dir, want=EDGES, sections=["used"]), "used")
+    used = encode.edge_table(_rows(spark, sf_dir, want=ITEMS, sections=["used"]), "used")
     cell = lambda f, c: F.col(f"`prov:{f}`")[c].alias(f)
     return used.select("graph", F.col("item").alias("edge"), cell("activity", "text"), cell("entity", "text"), cell("role", "text"), cell("time", "json"), F.coalesce(F.size("extras"), F.lit(0)).cast("long").alias("extras"))
 
@@ -179,7 +179,7 @@ UNION ALL SELECT 'order/' || o_orderkey || '.json', 'wasAssociatedWith', 'a', un
 @query("o32_all_relations", _EDGES)
 def all_relations(spark, sf_dir):
     """Every relation's table, turned back into rows of one field each."""
-    rows, out = _rows(spark, sf_dir, want=EDGES, sections=DEFAULT.rel_schema), None
+    rows, out = _rows(spark, sf_dir, want=ITEMS, sections=DEFAULT.rel_schema), None
     for relation in ("used", "wasAttributedTo", "wasGeneratedBy", "wasAssociatedWith"):
         names = DEFAULT.rel_schema[relation]
         cells = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f"`{f}`.text"), F.col(f"`{f}`.json")).alias("value")) for f in names])
@@ -396,7 +396,7 @@ SELECT DISTINCT 'order:' || l_orderkey AS source, 'part:' || l_partkey AS reache
 UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'supp:' || s, min(3) FROM (SELECT l_orderkey, l_suppkey AS s FROM lineitem) GROUP BY ALL
 UNION ALL SELECT 'order:' || o_orderkey, 'fulfil:' || o_orderkey, 1 FROM orders UNION ALL SELECT 'order:' || o_orderkey, 'cust:' || o_custkey, 2 FROM orders""")
 def reach(spark, sf_dir):
-    rows = _rows(spark, sf_dir, want=EDGES, sections=DEFAULT.rel_schema)
+    rows = _rows(spark, sf_dir, want=ITEMS, sections=DEFAULT.rel_schema)
     edges = lineage.edges(rows)
     return lineage.reachable(edges, edges.where("startswith(source, 'order:')").select("graph", "source").distinct()).select("source", "reached", "hops")
 
