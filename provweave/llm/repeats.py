@@ -51,7 +51,8 @@ def rank(doc: np.ndarray) -> np.ndarray:
 
 class Layout:
     """Parts of texts and buckets of hashes: their number follows the bytes of the texts, so that each
-    fits a worker at any size of the input and rows that travel never outnumber what they carry."""
+    fits a worker at any size of the input and rows that travel never outnumber what they carry.
+    The texts are read once for it, so a table that is dear to compute is best stored before."""
 
     def __init__(self, docs: DataFrame):
         kind = docs.schema["doc_id"].dataType

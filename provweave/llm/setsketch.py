@@ -24,7 +24,7 @@ probability 4e-8.
 Defined results: null, empty and blank texts have the empty set and link with nothing; a
 text with fewer words than a shingle is one shingle; rows with a null id link with nothing
 and are kept; rows with equal ids are one vertex; an empty table gives an empty result;
-further columns are ignored.
+further columns are ignored.  Ids are integers (others are refused).
 """
 
 from __future__ import annotations

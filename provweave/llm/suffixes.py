@@ -22,7 +22,8 @@ Sorting the suffixes of all texts is out of reach, and only suffixes that share
 
 Defined results: null, empty and short texts have nothing removed; a null id counts as
 the largest; rows with equal ids are not compared with each other; an empty table gives an
-empty result; further columns are ignored.  What is left of a text need not be valid UTF-8.
+empty result; further columns are ignored.  Ids are integers (others are refused); the last 2 ** 31
+longs are reserved.  What is left of a text need not be valid UTF-8.
 """
 
 from __future__ import annotations
