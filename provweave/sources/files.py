@@ -7,7 +7,9 @@ Arrow's file systems.
 
 from __future__ import annotations
 
+import contextlib
 import os
+from collections.abc import Iterator
 from typing import BinaryIO
 from urllib.parse import urlparse
 
@@ -47,7 +49,12 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def listed(spark: SparkSession, root: str) -> list[tuple[str, int]]:
-    """(path relative to the root, bytes) of all files below it, sorted; nothing for a missing root."""
+    """(path relative to the root, bytes) of all files below it, sorted; nothing for a missing root.
+
+    A mounted root is walked directly, which takes microseconds a file and not several calls into the JVM.
+    """
+    if is_local(root):
+        return sorted(walked(plain(root)))
     where, fs = hadoop(spark, root)
     if not fs.exists(where):
         return []
@@ -59,6 +66,15 @@ def listed(spark: SparkSession, root: str) -> list[tuple[str, int]]:
     return sorted(found)
 
 
+def walked(root: str) -> Iterator[tuple[str, int]]:
+    """``listed`` for a local root, unsorted; files that vanish meanwhile count nothing."""
+    for folder, _, names in os.walk(root):
+        for name in names:
+            path = os.path.join(folder, name)
+            with contextlib.suppress(FileNotFoundError):
+                yield os.path.relpath(path, root).replace(os.sep, "/"), os.path.getsize(path)
+
+
 def opened(path: str, mode: str) -> BinaryIO:
     """A file for reading (``rb``) or writing (``wb``) on an executor; folders above it are made."""
     if is_local(path):

@@ -1,14 +1,13 @@
 """The ``provjson`` data source: directories of PROV-JSON documents.
 
 Spark's own file sources drop names that begin with ``_``, which are documents here, so the
-driver lists files through Hadoop's file systems and executors read runs of them, each through
-the path or URI of the root (see ``files``).
+driver lists files (mounted roots directly, others through Hadoop's file systems) and executors read runs
+of them, each through the path or URI of the root (see ``files``).
 """
 
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +34,11 @@ def document_name(path: Column) -> Column:
 
 def document_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
     """(path, bytes) of documents below ``root``, sorted; what is hidden at any level is skipped."""
-    return [(p, n) for p, n in files.listed(spark, root) if is_document_name(p) and not any(x.startswith(".") for x in p.split("/"))]
+    return [x for x in files.listed(spark, root) if _is_document(x[0])]
+
+
+def _is_document(path: str) -> bool:
+    return is_document_name(path) and not any(x.startswith(".") for x in path.split("/"))
 
 
 def list_documents(spark: SparkSession, root: str) -> list[str]:
@@ -99,14 +102,7 @@ def _mounted(root: str) -> list[tuple[str, int]]:
     """Documents of a tree in the reader's own file system; data sources run without a session."""
     if not files.is_local(root):
         raise ValueError(f"use read_corpus for {root}: it lists through Hadoop")
-    top, found = files.plain(root), []
-    for folder, folders, names in os.walk(top):
-        folders[:] = [f for f in folders if not f.startswith(".")]
-        for name in names:
-            path = os.path.join(folder, name)
-            if not name.startswith(".") and is_document_name(name):
-                found.append((os.path.relpath(path, top), os.path.getsize(path)))
-    return sorted(found)
+    return sorted(x for x in files.walked(files.plain(root)) if _is_document(x[0]))
 
 
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
