@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
@@ -216,15 +217,114 @@ def corpus_views(corpus: DataFrame, shredded: DataFrame, dictionary: DataFrame,
     return rows.mapInArrow(write, StructType([StructField("graph", StringType()), StructField("view", StringType())]))
 
 
-def read_views(views: DataFrame, model: dict) -> DataFrame:
-    """(graph, text): canonical documents of interchange views and their model file's content."""
-    shared = views.sparkSession.sparkContext.broadcast(model)  # one file in this format, so it fits a process
+@dataclass
+class Stored:
+    """A corpus's model as tables: strings (sid, s), templates (tid, coded), and its small members."""
+
+    strings: DataFrame
+    templates: DataFrame
+    rel_schema: dict
+    meta: dict
+
+
+class _Noted:
+    """Stands for a model's list and notes what it is asked for."""
+
+    def __init__(self, make: Callable[[int], Any]):
+        self.make, self.ids = make, set()
+
+    def __getitem__(self, i: int) -> Any:
+        self.ids.add(i)
+        return self.make(i)
+
+
+IDS = "array<struct<id:bigint,text:string>>"
+
+
+def _by_id(pairs: list[dict] | None, make: Callable[[str], Any] = str) -> dict[int, Any]:
+    return {x["id"]: make(x["text"]) for x in pairs or []}
+
+
+def _each(rows: DataFrame, key: str, column: str, schema: str, find: Callable[[Any], Iterator[tuple]]) -> DataFrame:
+    """(key, ...): the rows that ``find`` makes of each JSON text in a column."""
+    out = rows.sparkSession.createDataFrame([], schema).schema
+    kinds = [pa.int64() if f.dataType.typeName() == "long" else pa.string() for f in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, *x) for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in find(json.loads(text))]
+            columns = list(zip(*found)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], out.names)
+
+    return rows.select(key, column).mapInArrow(run, out)
+
+
+def _gathered(used: DataFrame, key: str, table: DataFrame, ident: str, text: str, name: str) -> DataFrame:
+    """(key, name): for each key the pairs of ids and texts that it uses, in no order."""
+    rows = used.join(table.select(F.col(ident).alias("id"), F.col(text).alias("text")), "id")
+    return rows.groupBy(key).agg(F.collect_list(F.struct("id", "text")).alias(name))
+
+
+def coded_templates(templates: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(tid, coded): template texts (tid, template) with ids for strings."""
+
+    def strings(value: Any) -> Iterator[tuple]:
+        noted: dict[str, None] = {}
+        encode_value(value, lambda s: noted.setdefault(s) or 0)
+        return ((s,) for s in noted)
+
+    used = _each(templates, "tid", "template", "tid long, s string", strings).join(dictionary.select("s", F.col("sid").alias("id")), "s")
+    ids = used.groupBy("tid").agg(F.collect_list(F.struct("id", F.col("s").alias("text"))).alias("sids"))
+    rows = templates.select("tid", "template").join(ids, "tid", "left").select("tid", "template", F.coalesce("sids", F.array().cast(IDS)).alias("sids"))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [minified(encode_value(json.loads(t), {x["text"]: x["id"] for x in p}.__getitem__)) for t, p in zip(batch.column("template").to_pylist(), batch.column("sids").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(out, pa.string())], ["tid", "coded"])
+
+    return rows.mapInArrow(code, "tid long, coded string")
+
+
+def decoded_templates(model: Stored) -> DataFrame:
+    """(tid, template): canonical texts of a stored model's templates."""
+
+    def ids(value: Any) -> Iterator[tuple]:
+        noted = _Noted(str)
+        decode_value(value, noted)
+        return ((i,) for i in noted.ids)
+
+    used = _gathered(_each(model.templates, "tid", "coded", "tid long, id long", ids), "tid", model.strings, "sid", "s", "strings")
+    rows = model.templates.join(used, "tid", "left").select("tid", "coded", "strings")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [canonical(decode_value(json.loads(t), _by_id(p))) for t, p in zip(batch.column("coded").to_pylist(), batch.column("strings").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(out, pa.string())], ["tid", "template"])
+
+    return rows.mapInArrow(read, "tid long, template string")
+
+
+def read_views(views: DataFrame, model: Stored) -> DataFrame:
+    """(graph, text): canonical documents of interchange views and their stored model.
+
+    No process holds the model: a document gets the strings and templates that it uses, as in ``corpus_views``.
+    """
+    schema = model.rel_schema
+
+    def ids(view: Any) -> Iterator[tuple]:
+        strings, templates = _Noted(str), _Noted(lambda i: {})
+        Reader(strings, templates, schema).document(view)
+        yield from (("s", i) for i in strings.ids)
+        yield from (("t", i) for i in templates.ids)
+
+    used = _each(views, "graph", "view", "graph string, kind string, id long", ids).distinct()
+    strings = _gathered(used.where("kind = 's'"), "graph", model.strings, "sid", "s", "strings")
+    templates = _gathered(used.where("kind = 't'"), "graph", decoded_templates(model), "tid", "template", "templates")
+    rows = views.select("graph", "view").join(strings, "graph", "left").join(templates, "graph", "left").select("graph", "view", "strings", "templates")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.load(shared.value)
-        reader = Reader(list(own.sids), own.templates, own.config.rel_schema)
         for batch in batches:
-            texts = [canonical(reader.document(json.loads(v))) for v in batch.column("view").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("graph"), pa.array(texts, pa.string())], ["graph", "text"])
+            out = [canonical(Reader(_by_id(s), _by_id(t, json.loads), schema).document(json.loads(v))) for v, s, t in zip(*(batch.column(c).to_pylist() for c in ("view", "strings", "templates")))]
+            yield pa.RecordBatch.from_arrays([batch.column("graph"), pa.array(out, pa.string())], ["graph", "text"])
 
-    return views.select("graph", "view").mapInArrow(read, StructType([StructField("graph", StringType()), StructField("text", StringType())]))
+    return rows.mapInArrow(read, StructType([StructField("graph", StringType()), StructField("text", StringType())]))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.jsontext import canonical, minified
+from ..functions.jsontext import minified
 from ..operators import stats, views
 from ..sources import files
 from ..sources.provjson import ProvJsonSource, count_documents, read_corpus
@@ -61,9 +61,9 @@ def count(spark, sf_dir):
 
 @query("o06_load_model", f"SELECT s, 'string' AS kind FROM ({_STRINGS}) UNION ALL SELECT '{{\"prov:type\":\"' || t || '\"}}', 'template' FROM (SELECT DISTINCT role AS t FROM conversations UNION SELECT unnest(['turn', 'message']))")
 def load_model(spark, sf_dir):
-    dumped = codec.load_model(spark, stored.artifact(spark, sf_dir))
-    templates = [canonical(views.decode_value(t, dumped["dict"])) for t in dumped["templates"]]
-    return _one(spark, "s string, kind string", *[(s, "string") for s in dumped["dict"]], *[(t, "template") for t in templates])
+    found = codec.load_model(spark, stored.artifact(spark, sf_dir))
+    templates = views.decoded_templates(found).select(F.col("template").alias("s"), F.lit("template").alias("kind"))
+    return found.strings.select("s", F.lit("string").alias("kind")).unionByName(templates)
 
 
 @query("o07_read_views", f"SELECT graph FROM ({_DOCS})")
@@ -90,7 +90,7 @@ def view_files(spark, sf_dir):
 
 @query("o09_model_file", _TOTALS)
 def model_file(spark, sf_dir):
-    return _totals(spark, codec.load_model(spark, stored.artifact(spark, sf_dir))["meta"])
+    return _totals(spark, codec.model_members(spark, stored.artifact(spark, sf_dir))["meta"])
 
 
 @query("o10_stats_csv", f"SELECT graph, orig_nodes, orig_edges, comp_nodes, orig_edges AS comp_edges, round(comp_nodes / orig_nodes, 4) AS nodes_ratio, CAST(1 AS DOUBLE) AS edges_ratio FROM ({_COUNTS})")

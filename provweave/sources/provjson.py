@@ -112,7 +112,7 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     binary reader, which leaves out names that begin with ``_``; such names are refused there.
     """
     found = document_files(spark, root)
-    if files.is_local(root) or _arrow_reads(root):
+    if files.is_local(root) or files.arrow_reads(root):
         spark.dataSource.register(ProvJsonSource)
         return spark.read.format("provjson").option("listing", json.dumps(found)).load(root)
     odd = [p for p, _ in found if any(x.startswith("_") for x in p.split("/"))]
@@ -126,16 +126,5 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("graph", good.alias("body"), F.when(good.isNull(), 0).otherwise(F.col("length")).cast("long").alias("n_bytes"), F.when(good.isNull(), "UnicodeDecodeError").alias("read_error"))
 
 
-def _arrow_reads(root: str) -> bool:
-    """Whether Arrow has a file system for a URI."""
-    from pyarrow import ArrowException, fs
-
-    try:
-        fs.FileSystem.from_uri(root)
-    except (ArrowException, OSError, ValueError):
-        return False
-    return True
-
-
 def count_documents(spark: SparkSession, root: str) -> int:
     return len(document_files(spark, root))
