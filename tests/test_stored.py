@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from provweave.operators import lineage, model, shred, stable, stats
 
@@ -26,3 +27,15 @@ def test_counts_take_one_pass(spark, nothing_stored):
     found = {r["graph"]: r[1:] for r in once.collect()}
     assert found == {"d": (5, 5, 2, 5, 1, 0.4, 1.0), "e": (0, 0, 0, 0, 0, 0.0, 1.0), "f": (0, 0, 0, 0, 0, 0.0, 1.0)}
     assert {r["graph"]: r[1:] for r in stats.graph_stats(rows, model.node_records(rows)).collect()} == found
+
+
+def test_links_are_followed_without_tables_between(spark, nothing_stored):
+    rows = shred.shred(_docs(spark, ("d", DOC), ("e", {"used": {f"u{i}": {"prov:activity": f"n{i}", "prov:entity": f"n{i + 1}"} for i in range(60)}})))
+    links = lineage.edges(rows)
+    starts = spark.createDataFrame([("d", "x"), ("e", "n0"), ("e", "nowhere")], "graph string, source string")
+    found = lineage.reachable(links, starts)
+    assert sorted(found.where("graph = 'd'").collect()) == [("d", "x", "a", 1), ("d", "x", "b", 1)]
+    assert sorted(found.where("graph = 'e'").select("reached", "hops").collect()) == sorted((f"n{i}", i) for i in range(1, 51))
+    repeated = lineage.edges(rows, distinct=False).unionByName(links)
+    assert sorted(lineage.reachable(repeated, F.col("source") == "x").collect()) == [("d", "x", "a", 1), ("d", "x", "b", 1)]
+    assert lineage.reachable(links, starts.where("false")).count() == 0
