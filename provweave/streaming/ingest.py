@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT, ProvConfig
-from ..operators.stable import stable
+from ..operators.stable import passing, stable
 from ..plans import codec
 
 #: Batches after which their models are merged.
@@ -68,6 +68,7 @@ def _mark(spark: SparkSession, path: str) -> None:
     fs.create(where, True).close()
 
 
+@passing()
 def compact_batch(batch: DataFrame, batch_id: int, root: str, config: ProvConfig = DEFAULT) -> None:
     """Compact one micro-batch (graph, body)."""
     spark = batch.sparkSession

@@ -1,10 +1,12 @@
 """What is stored between steps: how, how long, and what needs nothing stored."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from provweave import compress_directory
 from provweave.operators import lineage, model, shred, stable, stats
 
 DOC = {"entity": {"a": {"prov:type": "t"}, "b": {"prov:type": "t", "prov:value": 1}, "c": {}}, "agent": {"g": {"prov:type": "t"}}, "used": {"u": {"prov:activity": "x", "prov:entity": "a"}, "v": {"prov:activity": "a", "prov:entity": "x"}, "w": {"prov:activity": "x", "prov:entity": "b"}}, "wasInformedBy": [1, 2]}
@@ -16,6 +18,14 @@ def nothing_stored(monkeypatch):
         monkeypatch.setattr(module, "stable", lambda df: pytest.fail("stored"), raising=False)
 
 
+@pytest.fixture
+def folder(spark, tmp_path, monkeypatch):
+    """A shared folder, as a cluster has it."""
+    conf = spark.sparkContext.getConf().set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    monkeypatch.setattr(type(spark.sparkContext), "getConf", lambda self: conf)
+    return tmp_path / "shared"
+
+
 def _docs(spark, *docs):
     return spark.createDataFrame([(g, json.dumps(d)) for g, d in docs], "graph string, body string")
 
@@ -39,3 +49,19 @@ def test_links_are_followed_without_tables_between(spark, nothing_stored):
     repeated = lineage.edges(rows, distinct=False).unionByName(links)
     assert sorted(lineage.reachable(repeated, F.col("source") == "x").collect()) == [("d", "x", "a", 1), ("d", "x", "b", 1)]
     assert lineage.reachable(links, starts.where("false")).count() == 0
+
+
+def test_stored_rows_are_compact(spark, folder):
+    docs = _docs(spark, *[(f"g{i}", DOC) for i in range(300)])
+    rows = shred.shred(docs)
+    kept = stable.stable(rows)
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+    assert 0 < size < docs.agg(F.sum(F.length("body"))).first()[0]
+    assert kept.schema == rows.schema and kept.exceptAll(rows).isEmpty() and rows.exceptAll(kept).isEmpty()
+
+
+def test_directory_work_leaves_nothing_stored(spark, folder, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps(DOC))
+    assert compress_directory(spark, str(tmp_path / "in"), str(tmp_path / "out"), verify=True)["lossless"]
+    assert list(folder.iterdir()) == []
