@@ -2,7 +2,8 @@
 
 Spark's own file sources drop names that begin with ``_``, which are documents here, so the
 driver lists files (mounted roots directly, others through Hadoop's file systems) and executors read runs
-of them, each through the path or URI of the root (see ``files``).
+of them, each through the path or URI of the root (see ``files``).  ``read_corpus`` deals out the runs itself: for each
+read of a Python data source the driver starts Python processes that stay, some 33 MB each.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -46,6 +48,33 @@ def list_documents(spark: SparkSession, root: str) -> list[str]:
     return [p for p, _ in document_files(spark, root)]
 
 
+#: Files of a task, and about so many bytes of them; bytes of a batch that leaves it.
+MOST, SIZE, BATCH = 512, 32 << 20, 4 << 20
+
+
+def _runs(listing: list[tuple[str, int]], most: int = MOST, size: int = SIZE) -> list[list[str]]:
+    """Paths of (path, bytes) pairs in runs of about ``size`` bytes, ``most`` files at most."""
+    runs, held = [[]], 0
+    for path, n in listing:
+        if runs[-1] and (held + n > size or len(runs[-1]) >= most):
+            runs.append([])
+            held = 0
+        runs[-1].append(path)
+        held += n
+    return runs
+
+
+def _read(root: str, paths: list[str]) -> Iterator[tuple]:
+    """Rows of SCHEMA."""
+    for path in paths:
+        try:
+            with files.opened(f"{root}/{path}", "rb") as f:
+                raw = f.read()
+            yield path, raw.decode("utf-8"), len(raw), None
+        except (OSError, UnicodeDecodeError) as e:
+            yield path, None, 0, type(e).__name__
+
+
 class _Files(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -57,31 +86,19 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options["path"].rstrip("/")
         self.listing = options["listing"]
-        self.most, self.size = int(options.get("filesPerTask", 512)), int(options.get("bytesPerTask", 32 << 20))
+        self.most, self.size = int(options.get("filesPerTask", MOST)), int(options.get("bytesPerTask", SIZE))
 
     def partitions(self) -> list[InputPartition]:
-        runs, held = [[]], 0
-        for path, n in json.loads(self.listing):
-            if runs[-1] and (held + n > self.size or len(runs[-1]) >= self.most):
-                runs.append([])
-                held = 0
-            runs[-1].append(path)
-            held += n
+        runs = _runs(json.loads(self.listing), self.most, self.size)
         self.listing = ""  # tasks need their own files alone
         return [_Files(r) for r in runs]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for path in partition.paths:
-            try:
-                with files.opened(f"{self.root}/{path}", "rb") as f:
-                    raw = f.read()
-                yield path, raw.decode("utf-8"), len(raw), None
-            except (OSError, UnicodeDecodeError) as e:
-                yield path, None, 0, type(e).__name__
+        return _read(self.root, partition.paths)
 
 
 class ProvJsonSource(DataSource):
-    """``read_corpus``: graph, body, n_bytes, read_error.
+    """As ``read_corpus``: graph, body, n_bytes, read_error.
 
     As a format it takes the options ``path`` and ``listing`` (JSON of (path, bytes) pairs); without a
     listing it lists a mounted root itself.
@@ -113,8 +130,7 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """
     found = document_files(spark, root)
     if files.is_local(root) or files.arrow_reads(root):
-        spark.dataSource.register(ProvJsonSource)
-        return spark.read.format("provjson").option("listing", json.dumps(found)).load(root)
+        return _scanned(spark, root.rstrip("/"), _runs(found))
     odd = [p for p, _ in found if any(x.startswith("_") for x in p.split("/"))]
     if odd:
         raise ValueError(f"names that begin with _ cannot be read from {root}: {odd[:5]}")
@@ -126,5 +142,29 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("graph", good.alias("body"), F.when(good.isNull(), 0).otherwise(F.col("length")).cast("long").alias("n_bytes"), F.when(good.isNull(), "UnicodeDecodeError").alias("read_error"))
 
 
+def _scanned(spark: SparkSession, root: str, runs: list[list[str]]) -> DataFrame:
+    """Rows of SCHEMA, one task for each run of files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for paths in (p for batch in batches for p in batch.column("paths").to_pylist()):
+            rows, held = [], 0
+            for row in _read(root, paths):
+                rows.append(row)
+                held += row[2]
+                if held > BATCH:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows)
+
+    dealt = spark.sparkContext.parallelize([(r,) for r in runs], len(runs))
+    return spark.createDataFrame(dealt, "paths array<string>").mapInArrow(run, SCHEMA)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["graph", "body", "n_bytes", "read_error"])
+
+
 def count_documents(spark: SparkSession, root: str) -> int:
     return len(document_files(spark, root))

@@ -10,7 +10,7 @@ from provweave.config import ProvConfig
 from provweave.functions.jsontext import canonical
 from provweave.operators import model, shred, stats
 from provweave.plans import codec, harness, sql, workspace
-from provweave.sources.provjson import count_documents, list_documents, read_corpus
+from provweave.sources.provjson import ProvJsonSource, count_documents, list_documents, read_corpus
 
 
 def docs(spark, values):
@@ -99,6 +99,21 @@ def test_discovery(spark, tree):
     assert sorted(r["graph"] for r in read_corpus(spark, str(root)).collect()) == names
 
 
+def test_reading_a_corpus_starts_no_planner(spark, tree):
+    root, names = tree
+    (root / "odd.json").write_bytes(b"\xff{")
+    (root / "empty.json").write_bytes(b"")
+    found = read_corpus(spark, f"{root}/")
+    plan = found._jdf.queryExecution().toString()
+    assert "BatchScan" not in plan and "provjson" not in plan  # Python processes of the driver plan these, and stay
+    spark.dataSource.register(ProvJsonSource)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, spark.read.format("provjson").load(str(root)).collect()), key=str)
+    assert {r["graph"]: r["read_error"] for r in found.where("read_error IS NOT NULL").collect()} == {"odd.json": "UnicodeDecodeError"}
+    assert found.where("graph = 'empty.json'").first()["body"] == ""
+    (root / "none").mkdir()
+    assert read_corpus(spark, str(root / "none")).collect() == []
+
+
 def test_directories_and_commands(spark, tree, tmp_path, capsys):
     root, names = tree
     out, back = str(tmp_path / "out"), str(tmp_path / "back")
