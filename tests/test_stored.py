@@ -2,12 +2,15 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from provweave import compress_directory
+from provweave.functions.jsontext import canonical
 from provweave.operators import lineage, model, shred, stable, stats
+from provweave.plans import codec
 
 DOC = {"entity": {"a": {"prov:type": "t"}, "b": {"prov:type": "t", "prov:value": 1}, "c": {}}, "agent": {"g": {"prov:type": "t"}}, "used": {"u": {"prov:activity": "x", "prov:entity": "a"}, "v": {"prov:activity": "a", "prov:entity": "x"}, "w": {"prov:activity": "x", "prov:entity": "b"}}, "wasInformedBy": [1, 2]}
 
@@ -65,3 +68,25 @@ def test_directory_work_leaves_nothing_stored(spark, folder, tmp_path):
     (tmp_path / "in" / "a.json").write_text(json.dumps(DOC))
     assert compress_directory(spark, str(tmp_path / "in"), str(tmp_path / "out"), verify=True)["lossless"]
     assert list(folder.iterdir()) == []
+
+
+def test_shuffle_files_go_with_what_is_stored(spark, folder):
+    held = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before = held()
+    assert len(stable.stable(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).collect()) == 7
+    ends = time.time() + 10
+    while held() - before and time.time() < ends:  # files are removed in the background
+        time.sleep(0.1)
+    assert not held() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_a_document_is_brought_together_once(spark, folder):
+    nested = {"bundle": {"b": {"bundle": {"c": {**DOC, "bundle": {}}, "d": {}}, "used": {}}}, "agent": {}, "x": [1, "y"]}
+    values = [DOC, nested, {}, [1], {"used": {"u": {}}, "entity": {"e": {}}}]
+    made = codec.compress(_docs(spark, *[(str(i), v) for i, v in enumerate(values)]))
+    stored = len(list(folder.iterdir()))
+    assert {r["graph"]: r["text"] for r in made.decompress().collect()} == {str(i): canonical(v) for i, v in enumerate(values)}
+    assert len(list(folder.iterdir())) == stored + 2  # texts of nodes and of fields; what they came from is gone
+    flat = codec.compress(_docs(spark, ("d", DOC))).decompress()
+    assert flat._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
