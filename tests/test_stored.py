@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from provweave import compress_directory
 from provweave.functions.jsontext import canonical
 from provweave.operators import lineage, model, shred, stable, stats
-from provweave.plans import codec
+from provweave.plans import codec, corpora, stored
 
 DOC = {"entity": {"a": {"prov:type": "t"}, "b": {"prov:type": "t", "prov:value": 1}, "c": {}}, "agent": {"g": {"prov:type": "t"}}, "used": {"u": {"prov:activity": "x", "prov:entity": "a"}, "v": {"prov:activity": "a", "prov:entity": "x"}, "w": {"prov:activity": "x", "prov:entity": "b"}}, "wasInformedBy": [1, 2]}
 
@@ -90,3 +90,36 @@ def test_a_document_is_brought_together_once(spark, folder):
     assert len(list(folder.iterdir())) == stored + 2  # texts of nodes and of fields; what they came from is gone
     flat = codec.compress(_docs(spark, ("d", DOC))).decompress()
     assert flat._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
+
+
+@pytest.mark.parametrize("name", ["dialogue", "telemetry", "commerce"])
+def test_a_corpus_is_made_by_shares(spark, tmp_path, monkeypatch, name):
+    for t in ("conversations", "events", "orders", "lineitem", "customer", "part"):
+        some = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        if t in corpora.KEYS[name]:
+            key = corpora.KEYS[name][t]
+            some = some.withColumn(key, F.when(F.col(key) % 9 != 2, F.col(key)))  # no key is a key too
+        some.write.parquet(f"{tmp_path}/{t}.parquet")
+    written, whole = [], getattr(corpora, name)(spark, str(tmp_path))
+    monkeypatch.setattr(stored, "SHARE", 1)
+    monkeypatch.setattr(stored, "MOST", 3)
+    monkeypatch.setattr(corpora, name, lambda s, d, share, made=getattr(corpora, name): written.append(share) or made(s, d, share))
+    found = stored.corpus(spark, str(tmp_path), name)
+    assert written == [(0, 3), (1, 3), (2, 3)]
+    assert 1 < found.count() == whole.count() and found.exceptAll(whole).isEmpty()
+
+
+def test_large_corpora_are_decoded_by_shares(spark, folder, monkeypatch):
+    nested = {"bundle": {"b": {"bundle": {"c": {**DOC, "bundle": {}}, "d": {}}, "used": {}}}, "agent": {}, "x": [1, "y"]}
+    values = [DOC, nested, {}, [1], {"used": {"u": {}}, "entity": {"e": {}}}]
+    monkeypatch.setattr(codec, "ITEMS_AT_ONCE", 6)
+    made = codec.compress(_docs(spark, *[(str(i), v) for i, v in enumerate(values)]))
+    before, shares = len(list(folder.iterdir())), made._shares()
+    assert shares == 4
+    texts = made.decompress()
+    assert len(list(folder.iterdir())) == before + shares  # a share's text is all that is left of it
+    assert "Exchange" not in texts._jdf.queryExecution().executedPlan().toString()
+    assert {r["graph"]: r["text"] for r in texts.collect()} == {str(i): canonical(v) for i, v in enumerate(values)}
+    made.write(f"{folder}/kept")
+    again = codec.Compressed.read(spark, f"{folder}/kept")
+    assert again._shares() > 1 and {r["graph"]: r["text"] for r in again.decompress().collect()} == {str(i): canonical(v) for i, v in enumerate(values)}
