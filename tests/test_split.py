@@ -1,14 +1,17 @@
 """What a compressed corpus needs of the shredder, and how its rows travel to Python workers and back into documents."""
 
 import json
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
 from documents import FULL, ODD
 from pyspark.sql import functions as F
 
+from provweave.config import DEFAULT
 from provweave.functions.jsontext import canonical, parse
 from provweave.operators import decode, encode, model, shred, stable
+from provweave.plans import codec
 
 NODE = {"prov:type": "t", "prov:value": 1.0, "é": {"b": [1, None], "a": "x"}}
 
@@ -63,3 +66,9 @@ def test_what_can_not_be_written_again_is_told(text, reason):
     assert (found or "").startswith(reason or "") and (reason is None) == (found is None)
     if reason is None:
         assert json.loads(canonical(value)) == value
+
+
+def test_a_few_million_items_are_not_decoded_in_many_shares(monkeypatch):
+    monkeypatch.setattr(codec, "stores", lambda spark: True)
+    shares = lambda n: codec.Compressed({"dict": SimpleNamespace(sparkSession=None)}, DEFAULT, 0, items=n)._shares()
+    assert [shares(n) for n in (0, 2_000_000, 3_150_000, 1_000_000_000)] == [1, 1, 2, codec.MOST_SHARES]  # the third is sf0.1's commerce
